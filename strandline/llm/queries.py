@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, packing, quality, secrets, simhash
+from strandline.llm import mincut, mixing, packing, quality, secrets, simhash
 from strandline.session import read_table
 
 
@@ -35,12 +35,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_html_mincut": op10_html_mincut,
 }
 
 ORACLE: dict[str, str] = {
