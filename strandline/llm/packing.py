@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +30,8 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's word cache before it starts anew.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 19
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Letters that lower-case one to one and are stable under NFC, then marks that the tokenizer keeps in one run.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\"#$%*&|<>-]*)")
 
@@ -42,9 +42,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordCache(dict):
-    """Word -> little-endian unsigned 32-bit ids. Words split at ASCII white space are independent for this tokenizer:
-    its normalizer composes nothing across white space and its pre-tokenizer drops it."""
+    """Word (UTF-8) -> little-endian unsigned 32-bit ids. Words split at ASCII white space are independent for this
+    tokenizer: its normalizer composes nothing across white space and its pre-tokenizer drops it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,23 +68,24 @@ class WordCache(dict):
             if len(self.runs) >= CACHE_ENTRIES:
                 self.runs.clear()
             mapped = s if s.isascii() else "".join(map(self.alphabet.__getitem__, s))
-            ids = self.runs[s] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            ids = self.runs[s] = _ids([t.id for t in self.model.tokenize(mapped)])
         return ids
 
-    def __missing__(self, word: str) -> bytes:
-        m = _PLAIN.fullmatch(word) if self.direct else None
+    def __missing__(self, word: bytes) -> bytes:
+        s = word.decode()
+        m = _PLAIN.fullmatch(s) if self.direct else None
         if m:
             ids = self.run(m[1].lower()) + (self.run(m[2]) if m[2] else b"")
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = _ids(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(word) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, _WORDS.findall(text or "")))
+    def encode(self, text: bytes | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or b"").split()))  # bytes split at ASCII white space alone
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -119,7 +124,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
 
 
 # ---- the plan, on the histogram of lengths ----

@@ -10,7 +10,6 @@ over the radius. A cell gives a spanning forest of its links, at most one edge a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -27,16 +26,15 @@ from strandline.session import materialize, ship_package
 BITS = 64
 SEED = 42
 CELL = 512
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash: a bit is 1 if set in over half the XXH64 of the text's shingles, repeats included. A-Z are
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of a UTF-8 text: a bit is 1 if set in over half the XXH64 of the text's shingles, repeats included. A-Z are
     lower-cased; fewer words than a shingle are one shingle; no words give 0."""
     import xxhash
 
-    words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space alone
     if not words:
         return 0
     line = b" ".join(words)
@@ -62,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFra
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
 def tables(radius: int, bits: int = BITS) -> list[int]:
