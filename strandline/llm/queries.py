@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mincut, mixing, packing, quality, secrets, simhash
-from strandline.session import read_table
+from strandline.llm import mincut, mixing, packing, quality, secrets, simhash, warc
+from strandline.session import read_table, scratch_folder
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_folder(spark, 'warc')}/archives"
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +46,7 @@ def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": mixing.ORACLE,
 }
