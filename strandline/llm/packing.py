@@ -127,6 +127,21 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
 
 
+def token_counts(docs: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """docs without text, with the number of the text's tokens as column name; null texts have none."""
+    ship_package(docs.sparkSession)
+    path = path or tokenizer_path()
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        from strandline.llm.packing import word_cache
+
+        encode = word_cache(path).encode
+        return pd.Series([len(encode(t)) // 4 for t in texts], dtype="int64")
+
+    return docs.withColumn(name, count(F.col("text").cast("binary"))).drop("text")
+
+
 # ---- the plan, on the histogram of lengths ----
 
 

@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, mincut, mixing, packing, quality, secrets, simhash, warc
-from strandline.session import read_table, scratch_folder
+from strandline.llm import chat, mincut, mixing, packing, quality, rollup, secrets, simhash, warc
+from strandline.session import materialize, read_table, scratch_folder
+
+
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents with counts estimated from n_chars, revise them to the tokenizer's counts, count white-space
+    words beside, delete copies of a text but the one with the smallest doc_id, and replay a batch, which changes nothing."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.sha1("text").alias("digest"), mixing.word_count(F.col("text")).alias("n_words"), "text")
+    counted = materialize(packing.token_counts(docs, "n_tokens"), "token-counts")
+    store = rollup.TokenRollup(spark, f"{scratch_folder(spark, 'rollup')}/totals")
+    guess = F.ceil(F.col("n_chars") / 4)
+    store.commit("load", rollup.inserted(counted, "chars-4", guess))
+    revision = rollup.revised(counted, "chars-4", guess, "n_tokens", packing.TOKENIZER)
+    store.commit("count", revision)
+    store.commit("words", rollup.inserted(counted, "words-1", "n_words"))
+    firsts = materialize(counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND digest IS NOT NULL"), "first-copies")
+    copies = counted.join(firsts, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    store.commit("drop-copies", rollup.deleted(copies, packing.TOKENIZER).unionByName(rollup.deleted(copies, "words-1", "n_words")))
+    store.commit("count", revision)
+    store.compact()
+    return store.totals()
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +81,7 @@ def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_rollup": op1_token_rollup,
     "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_prefix_tree": op5_chat_prefix_tree,
@@ -74,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op5_chat_prefix_tree": chat.ORACLE,
+    "op1_token_rollup": op1_token_rollup,
     "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": mixing.ORACLE,
