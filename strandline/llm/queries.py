@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, mincut, mixing, packing, quality, rollup, secrets, simhash, warc
+from strandline.llm import chat, chroma, mincut, mixing, packing, quality, rollup, secrets, simhash, warc
 from strandline.session import materialize, read_table, scratch_folder
 
 
@@ -36,6 +36,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each vector of embeddings is played as a melody, which the operator then hears."""
+    return chroma.align_all(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.melody)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -83,6 +88,7 @@ def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_warc": op2_warc,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_prefix_tree": op5_chat_prefix_tree,
     "op6_mixing": op6_mixing,
