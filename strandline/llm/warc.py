@@ -274,5 +274,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
         if rows:
             yield batch(rows)
 
-    files = spark.read.parquet(f"{folder}/_manifest").select("file")
-    return files.repartition(F.col("file")).mapInArrow(read, READ)
+    manifest = spark.read.parquet(f"{folder}/_manifest")
+    n, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    # a stated number: rows of names are small, and Spark would else merge them into one task
+    tasks = max(1, min(n, max(3 * spark.sparkContext.defaultParallelism, (size or 0) // ROLL_BYTES)))
+    return manifest.select("file").repartition(tasks, F.col("file")).mapInArrow(read, READ)
