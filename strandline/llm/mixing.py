@@ -74,20 +74,19 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], party: str, weight: s
     return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], (F.first("_near") + F.sum(step)).alias(quota))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs (doc_id, text, source; more columns are not read): doc_id, source, size, source_size,
-    target, taken, and where the words lie: passes over the whole document, then words [part_from, part_from +
-    part_words) and the first head_words.
-
-    A null text has no words, a null source is a source of its own, null and repeated doc_ids keep all their rows (equal
-    rows may swap their shares), and an empty table gives an empty one. cap is 2 at most: passes are whole."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = materialize(sized, "sizes")
+def _placing(docs: DataFrame, seed: int, shards: int, *more: Column) -> DataFrame:
+    """doc_id, source, size and where a row stands: source_key, key (its seeded hash), shard."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *more)
     source_key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source_key")
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    sized = sized.select("*", source_key, key).withColumn("shard", F.conv(F.substring("key", 1, 6), 16, 10).cast("long") % shards)
+    return out.select("*", source_key, key).withColumn("shard", F.conv(F.substring("key", 1, 6), 16, 10).cast("long") % shards)
+
+
+def cell_quotas(sized: DataFrame, weights: Sequence[int], share: float, cap: float, block: int, seed: int) -> DataFrame:
+    """One row per (source_key, shard) of sized: source_size, target, cell_size, passes, rest, run_from."""
     cells = sized.groupBy("source", "source_key", "shard").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, cap)
+    source_key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     targets = targets.withColumn("one", F.lit(1)).withColumn("blocks", F.round(F.col("total") / block).cast("long"))
     targets = sainte_lague(targets.withColumn("source_key", source_key), ["one"], "source_key", "target", "blocks", "source_blocks").drop("one", "source")
     cells = sainte_lague(cells.drop("source").join(targets, "source_key"), ["source_key"], "shard", "cell_size", "source_blocks", "cell_blocks")
@@ -97,16 +96,53 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     cells = cells.withColumn("rest", F.col("words") - F.col("passes") * F.col("cell_size"))
     seeded = _number(F.concat(F.lit(f"{seed}|"), "source_key", F.lit("|"), F.col("shard").cast("string")))
     cells = cells.withColumn("run_from", block * (seeded % F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block))))
+    return cells.drop("total", "blocks", "source_blocks", "cell_blocks", "words")
+
+
+def _place(sized: DataFrame, cells: DataFrame) -> DataFrame:
+    """sized with its cells' columns and passes, part_from, part_words, head_words, taken."""
     line = Window.partitionBy("source_key", "shard").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).withColumn("end", F.col("start") + F.col("size"))
-    placed = placed.join(cells.drop("total", "blocks", "source_blocks"), ["source_key", "shard"])
+    placed = placed.join(cells, ["source_key", "shard"])
     part_from = F.greatest("start", "run_from")
     zero = F.lit(0).cast("long")
     placed = placed.withColumn("part_words", F.greatest(zero, F.least(F.col("end"), F.col("run_from") + F.col("rest")) - part_from))
     placed = placed.withColumn("part_from", F.when(F.col("part_words") > 0, part_from - F.col("start")).otherwise(zero))
     placed = placed.withColumn("head_words", F.greatest(zero, F.least(F.col("end"), F.col("run_from") + F.col("rest") - F.col("cell_size")) - F.col("start")))
-    taken = F.col("passes") * F.col("size") + F.col("part_words") + F.col("head_words")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "part_from", "part_words", "head_words")
+    return placed.withColumn("taken", F.col("passes") * F.col("size") + F.col("part_words") + F.col("head_words"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per row of docs (doc_id, text, source; more columns are not read): doc_id, source, size, source_size,
+    target, taken, and where the words lie: passes over the whole document, then words [part_from, part_from +
+    part_words) and the first head_words.
+
+    A null text has no words, a null source is a source of its own, null and repeated doc_ids keep all their rows (equal
+    rows may swap their shares), and an empty table gives an empty one. cap is 2 at most: passes are whole."""
+    sized = materialize(_placing(docs, seed, shards), "sizes")
+    placed = _place(sized, cell_quotas(sized, weights, share, cap, block, seed))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "part_from", "part_words", "head_words")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix itself, in the columns of docs: a row per pass over a document and one per run of its words taken besides
+    (white space before the run's first word left out), n_chars, if there, counted anew. Edge cases as in mix()."""
+    sized = materialize(_placing(docs, seed, shards), "sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = _place(_placing(docs, seed, shards, row), materialize(cell_quotas(sized, weights, share, cap, block, seed), "quotas"))
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+
+    def run(first: Column, n: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice(pieces, (first + 1).cast("int"), n.cast("int")), ""), r"^[\x20\x09-\x0D]+", "")
+        return F.when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    whole = F.array_repeat(F.col("row.text"), F.col("passes").cast("int"))
+    texts = F.concat(whole, run(F.col("part_from"), F.col("part_words")), run(F.lit(0), F.col("head_words")))
+    out = placed.where("taken > 0").select("row", F.explode(texts).alias("mixed"))
+    columns = {"text": F.col("mixed")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length("mixed").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB's SQL, of mix() with its defaults over the table documents.

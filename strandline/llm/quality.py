@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,3 +141,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     no cutoffs."""
     measured = materialize(stats(docs, stratum), "quality-stats")
     return verdicts(measured, fit_thresholds(measured, labels, risk, delta))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """docs without the rows that quality_rules() rejects; all columns stay. Texts are read twice, to fit and to judge."""
+    ship_package(docs.sparkSession)
+    cutoffs = fit_thresholds(materialize(stats(docs, stratum), "quality-stats"), labels, risk, delta)
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in STATS))
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        from strandline.llm.quality import STATS, text_stats
+
+        return pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    measured = docs.select(row, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), measure(F.col("text").cast("binary")).alias("m")).select("row", "stratum", "m.*")
+    return verdicts(measured, cutoffs).where("kept").select("row.*")

@@ -10,6 +10,7 @@ over the radius. A cell gives a spanning forest of its links, at most one edge a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -29,25 +30,32 @@ CELL = 512
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of a UTF-8 text: a bit is 1 if set in over half the XXH64 of the text's shingles, repeats included. A-Z are
-    lower-cased; fewer words than a shingle are one shingle; no words give 0."""
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of `shingle` words joined by a space, big-endian bytes, 8 a row; of all words if they are fewer."""
     import xxhash
 
-    words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space alone
-    if not words:
-        return 0
     line = b" ".join(words)
-    width = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(width + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
     k = min(shingle, len(words))
-    spans = zip((ends - width)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
+    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in spans]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(line[a:b], seed) for a, b in spans]), np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """8 bytes whose bits are set in over half the rows."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of a UTF-8 text: a bit is 1 if set in over half the XXH64 of the text's shingles, repeats included. A-Z are
+    lower-cased; fewer words than a shingle are one shingle; no words give 0."""
+    words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space alone
+    return int.from_bytes(majority(shingle_hashes(words, shingle, seed)), "big", signed=True) if words else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFrame:
@@ -63,12 +71,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
 
 
-def tables(radius: int, bits: int = BITS) -> list[int]:
-    """The bit masks of all choices of 3 of radius + 3 nearly equal blocks, as signed longs."""
-    n = radius + 3
+def tables(n: int, choose: int, bits: int = BITS) -> list[int]:
+    """The bit masks of all choices of some of n nearly equal blocks, as signed longs. With n = radius + choose, values
+    within radius bits agree under one of them at least."""
     cuts = [round(i * bits / n) for i in range(n + 1)]
     blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
-    masks = [reduce(int.__or__, c) for c in combinations(blocks, 3)]
+    masks = [reduce(int.__or__, c) for c in combinations(blocks, choose)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -170,7 +178,7 @@ def spanning_edges(values: np.ndarray, group: np.ndarray, radius: int, bits: lis
 def links(nodes: DataFrame, radius: int = 2, cell: int = CELL, batch_rows: int = 1 << 15) -> DataFrame:
     """nodes: distinct column fp (long). Edges (a, b) whose components are those of all links within radius bits."""
     ship_package(nodes.sparkSession)
-    masks = tables(radius)
+    masks = tables(radius + 3, 3)
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.t", "x.key")
     many = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = keyed.join(many, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / cell))
@@ -225,5 +233,174 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near-duplicates by similarity ----
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Blocks of the first 64 bits, and how many must agree for two fingerprints to meet.
+BLOCKS, AGREE = 11, 2
+#: Most differing bits of the first 64 and of all 128: about two standard deviations over what similarity 0.8 gives.
+NEAR, NEARER = 15, 28
+WIDE_CELL = 2048
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int, int]:
+    """(content id, two independent SimHashes) of a text's lower-cased words, as signed longs."""
+    words = (text or b"").lower().split()
+    content = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True)
+    if not words:
+        return content, 0, 0
+    hashes = shingle_hashes(words, shingle)
+    x = hashes.view(">u8").astype(np.uint64).ravel()
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finalizer of splitmix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    second = (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return content, *(int.from_bytes(majority(h), "big", signed=True) for h in (hashes, second))
+
+
+def closest_edges(values: np.ndarray, more: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum spanning forest, by differing bits of values and more, of the pairs inside each group (equal groups
+    adjoin) that are within NEAR bits in values and NEARER in both: places of the edges' ends."""
+    size = np.unique(group, return_counts=True)[1]
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    order = np.argsort(-size, kind="stable")
+    lane = np.concatenate([np.arange(first[g], first[g] + size[g]) for g in order])
+    size = size[order]
+    group, total = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+    a, b = values[lane], more[lane]
+    planes = planes_of(a, list(range(BITS)))
+    found: list[np.ndarray] = []
+    for s in range(1, int(size[0])):
+        n = int(total[np.searchsorted(-size, -s, side="left") - 1])
+        words = -(-n // 64) + 1
+        hit = np.flatnonzero(np.unpackbits(within(planes[:, : words + s // 64 + 1], s, NEAR)[:words].view(np.uint8), bitorder="little")[: max(0, n - s)])
+        hit = hit[group[hit] == group[hit + s]]
+        if len(hit):
+            d = np.bitwise_count(a[hit] ^ a[hit + s]).astype(np.int64) + np.bitwise_count(b[hit] ^ b[hit + s])
+            near = d <= NEARER
+            found.append(np.stack([d[near], hit[near], hit[near] + s]).astype(np.int32))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    d, i, j = np.concatenate(found, axis=1)
+    root, left, right = np.arange(len(lane)), [], []
+    for distance in np.unique(d):
+        level = d == distance
+        x, y = i[level], j[level]
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+        _, at = np.unique(np.sort(np.stack([root[x], root[y]], axis=1), axis=1), axis=0, return_index=True)
+        for p, q in zip(x[at].tolist(), y[at].tolist()):
+            u, v = p, q
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                left.append(p)
+                right.append(q)
+        root = _roots(root)
+    return lane[np.array(left, np.int64)], lane[np.array(right, np.int64)]
+
+
+def similar_pairs(nodes: DataFrame, cell: int = WIDE_CELL, batch_rows: int = 1 << 15) -> DataFrame:
+    """Candidate pairs (a, b) of nodes (node, w0, w1): of each bucket's pairs that SimHash finds near, those of a minimum
+    spanning forest, so that a group of near copies gives as many pairs as members, the closest ones."""
+    spark = nodes.sparkSession
+    ship_package(spark)
+    masks = tables(BLOCKS, AGREE)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("w0").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])).alias("x")
+    keyed = nodes.select("node", "w0", "w1", keys).select("node", "w0", "w1", "x.t", "x.key")
+    hot = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell), "hot-buckets")
+    dealt = keyed.join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    cells = dealt.withColumn("part", part).select("node", "w0", "w1", "t", "key", "part", other)
+    home = F.xxhash64("t", "key", F.least("part", "other"), F.greatest("part", "other")).alias("home")  # two cells that collide are compared as one
+    cells = cells.select(home, "node", "w0", "w1").repartition("home").sortWithinPartitions("home")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from strandline.llm.simhash import closest_edges
+
+        def done(df: pd.DataFrame) -> pd.DataFrame:
+            home = df["home"].to_numpy()
+            group = np.cumsum(np.r_[0, home[1:] != home[:-1]])
+            i, j = closest_edges(df["w0"].to_numpy(np.int64).view(np.uint64), df["w1"].to_numpy(np.int64).view(np.uint64), group)
+            node = df["node"].to_numpy()
+            return pd.DataFrame({"a": node[i], "b": node[j]})
+
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for frame in frames:
+            held.append(frame)
+            rows += len(frame)
+            if rows < batch_rows:
+                continue
+            df = pd.concat(held, ignore_index=True)
+            open_ = (df["home"] == df["home"].iloc[-1]).to_numpy()
+            if not open_.all():
+                yield done(df[~open_])
+            held, rows = [df[open_]], int(open_.sum())
+        if rows:
+            yield done(pd.concat(held, ignore_index=True))
+
+    return cells.mapInPandas(compare, "a string, b string").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> frozenset[bytes]:
+    words = text.encode().lower().split()
+    return frozenset(h.tobytes() for h in shingle_hashes(words, shingle)) if words else frozenset()
+
+
+def jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """docs (doc_id, text and any more columns) with one row of each group of near-duplicates: that with the smallest
+    doc_id (null ids last; then any fixed one). Groups are components of pairs whose sets of `shingle`-word runs,
+    lower-cased, have a Jaccard similarity of at least `similarity`, among the pairs that SimHash proposes; texts with
+    equal words are always one group, those without words too. Equal rows are one row. An empty table gives an empty one."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    columns = docs.columns
+    told = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in columns]
+    keyed = docs.withColumn("__row", F.md5(F.concat_ws("\u001f", *told)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strandline.llm.simhash import wide_fingerprint
+
+        for b in batches:
+            marks = list(zip(*(wide_fingerprint(t.as_py(), shingle) for t in b.column(2)))) or [(), (), ()]
+            nodes = [f"{c & 0xFFFFFFFFFFFFFFFF:016x}{w & 0xFFFFFFFFFFFFFFFF:016x}" for c, w in zip(marks[0], marks[1])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.string()), pa.array(marks[1], pa.int64()), pa.array(marks[2], pa.int64())], names=["row", "doc_id", "node", "w0", "w1"])
+
+    chosen = keyed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marked = materialize(chosen.mapInArrow(work, "row string, doc_id long, node string, w0 long, w1 long"), "wide-fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("w0").alias("w0"), F.min("w1").alias("w1")), "nodes")
+    pairs = materialize(similar_pairs(nodes.select("node", "w0", "w1")), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(nodes.join(ends, "node").select("node", F.col("first.row").alias("__row")), "texts-wanted")
+    texts = materialize(keyed.select("__row", "text").join(wanted, "__row").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+
+    @F.pandas_udf("double")
+    def measured(left: pd.Series, right: pd.Series) -> pd.Series:
+        from functools import lru_cache
+
+        from strandline.llm.simhash import jaccard, shingle_set
+
+        sets = lru_cache(16)(lambda t: shingle_set(t, shingle))
+        return pd.Series([jaccard(sets(a or ""), sets(b or "")) for a, b in zip(left, right)], dtype="float64")
+
+    links = materialize(both.select("a", "b", measured("left", "right").alias("j")).where(F.col("j") >= similarity), "links")
+    stars = materialize(connected_components(links, "a", "b"), "stars")
+    members = nodes.select("node", "first").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = materialize(members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
+    single = keyed.groupBy("__row").agg(*[F.first(f"`{c}`").alias(c) for c in columns])  # equal rows meet before the shuffle
+    return single.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in columns])
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
