@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.session import read_table
+from strandline.plans import motif_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(motif_queries.QUERIES)
+ORACLE: dict[str, str] = dict(motif_queries.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").groupBy("source").count()
+    """Occurrences of four motifs on both strands, counted by window."""
+    return QUERIES["occ_per_window"](spark, sf_dir)
