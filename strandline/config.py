@@ -65,6 +65,7 @@ class Settings:
     threshold: float = 0.0
     trees: int = 500
     depth: int = 0
+    perceptron_rounds: int = 100_000
     weight_mode: WeightMode = WeightMode.PREDICTOR
     beta: float = 1e-8
     wanted_precision: float = -1.0

@@ -166,7 +166,7 @@ class FeatureModel(SequenceModel):
         elif self.kind == "forest":
             machine = train_forest(x, y, s.trees, s.depth, s.seed)
         else:
-            machine = (train_lda if self.kind == "lda" else train_perceptron)(x, y)
+            machine = train_lda(x, y) if self.kind == "lda" else train_perceptron(x, y, s.perceptron_rounds)
         return replace(self, machine=machine)
 
     def score_windows(self, seqs: DataFrame) -> DataFrame:

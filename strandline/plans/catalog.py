@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import motif_queries
+from strandline.plans import model_queries, motif_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(motif_queries.QUERIES)
-ORACLE: dict[str, str] = dict(motif_queries.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = motif_queries.QUERIES | model_queries.QUERIES
+ORACLE: dict[str, str] = motif_queries.ORACLE | model_queries.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
