@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.config import Settings, SvmType
+from strandline.config import Kernel, Settings, SvmType
 from strandline.models import logodds
 from strandline.models.forest import train_forest
 from strandline.models.linear import train_lda, train_perceptron
@@ -190,6 +190,21 @@ class FeatureModel(SequenceModel):
         return self.vectors(w).join(starts, ["seq_id", "win"]).select("seq_id", "win", "win_start", "win_len", decide("features").alias("score"))
 
 
+    def weight_table(self) -> list[tuple[str, float]]:
+        """Weights by feature name of log-odds, and of linear and quadratic machines in unscaled features."""
+        names = [i.name(self.motifs) for i in self.instances]
+        if self.kind == "logodds":
+            return list(zip(names, self.machine or []))
+        if self.kind == "svm" and self.machine.kernel is Kernel.LINEAR:
+            weights, bias = self.machine.linear_weights()
+            return [*zip(names, weights.tolist()), ("bias", bias)]
+        if self.kind == "svm" and self.machine.kernel is Kernel.QUADRATIC:
+            pairs, single, bias = self.machine.quadratic_weights()
+            both = [(f"{a} x {b}", float(pairs[i, j] * (1 if i == j else 2))) for i, a in enumerate(names) for j, b in enumerate(names) if j <= i]
+            return [*both, *zip(names, single.tolist()), ("bias", bias)]
+        raise ValueError("this model has no weights to export")
+
+
 @dataclass
 class Hierarchical(SequenceModel):
     """Each occurrence is classed by the bases and motifs around it, by a machine of its motif; windows are scored by
