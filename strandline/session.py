@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -39,6 +41,41 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_RELEASED = [0.0]
+
+
+def release_memory(every: float = 1.0) -> None:
+    """Give memory that is free, but still held by this process's allocators, back to the system. Texts of very uneven
+    length leave hundreds of MB of it in a worker, which Spark keeps for later tasks. Does nothing more than once in
+    `every` seconds."""
+    now = time.monotonic()
+    if now - _RELEASED[0] < every:
+        return
+    _RELEASED[0] = now
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries return it by themselves
+        pass
+
+
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow whose worker gives memory back between batches and at its end."""
+    ship_package(df.sparkSession)
+
+    def lean(batches):
+        from strandline.session import release_memory
+
+        for out in work(batches):
+            yield out
+            release_memory()
+        release_memory(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     sc = spark.sparkContext
