@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import ship_package
+from strandline.session import map_arrow, ship_package
 
 #: Fixed control strings of common chat templates; those of this one first.
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -162,7 +162,7 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary())], names=["conv_id", "turns", "path"])
 
     turns_ddl = "turns array<struct<turn:bigint,role:string,text:string>>"
-    sorted_ = whole.mapInArrow(paths, f"conv_id long, {turns_ddl}, path binary").repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    sorted_ = map_arrow(whole, paths, f"conv_id long, {turns_ddl}, path binary").repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandline.llm.chat import BLOCKS, MAX_LEAVES, Block
@@ -185,7 +185,7 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
         if block.leaves:
             yield out(block)
 
-    return sorted_.mapInArrow(pack, BLOCKS_DDL)
+    return map_arrow(sorted_, pack, BLOCKS_DDL)
 
 
 def read_back(blocks: DataFrame, path: str | None = None) -> DataFrame:
@@ -214,7 +214,7 @@ def read_back(blocks: DataFrame, path: str | None = None) -> DataFrame:
                     rows.append((leaf["conv_id"], *known[leaf["node"]]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "formatted", "turns", "loss"])
 
-    return blocks.mapInArrow(read, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss string")
+    return map_arrow(blocks, read, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss string")
 
 
 def _marks(column: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import materialize, ship_package
+from strandline.session import map_arrow, materialize, ship_package
 
 RATE = 11025
 FRAME = 4096  # at RATE; shorter in proportion at lower rates
@@ -152,7 +152,7 @@ def fingerprints(recordings: DataFrame, key: str, column: str, decode: Callable[
                 digests = [hashlib.md5(x.astype("<i4").tobytes()).hexdigest() for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int32())), pa.array(digests)], names=["rec_id", "prints", "digest"])
 
-    return recordings.select(F.col(key).cast("long").alias("rec_id"), F.col(column).alias("x")).mapInArrow(work, "rec_id long, prints array<int>, digest string")
+    return map_arrow(recordings.select(F.col(key).cast("long").alias("rec_id"), F.col(column).alias("x")), work, "rec_id long, prints array<int>, digest string")
 
 
 def _bits(a: Column, b: Column) -> Column:

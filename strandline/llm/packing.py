@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.session import materialize, ship_package
+from strandline.session import map_arrow, materialize, release_memory, ship_package
 
 CAPACITY = 4096
 END_ID = 1
@@ -50,7 +50,8 @@ class WordCache(dict):
     """Word (UTF-8) -> little-endian unsigned 32-bit ids. Words split at ASCII white space are independent for this
     tokenizer: its normalizer composes nothing across white space and its pre-tokenizer drops it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -65,7 +66,7 @@ class WordCache(dict):
     def run(self, s: str) -> bytes:
         ids = self.runs.get(s)
         if ids is None:
-            if len(self.runs) >= CACHE_ENTRIES:
+            if len(self.runs) >= self.entries:
                 self.runs.clear()
             mapped = s if s.isascii() else "".join(map(self.alphabet.__getitem__, s))
             ids = self.runs[s] = _ids([t.id for t in self.model.tokenize(mapped)])
@@ -79,7 +80,7 @@ class WordCache(dict):
         else:
             ids = _ids(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(word) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[word] = ids
         return ids
@@ -91,16 +92,18 @@ class WordCache(dict):
 _CACHES: dict[str, WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, entries: int = CACHE_ENTRIES) -> WordCache:
+    """The worker's cache of a tokenizer; it stays for later tasks."""
     if path not in _CACHES:
         _CACHES[path] = WordCache(path)
+    _CACHES[path].entries = entries
     return _CACHES[path]
 
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids_crc32", T.LongType(), False)])
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, keep_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves
     (binary, little-endian unsigned 32-bit). A null text is an empty one: the end id alone. Repeated rows give repeated pieces."""
     ship_package(docs.sparkSession)
@@ -111,7 +114,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandline.llm.packing import word_cache
 
-        cache, width = word_cache(path), 4 * capacity
+        cache, width = word_cache(path, cache_entries), 4 * capacity
         for batch in batches:
             out: list[list] = [[] for _ in schema.fields]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -124,7 +127,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), cut, schema)
 
 
 def token_counts(docs: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -137,7 +140,9 @@ def token_counts(docs: DataFrame, name: str, path: str | None = None) -> DataFra
         from strandline.llm.packing import word_cache
 
         encode = word_cache(path).encode
-        return pd.Series([len(encode(t)) // 4 for t in texts], dtype="int64")
+        out = pd.Series([len(encode(t)) // 4 for t in texts], dtype="int64")
+        release_memory()
+        return out
 
     return docs.withColumn(name, count(F.col("text").cast("binary"))).drop("text")
 
@@ -350,9 +355,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.withColumn("slot", slot("length", "rank")).select(*[c for c in pieces.columns], "slot.sequence_id", "slot.offset")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Tokenize, cut and pack: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     Null or empty texts become the end id alone, very long ones many pieces; null and repeated doc_ids keep all rows;
     only doc_id and text are read, so further columns of any name do no harm."""
-    return pack(materialize(tokenized_pieces(docs, capacity, path, keep_ids=keep_ids), "pieces"), capacity)
+    return pack(materialize(tokenized_pieces(docs, capacity, path, keep_ids=keep_ids, cache_entries=cache_entries), "pieces"), capacity)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import materialize, ship_package
+from strandline.session import map_arrow, materialize, release_memory, ship_package
 
 RISK = 0.02
 DELTA = 0.05
@@ -70,7 +70,7 @@ def stats(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
     schema = "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in STATS)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("binary").alias("text"))
-    return chosen.mapInArrow(work, schema)
+    return map_arrow(chosen, work, schema)
 
 
 def base_failed() -> Column:
@@ -152,7 +152,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     def measure(texts: pd.Series) -> pd.DataFrame:
         from strandline.llm.quality import STATS, text_stats
 
-        return pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
+        out = pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
+        release_memory()
+        return out
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     measured = docs.select(row, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), measure(F.col("text").cast("binary")).alias("m")).select("row", "stratum", "m.*")

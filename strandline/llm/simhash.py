@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.graph import connected_components
-from strandline.session import materialize, ship_package
+from strandline.session import map_arrow, materialize, release_memory, ship_package
 
 BITS = 64
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = SEED) -> DataFra
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), work, "doc_id long, fp long")
 
 
 def tables(n: int, choose: int, bits: int = BITS) -> list[int]:
@@ -327,6 +327,7 @@ def similar_pairs(nodes: DataFrame, cell: int = WIDE_CELL, batch_rows: int = 1 <
             group = np.cumsum(np.r_[0, home[1:] != home[:-1]])
             i, j = closest_edges(df["w0"].to_numpy(np.int64).view(np.uint64), df["w1"].to_numpy(np.int64).view(np.uint64), group)
             node = df["node"].to_numpy()
+            release_memory()
             return pd.DataFrame({"a": node[i], "b": node[j]})
 
         held: list[pd.DataFrame] = []
@@ -376,7 +377,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.string()), pa.array(marks[1], pa.int64()), pa.array(marks[2], pa.int64())], names=["row", "doc_id", "node", "w0", "w1"])
 
     chosen = keyed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = materialize(chosen.mapInArrow(work, "row string, doc_id long, node string, w0 long, w1 long"), "wide-fingerprints")
+    marked = materialize(map_arrow(chosen, work, "row string, doc_id long, node string, w0 long, w1 long"), "wide-fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("w0").alias("w0"), F.min("w1").alias("w1")), "nodes")
     pairs = materialize(similar_pairs(nodes.select("node", "w0", "w1")), "similar-pairs")
@@ -392,7 +393,9 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         from strandline.llm.simhash import jaccard, shingle_set
 
         sets = lru_cache(16)(lambda t: shingle_set(t, shingle))
-        return pd.Series([jaccard(sets(a or ""), sets(b or "")) for a, b in zip(left, right)], dtype="float64")
+        out = pd.Series([jaccard(sets(a or ""), sets(b or "")) for a, b in zip(left, right)], dtype="float64")
+        release_memory()
+        return out
 
     links = materialize(both.select("a", "b", measured("left", "right").alias("j")).where(F.col("j") >= similarity), "links")
     stars = materialize(connected_components(links, "a", "b"), "stars")

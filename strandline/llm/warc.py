@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import storage
-from strandline.session import hadoop_path, materialize, ship_package
+from strandline.session import hadoop_path, map_arrow, materialize, ship_package
 
 DATE = "2020-01-01T00:00:00Z"
 SHARDS = 256
@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 0, shards:
         types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in listed], t) for i, t in enumerate(types)], names=names)
 
-    listed = materialize(dealt.mapInArrow(write, _MANIFEST), "warc-listed")
+    listed = materialize(map_arrow(dealt, write, _MANIFEST), "warc-listed")
 
     def publish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from strandline.llm import storage
@@ -278,4 +278,4 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
     n, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
     # a stated number: rows of names are small, and Spark would else merge them into one task
     tasks = max(1, min(n, max(3 * spark.sparkContext.defaultParallelism, (size or 0) // ROLL_BYTES)))
-    return manifest.select("file").repartition(tasks, F.col("file")).mapInArrow(read, READ)
+    return map_arrow(manifest.select("file").repartition(tasks, F.col("file")), read, READ)
