@@ -87,7 +87,7 @@ class PairSum(SequenceModel):
 
     def pair_values(self, seqs: DataFrame) -> tuple[Windows, DataFrame]:
         w = self.windows(seqs)
-        found = pair_counts(w.occ, self.settings, self.motifs.max_len).join(w.windows, ["seq_id", "win"])
+        found = pair_counts(w.occ, self.settings, self.motifs.max_len)
         return w, found.withColumn("value", F.col("n") * 1000 / F.col("win_len"))
 
     def score_windows(self, seqs: DataFrame) -> DataFrame:

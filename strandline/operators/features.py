@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequences import PI, gc_content
 from strandline.operators import pairs as P
-from strandline.operators.windows import occurrences_in_windows, sliding, window_text
+from strandline.operators.windows import occurrences_in_windows, sliding, window_length, window_text
 from strandline.sources.motifs import MotifSet
 
 #: How many motifs an instance names: none, one, all ordered pairs, pairs with y <= x.
@@ -115,7 +115,7 @@ def _named(df: DataFrame, instances: list[Instance], a: Column, b: Column | None
 
 
 def _sum(df: DataFrame, value: Column) -> DataFrame:
-    return df.groupBy("seq_id", "win", "feature_id").agg(F.sum(value).cast("double").alias("v"))
+    return df.groupBy("seq_id", "win", "feature_id").agg(F.sum(value).cast("double").alias("v"), F.first("seq_len").alias("seq_len"))
 
 
 def _counts(w: Windows, instances: list[Instance]) -> DataFrame:
@@ -131,7 +131,7 @@ def _n_pair(w: Windows, instances: list[Instance]) -> DataFrame:
 def _n_occ_pair(w: Windows, instances: list[Instance]) -> DataFrame:
     d = instances[0].feature.distance
     near = P.both_orders(w.pairs(d).where(P.pair_centers() <= int(d)))
-    once = near.select("seq_id", "win", "a_motif_id", "a_reverse", "a_start", "b_motif_id").distinct()
+    once = near.select("seq_id", "seq_len", "win", "a_motif_id", "a_reverse", "a_start", "b_motif_id").distinct()
     return _sum(_named(once, instances, F.col("a_motif_id"), F.col("b_motif_id"), False), F.lit(1))
 
 
@@ -197,8 +197,8 @@ def feature_values(w: Windows, instances: list[Instance]) -> DataFrame:
         own = [i for i in instances if i.feature == f]
         found = _VALUES[f.type](w, own)
         if f.type in _PER_BASE:
-            # the window's length follows from its place and the sequence's length, but that would need a join as well
-            found = found.join(w.windows.select("seq_id", "win", "win_len"), ["seq_id", "win"]).select("seq_id", "win", "feature_id", (F.col("v") / F.col("win_len")).alias("value"))
+            length = window_length(F.col("win"), F.col("seq_len"), w.size, w.step)
+            found = found.select("seq_id", "win", "feature_id", (F.col("v") / length).alias("value"))
         else:
             found = found.select("seq_id", "win", "feature_id", F.col("v").alias("value"))
         parts.append(found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import Distance, Settings
 from strandline.functions.sequences import between_distance, center, center_distance, gap, overlapping
-from strandline.operators.windows import windows_of
+from strandline.operators.windows import window_length, windows_of
 
 
 def occurrence_pairs(occ: DataFrame, reach: int) -> DataFrame:
@@ -69,7 +69,7 @@ def is_pair(settings: Settings, least: int = 0, most: int | None = None) -> Colu
 
 
 def pair_counts(occ: DataFrame, settings: Settings, max_len: int) -> DataFrame:
-    """Pair counts of the pairwise models: seq_id, win, a, b (a <= b), n. Equal motifs count each unordered pair and
+    """Pair counts of the pairwise models: seq_id, win, win_len, a, b (a <= b), n. Equal motifs count each unordered pair and
     each occurrence with itself, different ones all pairs."""
     pairs = occurrence_pairs(occ, settings.pair_cutoff + max_len).unionByName(self_pairs(occ)).where(is_pair(settings))
     same = F.col("a_motif_id") == F.col("b_motif_id")
@@ -78,4 +78,6 @@ def pair_counts(occ: DataFrame, settings: Settings, max_len: int) -> DataFrame:
     if not settings.hetero_pairs:
         pairs = pairs.where(same)
     placed = pairs_in_windows(pairs, settings.window_size, settings.window_step)
-    return placed.groupBy("seq_id", "win", F.least("a_motif_id", "b_motif_id").alias("a"), F.greatest("a_motif_id", "b_motif_id").alias("b")).agg(F.count("*").alias("n"))
+    return placed.groupBy("seq_id", "win", F.least("a_motif_id", "b_motif_id").alias("a"), F.greatest("a_motif_id", "b_motif_id").alias("b")).agg(
+        window_length(F.col("win"), F.first("seq_len"), settings.window_size, settings.window_step).alias("win_len"), F.count("*").alias("n")
+    )

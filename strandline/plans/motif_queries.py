@@ -270,7 +270,7 @@ def _pair_count_sql(near: str) -> str:
 
 
 def _pair_counts(spark, sf_dir, settings: Settings):
-    return pairs.pair_counts(placed(spark, sf_dir, PAIRED).occ, settings, PAIRED.max_len)
+    return pairs.pair_counts(placed(spark, sf_dir, PAIRED).occ, settings, PAIRED.max_len).drop("win_len")
 
 
 @query("pair_predictor_counts", _pair_count_sql(f"{S.CENTERS} <= 219"))
