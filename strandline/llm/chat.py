@@ -63,6 +63,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 _TOKENIZERS: dict = {}
+_MARKS: dict[str, list[int]] = {}
 
 
 def tokenizer(path: str):
@@ -97,9 +98,18 @@ class Block:
         self.stack: list[tuple[bytes, int]] = []  # (digest, node) from the root to the last node
 
     def encode(self, turns: list[tuple[str, str]]) -> list[list[list[int]]]:
-        parts = [p for role, text in turns for p in format_turn(role, text)]
-        ids = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        return [ids[i : i + 3] for i in range(0, len(ids), 3)]
+        """Ids of what stands before, in and after each turn's text; marks of up to 1000 roles are encoded once."""
+        parts = [format_turn(role, text) for role, text in turns]
+        bodies = self.tokenizer.encode_batch([p[1] for p in parts], add_special_tokens=False)
+        return [[self.mark(head), body.ids, self.mark(tail)] for (head, _, tail), body in zip(parts, bodies)]
+
+    def mark(self, text: str) -> list[int]:
+        ids = _MARKS.get(text)
+        if ids is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if len(_MARKS) < 1000:
+                _MARKS[text] = ids
+        return ids
 
     def shared(self, digests: list[bytes]) -> int:
         n = 0
@@ -180,7 +190,7 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
                 if block.leaves and (len(block.leaves) >= MAX_LEAVES or len(block.tokens) + sum(len(p) for t in encoded for p in t) > max_tokens):
                     yield out(block)
                     block = Block(path, roles)
-                    encoded = block.encode(turns)
+                    encoded = block.encode(turns[:n]) + encoded
                 block.add(conv_id, digests, turns, encoded)
         if block.leaves:
             yield out(block)
@@ -201,20 +211,23 @@ def read_back(blocks: DataFrame, path: str | None = None) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.string()]
         for b in batches:
             rows = []
-            for block in b.to_pylist():
-                tokens, nodes, known = block["tokens"], block["nodes"], {}
-                for leaf in block["leaves"]:
+            for ids, nodes, leaves in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                tokens, known, said = ids.values.to_numpy().tolist(), {}, {}
+                for leaf in leaves:
                     node = nodes[leaf["node"]]
                     if leaf["node"] not in known:
                         spans = [*node["attends"], node]
                         formatted = decode([t for s in spans for t in tokens[s["start"] : s["end"]]], skip_special_tokens=False)
-                        inside = [x for x in nodes if any(s["start"] <= x["start"] and x["end"] <= s["end"] for s in spans)]
-                        loss = "".join(unescape(decode(tokens[x["loss_start"] : x["loss_end"]], skip_special_tokens=False)) for x in sorted(inside, key=lambda x: x["start"]))
+                        inside = [i for i, x in enumerate(nodes) if any(s["start"] <= x["start"] and x["end"] <= s["end"] for s in spans)]  # in order of their starts
+                        for i in inside:
+                            if i not in said:
+                                said[i] = unescape(decode(tokens[nodes[i]["loss_start"] : nodes[i]["loss_end"]], skip_special_tokens=False))
+                        loss = "".join(said[i] for i in inside)
                         known[leaf["node"]] = (formatted, [{"role": r, "text": t} for r, t in parse(formatted)], loss)
                     rows.append((leaf["conv_id"], *known[leaf["node"]]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "formatted", "turns", "loss"])
 
-    return map_arrow(blocks, read, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss string")
+    return map_arrow(blocks.select("tokens", "nodes", "leaves"), read, "conv_id long, formatted string, turns array<struct<role:string,text:string>>, loss string")
 
 
 def _marks(column: str) -> str:
