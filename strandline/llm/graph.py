@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, root) for each node with an edge: root is the smallest node of its component, itself included.
 
     Nodes are of any orderable type, null ends and loops are ignored, repeated edges count once. Each round is two
-    joins and two partial aggregations on edges; its result is written to the shared folder. Stars stay stars."""
+    joins and two partial aggregations on edges; its result is written to the shared folder, and so are the smallest
+    neighbours, so that both sides of a join are read from tables and a hub's edges can be split. Stars stay stars."""
     e = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
     e = materialize(e, "edges")
     before = None
@@ -25,9 +26,10 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(low, "neighbours")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         large = materialize(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "neighbours")
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         small = moved.unionByName(low.select("a", F.col("m").alias("b")))
         e = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star")
