@@ -88,7 +88,7 @@ class TokenRollup:
             return False
         data = f"deltas/{uuid.uuid4().hex}"
         delta = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 OR tokens != 0")
-        delta.coalesce(1).write.parquet(f"{self.folder}/{data}")
+        delta.write.parquet(f"{self.folder}/{data}")
         while True:
             entries = self.log()
             if any(batch_id in e["batches"] for e in entries):
@@ -118,7 +118,7 @@ class TokenRollup:
         if not live:
             return False
         data = f"deltas/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{self.folder}/{data}")
+        self.totals().write.parquet(f"{self.folder}/{data}")
         before = next((e for e in reversed(entries) if e.get("compacts")), {"compacts": []})
         if self._append(entries[-1]["version"] + 1, {"batches": [], "data": data, "compacts": sorted({*before["compacts"], *live})}):
             return True

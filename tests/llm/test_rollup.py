@@ -47,10 +47,9 @@ def test_random_changes_replays_and_compaction(spark, tmp_path):
 def test_two_writers(spark, tmp_path):
     a, b = (rollup.TokenRollup(spark, str(tmp_path / "r")) for _ in range(2))
     rows = spark.createDataFrame([("s", "en", 4, 7)], "source string, lang string, n_tokens long, new long")
-    log = b.log
+    log, stale = b.log, [[], []]
     assert a.commit("one", rollup.inserted(rows, "v"))
-    stale = iter([[], []])
-    b.log = lambda: next(stale, None) if (x := next(stale, None)) is not None else log()  # sees an old log first
+    b.log = lambda: stale.pop() if stale else log()  # reads the log twice before a's entry is there
     assert b.commit("two", rollup.revised(rows, "v", "n_tokens", "new"))
     assert shown(a.totals()) == {("s", "en", "v"): (1, 7)}
 
