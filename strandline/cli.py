@@ -205,9 +205,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> SequenceModel:
         if a.score_table:
             sinks.write_lines(sinks.score_table(table), a.score_table)
     if a.export:
-        rows = model.weight_table() if hasattr(model, "weight_table") else []
-        if not rows:
-            raise ValueError("this model has no weights to export")
+        rows = model.weight_table()
         sinks.write_lines(spark.createDataFrame([(f"{n}\t{w}",) for n, w in rows], "line string"), a.export)
     if a.score:
         seqs = read_fasta(spark, a.score[0])

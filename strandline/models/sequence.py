@@ -74,9 +74,16 @@ class SequenceModel:
     def with_threshold(self, threshold: float) -> SequenceModel:
         return replace(self, settings=replace(self.settings, threshold=threshold))
 
-    def weights(self) -> DataFrame:
+    def weight_table(self) -> list[tuple[str, float]]:
         raise ValueError("this model has no weights to export")
 
+    def describe(self, seqs: DataFrame) -> DataFrame:
+        """item, value of the settings, the motifs and the numbers of sequences by class."""
+        rows = [(f"setting {k}", str(getattr(v, "value", v))) for k, v in vars(self.settings).items()]
+        rows += [(f"motif {m.name}", f"{m.pattern or 'matrix'} ({m.mismatches} mismatches)" if m.kind == "iupac" else f"matrix of {len(m)}, threshold {m.threshold:g}") for m in self.motifs]
+        counts = seqs.groupBy(F.concat(F.lit("sequences of class "), F.col("class_value").cast("string")).alias("item")).agg(F.count("*").cast("string").alias("value"))
+        return seqs.sparkSession.createDataFrame(rows, "item string, value string").unionByName(counts)
+
 
 @dataclass
 class PairSum(SequenceModel):

@@ -35,6 +35,11 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
     return records.agg(joined.alias("seq")).select(F.lit(0).cast("long").alias("seq_id"), F.lit(path).alias("name"), "seq", F.length("seq").alias("len"))
 
 
+def total_length(seqs: DataFrame) -> int:
+    """Bases over all sequences."""
+    return seqs.agg(F.coalesce(F.sum(F.length("seq").cast("long")), F.lit(0))).first()[0]
+
+
 def with_class(seqs: DataFrame, class_value: float, train_mode: str = "full") -> DataFrame:
     """Sequences of one class; train_mode: "full" or "win"."""
     if train_mode not in ("full", "win"):

@@ -96,9 +96,10 @@ def test_all_features_against_brute_force(spark):
             want = value(i, inside[key], n, seqs[key[0]][a : a + n])
             # sines of two motifs are signed from the instance's first motif to its second
             assert got[key][i.feature_id] == pytest.approx(want, abs=1e-9), (key, i)
-    filled = fill(w, feature_values(w, instances), instances)
-    assert filled.count() == len(place) * len(instances)
-    assert {r.value for r in filled.where("feature_id = 0").collect()} >= {empty_value(instances[0], SIZE)} or True
+    filled = fill(w, feature_values(w, instances), instances).collect()
+    assert len(filled) == len(place) * len(instances)
+    assert all(r.value == pytest.approx(got[r.seq_id, r.win][r.feature_id]) for r in filled)
+    assert empty_value(instances[0], SIZE) == 0 and empty_value(instances[-1], SIZE) == SIZE
 
 
 def test_names_and_pruning(spark):

@@ -18,6 +18,7 @@ def test_fasta(spark, tmp_path):
     rows = [(r.name, r.seq, r.len) for r in fasta.read_fasta(spark, str(path)).orderBy("seq_id").collect()]
     assert rows == [("one x:1..2 (+)", "ACGTNNac", 8), ("two", "GG", 2), ("three", "TT", 2)]
     assert fasta.read_fasta(spark, str(path), "keep").count() == 5
+    assert fasta.total_length(fasta.read_fasta(spark, str(path))) == 12
     with pytest.raises(Exception, match="empty sequence"):
         fasta.read_fasta(spark, str(path), "error").collect()
     flat = fasta.read_flat(spark, str(path)).first()
