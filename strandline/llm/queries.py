@@ -99,9 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
     "op5_chat_prefix_tree": chat.ORACLE,
-    "op1_token_rollup": op1_token_rollup,
-    "op2_warc": op2_warc,
-    "op4_quality_rules": op4_quality_rules,
     "op6_mixing": mixing.ORACLE,
 }

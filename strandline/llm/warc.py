@@ -279,3 +279,12 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
     # a stated number: rows of names are small, and Spark would else merge them into one task
     tasks = max(1, min(n, max(3 * spark.sparkContext.defaultParallelism, (size or 0) // ROLL_BYTES)))
     return map_arrow(manifest.select("file").repartition(tasks, F.col("file")), read, READ)
+
+
+_BASE32 = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || x[{5 * g + 1}:{5 * g + 5}])::INT >> {shift} & 31) + 1]" for g in range(8) for shift in (15, 10, 5, 0))
+#: The rows of op2's query in DuckDB's SQL, over the table pages: five hex digits of a SHA-1 are four of base 32.
+ORACLE = f"""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS head FROM d WINDOW w AS (PARTITION BY x ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN head END AS refers_to FROM r
+"""
