@@ -242,6 +242,8 @@ BLOCKS, AGREE = 11, 2
 #: Most differing bits of the first 64 and of all 128: about two standard deviations over what similarity 0.8 gives.
 NEAR, NEARER = 15, 28
 WIDE_CELL = 2048
+#: Texts of a part where pairs across rejected edges are measured.
+OPEN_CELL = 256
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int, int]:
@@ -353,15 +355,105 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> frozenset[bytes]:
     return frozenset(h.tobytes() for h in shingle_hashes(words, shingle)) if words else frozenset()
 
 
+def shingle_array(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The members of shingle_set as distinct integers."""
+    words = (text or b"").lower().split()
+    return np.unique(shingle_hashes(words, shingle).view(np.uint64)) if words else np.zeros(0, np.uint64)
+
+
 def jaccard(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+def similar_edges(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges (places in sets) that join the groups of root, if any pair of sets of two groups is of `similarity` or more.
+    All such pairs are measured exactly but those that edges before have joined. sets: distinct values."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[ids] > 1
+    ids, owner = ids[shared], owner[shared]
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    _, root = np.unique(root, return_inverse=True)
+    mark, out = np.zeros(len(count), bool), []
+    for x in range(len(sets) - 1):
+        if (root[x:] == root[x]).all():
+            continue
+        mine = ids[first[x] : first[x + 1]]
+        mark[mine] = True
+        rest = slice(first[x + 1], None)
+        both = np.bincount(owner[rest][mark[ids[rest]]], minlength=len(sets))[x + 1 :]
+        mark[mine] = False
+        union = size[x] + size[x + 1 :] - both
+        # the same division as jaccard(); two empty sets are equal
+        like = np.divide(both, union, out=np.ones(len(union)), where=union > 0) >= similarity
+        for y in (np.flatnonzero(like) + x + 1).tolist():
+            if root[x] != root[y]:
+                root[root == root[y]] = root[x]
+                out.append((x, y))
+    return out
+
+
+def open_links(rejected: DataFrame, stars: DataFrame, texts: DataFrame, similarity: float, shingle: int, cell: int = OPEN_CELL) -> DataFrame | None:
+    """Links (a, b) that a spanning forest of near pairs has missed; None if it can't have missed any.
+
+    A rejected edge of the forest stood for all near pairs across it, so the groups of verified links (stars: node, root)
+    at its ends stay open: those that rejected edges connect are a field, and inside a field every pair of texts
+    of two groups is measured. Groups over `cell` members are cut into parts and smaller ones share parts; every two parts
+    meet in a cell of their own, other than those of one group."""
+    roots = stars.select("node", "root")
+    ends = rejected.select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    across = materialize(ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x != y").distinct(), "open-pairs")
+    if across.isEmpty():
+        return None
+    fields = materialize(connected_components(across, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("field")), "fields")
+    members = texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(fields, "root")
+    members = materialize(members, "open-members")
+    groups = materialize(members.groupBy("field", "root").agg(F.count("*").alias("n")), "open-groups")
+    small = groups.where(F.col("n") <= cell).groupBy("field").agg(F.ceil(F.sum("n") / cell).alias("shared"))
+    own = groups.where(F.col("n") > cell).select("root", F.ceil(F.col("n") / cell).alias("own"))
+    placed = members.join(own, "root", "left").join(small, "field", "left")
+    slot = F.pmod(F.xxhash64("node"), F.coalesce("own", "shared"))
+    placed = materialize(placed.select("node", "root", "field", F.when(F.col("own").isNotNull(), F.col("root")).alias("whose"), slot.alias("slot")), "open-places")
+    parts = materialize(placed.select("field", "whose", "slot").distinct().withColumn("part", F.concat_ws(":", F.coalesce("whose", F.lit("")), "slot")), "open-parts")
+    p, q = parts.alias("p"), parts.alias("q")
+    pairs = p.join(q, "field").where("p.part <= q.part AND (p.whose IS NULL OR q.whose IS NULL OR p.whose != q.whose)")
+    pairs = pairs.select("field", F.xxhash64("field", "p.part", "q.part").alias("home"), F.array_distinct(F.array("p.part", "q.part")).alias("part"))
+    cells = materialize(pairs.select("field", "home", F.explode("part").alias("part")), "open-cells")
+    seated = placed.select("node", "root", "field", F.concat_ws(":", F.coalesce("whose", F.lit("")), "slot").alias("part")).join(cells, ["field", "part"])
+    seated = materialize(seated.select("home", "node", "root"), "open-seats")
+    rows = seated.join(texts, "node").select("home", "node", "root", F.col("text").cast("binary").alias("text")).repartition("home").sortWithinPartitions("home")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strandline.llm.simhash import shingle_array, similar_edges
+
+        def done(nodes: list[str], root: list[str], sets: list[np.ndarray]) -> pa.RecordBatch:
+            edges = similar_edges(sets, np.array(root), similarity)
+            ends = [pa.array([nodes[e[i]] for e in edges], pa.string()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        at, held = None, ([], [], [])
+        for batch in batches:
+            for home, node, root, text in zip(*(c for c in batch.columns)):
+                if home.as_py() != at and held[0]:
+                    yield done(*held)
+                    held = ([], [], [])
+                at = home.as_py()
+                for part, value in zip(held, (node.as_py(), root.as_py(), shingle_array(text.as_py(), shingle))):
+                    part.append(value)
+        if held[0]:
+            yield done(*held)
+
+    found = map_arrow(rows, compare, "a string, b string")
+    return materialize(found.distinct(), "open-links")
+
+
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text and any more columns) with one row of each group of near-duplicates: that with the smallest
     doc_id (null ids last; then any fixed one). Groups are components of pairs whose sets of `shingle`-word runs,
-    lower-cased, have a Jaccard similarity of at least `similarity`, among the pairs that SimHash proposes; texts with
-    equal words are always one group, those without words too. Equal rows are one row. An empty table gives an empty one."""
+    lower-cased, have a Jaccard similarity of at least `similarity`, among the pairs that SimHash finds near, each of
+    which is measured unless measured links join it already; texts with equal words are always one group, those without
+    words too. Equal rows are one row. An empty table gives an empty one."""
     spark = docs.sparkSession
     ship_package(spark)
     columns = docs.columns
@@ -397,8 +489,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         release_memory()
         return out
 
-    links = materialize(both.select("a", "b", measured("left", "right").alias("j")).where(F.col("j") >= similarity), "links")
+    tested = materialize(both.select("a", "b", measured("left", "right").alias("j")), "tested-pairs")
+    links = tested.where(F.col("j") >= similarity).select("a", "b")
     stars = materialize(connected_components(links, "a", "b"), "stars")
+    more = open_links(tested.where(F.col("j") < similarity), stars, texts, similarity, shingle)
+    if more is not None:
+        stars = materialize(connected_components(links.unionByName(more), "a", "b"), "stars")
     members = nodes.select("node", "first").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = materialize(members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
     single = keyed.groupBy("__row").agg(*[F.first(f"`{c}`").alias(c) for c in columns])  # equal rows meet before the shuffle

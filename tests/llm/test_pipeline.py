@@ -82,6 +82,60 @@ def test_deduplication_against_brute_force(spark):
     assert simhash.deduplicate(df.where("false")).count() == 0
 
 
+def edited_copies(n, seed):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for k in rng.sample(range(200), rng.choice([1, 2, 2, 3, 3, 4])):
+            words[k] = f"edit{i}x{k}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_pairs_behind_a_rejected_edge_are_measured(spark):
+    texts = edited_copies(300, 8)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in simhash.deduplicate(df).collect())
+    marks = [simhash.wide_fingerprint(t.encode()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    masks = simhash.tables(simhash.BLOCKS, simhash.AGREE)
+    for i in range(len(texts)):
+        for j in range(i):
+            x, y = ((marks[i][k] ^ marks[j][k]) & (1 << 64) - 1 for k in (1, 2))
+            if x.bit_count() <= simhash.NEAR and x.bit_count() + y.bit_count() <= simhash.NEARER and any(not x & m for m in masks) and jaccard(texts[i], texts[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    proposed = {find(i) for i in range(len(texts))}
+    assert set(kept) <= proposed  # an open field may join more: all its pairs are measured, not the near ones alone
+
+
+def test_edges_join_all_similar_groups():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, 40)).astype(np.uint64) for _ in range(6)]
+    sets += [np.unique(np.r_[sets[i % 6][: len(sets[i % 6]) - rng.integers(0, 8)], rng.choice(1000, rng.integers(0, 4)).astype(np.uint64)]) for i in range(80)] + [np.zeros(0, np.uint64)] * 2
+    root = rng.integers(0, 60, len(sets))
+
+    def components(edges):
+        label = list(root)
+        for i, j in edges:
+            old, new = label[i], label[j]
+            label = [new if x == old else x for x in label]
+        return [label.index(x) for x in label]
+
+    like = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.jaccard(frozenset(sets[i].tolist()), frozenset(sets[j].tolist())) >= 0.8]
+    got = simhash.similar_edges(sets, root, 0.8)
+    assert {(max(e), min(e)) for e in got} <= set(like) and components(got) == components(like) and len(got) < len(sets)
+
+
 def test_closest_edges_span_what_is_near():
     import numpy as np
 
