@@ -247,13 +247,13 @@ OPEN_CELL = 256
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int, int]:
-    """(content id, two independent SimHashes) of a text's lower-cased words, as signed longs."""
+    """(content id, two independent SimHashes of the set of shingles) of a text's lower-cased words, as signed longs."""
     words = (text or b"").lower().split()
     content = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True)
     if not words:
         return content, 0, 0
-    hashes = shingle_hashes(words, shingle)
-    x = hashes.view(">u8").astype(np.uint64).ravel()
+    x = np.unique(shingle_hashes(words, shingle).view(">u8").astype(np.uint64))  # similarity is of sets
+    hashes = x.astype(">u8").view(np.uint8).reshape(-1, 8)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finalizer of splitmix64
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     second = (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -116,6 +116,19 @@ def test_near_pairs_behind_a_rejected_edge_are_measured(spark):
     assert set(kept) <= proposed  # an open field may join more: all its pairs are measured, not the near ones alone
 
 
+def test_repeated_lines_do_not_hide_a_copy():
+    rng = random.Random(6)
+    near = 0
+    for _ in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        plain, repeated = " ".join(words), " ".join(words + words[:8] * 6)
+        assert jaccard(plain, repeated) >= 0.8
+        (_, a, b), (_, c, d) = (simhash.wide_fingerprint(t.encode()) for t in (plain, repeated))
+        x, y = ((v & (1 << 64) - 1).bit_count() for v in (a ^ c, b ^ d))
+        near += x <= simhash.NEAR and x + y <= simhash.NEARER
+    assert near >= 95
+
+
 def test_edges_join_all_similar_groups():
     import numpy as np
 
