@@ -29,6 +29,8 @@ SILENCE = 1e-6
 #: Runs of so many equal integers are what two recordings must share to be aligned.
 RUN = 2
 MAX_ERROR = 0.25
+#: Overlap, in integers, from which the bits alone decide; in the tests' melodies unrelated ends agree by chance up to 20.
+MIN_OVERLAP = 24
 
 #: Filters by rule: (kind, first pitch class, height, width); kinds are ways to split a rectangle in two.
 FILTERS = [(i % 6, (5 * i) % 12 % (13 - h), h, w) for i, (h, w) in enumerate((h, w) for h in (3, 4, 6, 12) for w in (4, 8, 12, 16))]
@@ -160,10 +162,82 @@ def _bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def _blocks(prints: list[np.ndarray], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, lengths and bits (1 or -1, 0 beyond the end) of prints by length, at most so many integers at once or one row."""
+    order = np.argsort([len(p) for p in prints], kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(prints[order[end]]) <= most:
+            end += 1
+        rows = order[at:end]
+        size = np.array([len(prints[i]) for i in rows])
+        bits = np.zeros((len(rows), int(size.max()), 32), np.float32)
+        for k, i in enumerate(rows):
+            bits[k, : size[k]] = np.unpackbits(prints[i].astype("<u4").view(np.uint8)).reshape(-1, 32) * np.float32(2) - 1
+        yield rows, size, bits
+        at = end
+
+
+def passing_offsets(queries: list[np.ndarray], classes: list[np.ndarray], max_error: float, least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(query, class, offset, overlap, errors) of every offset of every pair whose overlap is at least `least` integers and
+    differs in at most max_error of its bits. Agreeing less differing bits are one matrix product an offset."""
+    held = list(_blocks(queries))
+    for c_rows, c_size, c_bits in _blocks(classes):
+        for q_rows, q_size, q_bits in held:
+            for offset in range(least - q_bits.shape[1], c_bits.shape[1] - least + 1):
+                q, c = max(0, -offset), max(0, offset)
+                n = min(q_bits.shape[1] - q, c_bits.shape[1] - c)
+                if n < least:
+                    continue
+                score = q_bits[:, q : q + n].reshape(len(q_rows), -1) @ c_bits[:, c : c + n].reshape(len(c_rows), -1).T
+                for i, j in np.argwhere(score >= 32 * least * (1 - 2 * max_error)).tolist():
+                    overlap = int(min(q_size[i] - q, c_size[j] - c))
+                    errors = (32 * overlap - int(score[i, j])) // 2
+                    if overlap >= least and errors <= max_error * 32 * overlap:
+                        yield int(q_rows[i]), int(c_rows[j]), offset, overlap, errors
+
+
+def _long_overlaps(queries: DataFrame, classes: DataFrame, max_error: float, block: tuple[int, int] = (1024, 2048)) -> DataFrame:
+    """query, match, offset, overlap, errors of all queries with all classes from MIN_OVERLAP on: every block of queries
+    meets every block of classes in a cell."""
+    g, h = (max(1, -(-df.count() // n)) for df, n in ((queries, block[0]), (classes, block[1])))
+    mine, other = F.pmod(F.xxhash64("class_id"), F.lit(g)), F.pmod(F.xxhash64("class_id"), F.lit(h))
+    row = lambda asks, home: F.struct(home.cast("long").alias("home"), F.lit(asks).alias("asks"))
+    q = queries.select("class_id", "prints", F.explode(F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda j: row(True, mine * h + j))).alias("x"))
+    c = classes.select("class_id", "prints", F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: row(False, i * h + other))).alias("x"))
+    cells = q.unionByName(c).select("x.home", "x.asks", "class_id", "prints").repartition(min(g * h, 2000), "home").sortWithinPartitions("home")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strandline.llm.chroma import MIN_OVERLAP, passing_offsets
+
+        def done(held: tuple) -> pa.RecordBatch:
+            (q_ids, q), (c_ids, c) = held
+            found = [(q_ids[i], c_ids[j], *x) for i, j, *x in passing_offsets(q, c, max_error, MIN_OVERLAP) if q_ids[i] != c_ids[j]] if q and c else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(5)], names=["query", "match", "offset", "overlap", "errors"])
+
+        at, held = None, (([], []), ([], []))
+        for b in batches:
+            for home, asks, key, prints in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if home != at and at is not None:
+                    yield done(held)
+                    held = (([], []), ([], []))
+                at = home
+                ids, values = held[0 if asks else 1]
+                ids.append(key)
+                values.append(prints.values.to_numpy(zero_copy_only=False).view(np.uint32))
+        if at is not None:
+            yield done(held)
+
+    return map_arrow(cells, compare, "query long, match long, offset long, overlap long, errors long")
+
+
 def align(queries: DataFrame, classes: DataFrame, run: int = RUN, max_error: float = MAX_ERROR) -> DataFrame:
-    """Aligned pairs of classes: query, match, offset (frames that the match lags), hits (shared runs at that offset),
-    overlap (integers) and errors (differing bits), for pairs of different classes that share a run of `run` equal
-    integers and differ in at most max_error of the overlap's bits. queries, classes: class_id, prints."""
+    """Aligned pairs of classes: query, match, offset (frames that the match lags), hits (shared runs of `run` equal
+    integers at that offset), overlap (integers) and errors (differing bits), for pairs of different classes that differ in
+    at most max_error of the overlap's bits at some offset. From MIN_OVERLAP integers on, every offset of every pair is
+    compared; a shorter overlap must hold a shared run. The offset with the most agreeing less differing bits is kept.
+    queries, classes: class_id, prints."""
 
     def postings(df: DataFrame, name: str) -> DataFrame:
         runs = F.transform(F.sequence(F.lit(0), F.size("prints") - run), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("prints", i + 1, run)).alias("key")))
@@ -172,12 +246,17 @@ def align(queries: DataFrame, classes: DataFrame, run: int = RUN, max_error: flo
 
     hits = postings(queries, "query").join(postings(classes, "match"), "key").where("query != match")
     histogram = hits.groupBy("query", "match", (F.col("match_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = histogram.groupBy("query", "match").agg(F.max(F.struct("hits", -F.abs("offset"), "offset")).alias("b")).select("query", "match", "b.hits", "b.offset")
-    pairs = best.join(queries.select(F.col("class_id").alias("query"), F.col("prints").alias("q")), "query").join(classes.select(F.col("class_id").alias("match"), F.col("prints").alias("m")), "match")
+    histogram = materialize(histogram, "histogram")
+    pairs = histogram.join(queries.select(F.col("class_id").alias("query"), F.col("prints").alias("q")), "query").join(classes.select(F.col("class_id").alias("match"), F.col("prints").alias("m")), "match")
     q_from, m_from = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    overlap = F.least(F.size("q") - q_from, F.size("m") - m_from)
-    pairs = pairs.withColumn("overlap", overlap).withColumn("errors", _bits(F.slice("q", q_from + 1, overlap), F.slice("m", m_from + 1, overlap)))
-    return pairs.where(F.col("errors") <= max_error * 32 * F.col("overlap")).select("query", "match", "offset", "hits", "overlap", "errors")
+    pairs = pairs.withColumn("overlap", F.least(F.size("q") - q_from, F.size("m") - m_from)).where(F.col("overlap") < MIN_OVERLAP)
+    short = pairs.withColumn("errors", _bits(F.slice("q", q_from + 1, F.col("overlap")), F.slice("m", m_from + 1, F.col("overlap"))))
+    short = short.where(F.col("errors") <= max_error * 32 * F.col("overlap")).select("query", "match", F.col("offset").cast("long"), F.col("overlap").cast("long"), "errors")
+    every = materialize(short.unionByName(_long_overlaps(queries, classes, max_error)), "passing-offsets")
+    rank = F.struct(32 * F.col("overlap") - 2 * F.col("errors"), -F.abs("offset"), F.col("offset"), F.col("overlap"), F.col("errors"))
+    best = every.groupBy("query", "match").agg(F.max(rank).alias("b")).select("query", "match", "b.offset", "b.overlap", "b.errors")
+    hits = histogram.select("query", "match", F.col("offset").cast("long").alias("offset"), "hits")
+    return best.join(hits, ["query", "match", "offset"], "left").select("query", "match", "offset", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), "overlap", "errors")
 
 
 def align_all(recordings: DataFrame, key: str, column: str, decode: Callable[..., tuple[np.ndarray, int]] = decode_wav, every: int = 20) -> DataFrame:

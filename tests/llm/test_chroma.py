@@ -103,3 +103,14 @@ def test_melodies_and_empty_table(spark):
     assert len(chroma.fingerprint(*chroma.melody(None))) == 0
     assert len(chroma.fingerprint(*chroma.melody([None, float("nan"), 0.1] * 30))) > 0
     assert chroma.align_all(spark.createDataFrame([], "id long, v array<float>"), "id", "v", chroma.melody).count() == 0
+
+
+def test_noisy_copies_without_shared_runs_are_aligned(spark):
+    rng = np.random.default_rng(3)
+    clean = rng.integers(0, 2**32, (20, 60), dtype=np.uint64).astype(np.uint32)
+    noise = [np.packbits(rng.random((60, 32)) < e, axis=1).view("<u4").ravel() for e in (0.05, 0.1, 0.15, 0.2) * 5]
+    noisy = [(c ^ x)[k:] for k, (c, x) in enumerate(zip(clean, noise))]
+    rows = [(i, p.view(np.int32).tolist()) for i, p in enumerate(clean)] + [(100 + i, p.view(np.int32).tolist()) for i, p in enumerate(noisy)]
+    df = spark.createDataFrame(rows, "class_id long, prints array<int>")
+    got = {(r.query, r.match, r.offset) for r in chroma.align(df.where("class_id < 100"), df).collect()}
+    assert got == {(i, 100 + i, -i) for i in range(20)}
