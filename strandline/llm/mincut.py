@@ -128,6 +128,7 @@ def read_blocks(page: str) -> list[Block]:
             if links:
                 r.linked += len(s)
 
+    unclosed: set[str] = set()
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -168,9 +169,10 @@ def read_blocks(page: str) -> list[Block]:
             continue
         if tag in SKIPPED:
             if not m[3].endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])|<body(?=[\\s>])" if tag == "head" else f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(page, at)
+                close = None if tag in unclosed else re.compile(f"</{re.escape(tag)}(?=[\\s/>])|<body(?=[\\s>])" if tag == "head" else f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(page, at)
                 if close is None:
-                    at = at if tag == "head" else n
+                    unclosed.add(tag)  # nor is any later one closed
+                    at = n if tag in ("script", "style", "title", "iframe") else at  # the others' content is markup
                 elif close[0].lower() == "<body":
                     at = close.start()
                 else:

@@ -47,6 +47,13 @@ def test_cases(page, want):
     assert mincut.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ["video", "audio", "object", "canvas", "svg", "template", "noscript"])
+def test_an_element_left_open_keeps_the_page(tag):
+    article = "The storm crossed the coast at night, and the harbour was closed until the morning after. " * 4
+    assert article.strip() in mincut.main_text(f"<body><{tag} src=x><article><p>{article}</p></article></body>")
+    assert mincut.main_text(f"<body><script src=x><article><p>{article}</p></article></body>") == ""
+
+
 def test_long_and_broken_pages_end():
     assert mincut.main_text("<p>" + "word " * 200_000 + "</p>") == "word " * 199_999 + "word"
     mincut.main_text("<a \"" * 3000 + "<b>" * 3000)
