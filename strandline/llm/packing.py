@@ -131,7 +131,8 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None
 
 
 def token_counts(docs: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """docs without text, with the number of the text's tokens as column name; null texts have none."""
+    """docs without text, with the number of the text's tokens as column name, in place of a column that has that name; null
+    texts have none, and an empty table gives an empty one."""
     ship_package(docs.sparkSession)
     path = path or tokenizer_path()
 

@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -48,12 +49,69 @@ def test_two_writers(spark, tmp_path):
     a, b = (rollup.TokenRollup(spark, str(tmp_path / "r")) for _ in range(2))
     rows = spark.createDataFrame([("s", "en", 4, 7)], "source string, lang string, n_tokens long, new long")
     log, stale = b.log, [[], []]
+    b._versions, real = lambda: [] if stale else real(), b._versions
     assert a.commit("one", rollup.inserted(rows, "v"))
     b.log = lambda: stale.pop() if stale else log()  # reads the log twice before a's entry is there
     assert b.commit("two", rollup.revised(rows, "v", "n_tokens", "new"))
     assert shown(a.totals()) == {("s", "en", "v"): (1, 7)}
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("point", ["_write_temporary", "_rename", "_publish"])
+def test_a_writer_that_dies_leaves_the_rollup_usable(spark, tmp_path, monkeypatch, point):
+    rows = spark.createDataFrame([("s", "en", 4)], "source string, lang string, n_tokens long")
+    store = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    assert store.commit("zero", rollup.inserted(rows, "v"))
+    dying = rollup.TokenRollup(spark, str(tmp_path / "r"))
+
+    def die(*_):
+        raise Killed
+
+    monkeypatch.setattr(dying, point, die)
+    with pytest.raises(Killed):
+        dying.commit("one", rollup.inserted(rows, "v"))
+    with pytest.raises(Killed):
+        dying.compact()
+    assert shown(store.totals()) == {("s", "en", "v"): (1, 4)}
+    assert store.commit("one", rollup.inserted(rows, "v")) and not store.commit("one", rollup.inserted(rows, "v"))
+    assert store.compact() and store.commit("two", rollup.inserted(rows, "v"))
+    assert shown(store.totals()) == {("s", "en", "v"): (3, 12)}
+    assert store.vacuum() == 0 and store.vacuum(-1) > 0 and store.vacuum(-1) == 0
+    assert shown(store.totals()) == {("s", "en", "v"): (3, 12)} and store.batches() == ["zero", "one", "two"]
+
+
+def test_a_torn_entry_is_void(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "en", 4)], "source string, lang string, n_tokens long")
+    store = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    store.commit("zero", rollup.inserted(rows, "v"))
+    for n, text in ((1, ""), (2, '{"batches": ["x"]')):  # as a writer without the temporary name would leave them
+        (tmp_path / "r" / "log" / f"{n:012d}.json").write_text(text)
+    assert store.commit("one", rollup.inserted(rows, "v")) and store.compact()
+    (tmp_path / "r" / "log" / "compacted").unlink()
+    assert shown(store.totals()) == {("s", "en", "v"): (2, 8)} and store.batches() == ["zero", "one"]
+
+
+def test_a_taken_number_is_refused(spark, tmp_path):
+    store = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    for rename in (store._rename, store._rename_once):
+        target = f"{rename.__name__}.json"
+        assert rename(store._write_temporary({"n": 1}), target) and not rename(store._write_temporary({"n": 2}), target)
+        assert json.loads(store._read(f"log/{target}")) == {"n": 1}
+    with pytest.raises(ValueError):
+        rollup.check_scheme("s3a")
+
+
+def test_clashing_names_repeats_and_nulls(spark, tmp_path):
+    store = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([("s", None, 4, "x", "y"), ("s", None, 4, "x", "y"), (None, None, None, None, None)], "source string, lang string, n_tokens long, docs string, tokens string")
+    store.commit("b", rollup.inserted(rows, "v"))
+    store.commit("none", rollup.inserted(rows.where("false"), "v"))
+    assert shown(store.totals()) == {("s", None, "v"): (2, 8), (None, None, "v"): (1, 0)}
+
+
 @pytest.mark.parametrize("extra", [True, False])
 def test_query_against_brute_force(spark, sf, tmp_path, extra):
     rows = [(r.doc_id, r.text, r.source, r.lang, r.n_chars) for r in read_table(spark, sf, "documents").collect()] if extra else []
