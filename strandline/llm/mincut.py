@@ -1,20 +1,30 @@
 """HTML main text by minimum-cut labelling.
 
-A page is read into text blocks with the elements around them. A linear classifier gives each block log-odds of being
-content from its elements, link density, length and punctuation; its cost for either label becomes the capacity to a
-terminal. Neighbouring blocks and blocks that follow each other in one element are tied by smoothness edges. The
-minimum cut, found by maximum flow, separates content from boilerplate. Blocks whose own cost outweighs all their edges
-are fixed first, which never changes the cut, so most pages leave few blocks to the flow.
+A page is read into text blocks with the elements around them. A logistic classifier gives each block log-odds of being
+content from its words, links, punctuation and tag, and from what the elements around it say by name; its cost for
+either label becomes the capacity to a terminal. Blocks that follow each other, on the page or among the children of one
+element, are tied by smoothness edges that weigh more the nearer the two are in the tree. The minimum cut, found by
+maximum flow, separates content from boilerplate. Blocks whose own cost outweighs all their edges are fixed first, which
+never changes the cut, so most pages leave few blocks to the flow.
+
+All weights are fitted by fitted() on TRAINING_PAGES made-up pages with known main text (page_maker): the classifier's by
+penalized maximum likelihood, an edge's by how often blocks in its relation share their label, and one factor on all
+edges by the labels that the cut gets right on pages that the rest was not fitted on. The pages are a fixed number, take
+about two seconds of the driver, and give the same weights everywhere.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
+import operator
 import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +46,7 @@ BOILERPLATE_WORDS = frozenset(
     " newsletter subscribe subscription signup signin login register social share sharing shares related recommended recommendations sidebar sidebars rail menu menus nav navs navbar navigation topnav subnav breadcrumb breadcrumbs"
     " footer footers masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion reader-comments widget widgets pagination pager skip search searchbox searchform form copyright disclaimer legal tags taglist byline-links outbrain taboola".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 #: Of elements that wrap a whole page, as in "layout has-sidebar": their other words say nothing about what they hold.
 LAYOUT_WORDS = frozenset("has with without no layout wrap wrapper page container site row columns main content root app".split())
 CONTENT_WORDS = frozenset("article articlebody post entry content story body text main".split())
@@ -46,10 +57,16 @@ _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 _RIGHTS = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|\bsubscribe\b", re.IGNORECASE)
 _SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)\]]*(?:\s|$)")
 
-#: Weights of the classifier, in log-odds of content.
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKS, PARAGRAPH, HEADING, ITEM, IN_ARTICLE, IN_CONTENT, IN_BOILERPLATE, RIGHTS = 0.0, 0.1, 30, 1.0, -4.0, 0.5, 1.0, -0.5, 4.0, 1.5, -12.0, -3.0
-#: Smoothness of neighbours in one element, of neighbours in two, of blocks that follow each other in one element.
-SAME, APART, SIBLINGS = 0.8, 0.3, 0.4
+TRAINING_PAGES, TRAINING_SEED = 800, 1_000_000
+#: Of the squared weights of the classifier.
+PENALTY = 0.5
+FACTORS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0)
+FEATURES = (
+    "bias", "log_words", "ten_words", "link_share", "mostly_links", "sentence", "paragraph", "heading", "item", "no_element", "article",
+    "content_name", "boilerplate_tag", "boilerplate_name", "boilerplate_in_article", "boilerplate_around_article", "comments", "header", "rights", "plain_page",
+)
+#: Steps in the tree from one block's element to the other's, at most, by whether marked elements lie in between.
+FAR = 6
 
 
 @dataclass(slots=True, eq=False)
@@ -60,9 +77,10 @@ class Element:
     hard: bool = False  # by tag or role
     article: bool = False  # an article or main part
     holds_article: bool = False
-    hidden: bool = False
+    hidden: bool = False  # or inside such an element
     block: bool = True
-    weight: float | None = None
+    depth: int = 0
+    facts: tuple[float, ...] | None = None
 
 
 @dataclass(slots=True)
@@ -83,13 +101,13 @@ class _Reader:
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            if text:
+            if text and not self.owner.hidden:
                 self.blocks.append(Block(self.owner, text, self.linked, sum(map(len, self.parts))))
             self.parts, self.linked = [], 0
 
 
 def _element(tag: str, attrs: str, parent: Element) -> Element:
-    e = Element(tag, parent, article=tag in ("article", "main"), hard=tag in BOILERPLATE_TAGS)
+    e = Element(tag, parent, article=tag in ("article", "main"), hard=tag in BOILERPLATE_TAGS, hidden=parent.hidden, depth=parent.depth + 1)
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name = m[1].lower()
@@ -104,7 +122,7 @@ def _element(tag: str, attrs: str, parent: Element) -> Element:
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 e.hidden = True
     e.article &= not e.words & BOILERPLATE_WORDS
-    e.block = tag not in INLINE or e.hidden or bool(e.words & BOILERPLATE_WORDS)  # a marked inline element is a block of its own
+    e.block = tag not in INLINE or e.hidden != parent.hidden or bool(e.words & BOILERPLATE_WORDS)  # a marked inline element is a block of its own
     if e.article:
         up = parent
         while up is not None and not up.holds_article:
@@ -199,60 +217,151 @@ def read_blocks(page: str) -> list[Block]:
     return r.blocks
 
 
-def element_weight(e: Element) -> float:
-    """Log-odds that the elements around a block add: boilerplate outweighs all else; article and content count once."""
-    if e.weight is None:
-        chain, up = [], e
-        while up is not None:
-            chain.append(up)
-            up = up.parent
-        in_article = any(x.article for x in chain)
-        in_content = any(x.words & CONTENT_WORDS for x in chain)
-        bad = False
-        for i, x in enumerate(chain):
-            if x.hidden:
-                bad = True
-            elif x.holds_article and (x.tag == "form" or x.words & LAYOUT_WORDS):
-                continue
-            elif x.hard or x.words & BOILERPLATE_WORDS:
-                bad = True
-            elif x.tag == "header" or "header" in x.words:
-                bad |= not (any(y.article for y in chain[i:]) or x.words & CONTENT_WORDS)
-        e.weight = (IN_BOILERPLATE if bad else 0.0) + (IN_ARTICLE if in_article else 0.0) + (IN_CONTENT if in_content else 0.0)
-    return e.weight
-
-
-def log_odds(b: Block) -> float:
-    words = b.text.count(" ") + 1
-    tag = b.element.tag
-    score = BIAS + PER_WORD * min(words, MOST_WORDS) + LINKS * min(1.0, b.linked / max(1, b.chars)) + element_weight(b.element)
-    if _SENTENCE.search(b.text):
-        score += SENTENCE
-    if tag == "p":
-        score += PARAGRAPH
-    elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        score += HEADING
-    elif tag in ("li", "td", "th", "dt"):
-        score += ITEM
-    if words < 25 and _RIGHTS.search(b.text):
-        score += RIGHTS
-    return score
-
-
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def element_facts(e: Element) -> tuple[float, ...]:
+    """What the elements around a block say: an article; a name of content; boilerplate by tag or role, and by name, up to
+    the article's element; either of them in an article, and around one; comments; a header outside of
+    articles."""
+    if e.facts is None:
+        article = content = tag = name = around = comments = header = False
+        x = e
+        while x is not None:
+            wraps = x.holds_article and (x.tag == "form" or bool(x.words & LAYOUT_WORDS))
+            if not wraps:
+                comments |= bool(x.words & COMMENT_WORDS)
+                bad_tag, bad_name = x.hard, bool(x.words & BOILERPLATE_WORDS)
+                if article:
+                    around |= bad_tag or bad_name
+                else:
+                    tag |= bad_tag
+                    name |= bad_name
+            article |= x.article
+            content |= bool(x.words & CONTENT_WORDS)
+            if (x.tag == "header" or "header" in x.words) and not article and not x.words & CONTENT_WORDS and not _in_article(x):
+                header = True
+            x = x.parent
+        e.facts = tuple(map(float, (article, content, tag, name, article and (tag or name), around, comments, header)))
+    return e.facts
+
+
+def _in_article(e: Element | None) -> bool:
+    while e is not None and not e.article:
+        e = e.parent
+    return e is not None
+
+
+def is_plain(blocks: list[Block]) -> bool:
+    """No marked element and no block of links."""
+    return not any(2 * b.linked > b.chars or any(element_facts(b.element)) for b in blocks)
+
+
+def block_features(b: Block, plain: bool = False) -> tuple[float, ...]:
+    """FEATURES of a block of a page that is plain or not."""
+    words, tag = b.text.count(" ") + 1, b.element.tag
+    share = min(1.0, b.linked / max(1, b.chars))
+    return (
+        1.0,
+        min(6.0, math.log2(1 + words)),
+        float(words >= 10),
+        share,
+        float(share > 0.5),
+        float(_SENTENCE.search(b.text) is not None),
+        float(tag == "p"),
+        float(tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
+        float(tag in ("li", "td", "th", "dt")),
+        float(tag in ("#root", "body", "html")),
+        *element_facts(b.element),
+        float(words < 25 and _RIGHTS.search(b.text) is not None),
+        float(plain),
+    )
+
+
+def _relation(a: Element, b: Element) -> int:
+    """Steps from a to b through the tree, FAR at most; FAR + 1 if one is in an article or marked element and the other
+    is not, by whichever mark."""
+    if a is b:
+        return 0
+    if element_facts(a) != element_facts(b):
+        return FAR + 1
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
+def neighbours(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Pairs of blocks that follow each other on the page, or among the blocks of one parent element, and their relation."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         home = id(b.element.parent if b.element.parent is not None else b.element)
         if i:
-            before = blocks[i - 1].element
-            near = before is b.element or before.parent is b.element.parent
-            edges.append((i - 1, i, SAME if near else APART))
+            edges.append((i - 1, i, _relation(blocks[i - 1].element, b.element)))
         if last.get(home, i - 1) != i - 1:
-            edges.append((last[home], i, SIBLINGS))
+            edges.append((last[home], i, _relation(blocks[last[home]].element, b.element)))
         last[home] = i
     return edges
 
 
+@dataclass(frozen=True)
+class Weights:
+    unary: tuple[float, ...]  # by FEATURES
+    edges: tuple[float, ...]  # by relation
+
+    def log_odds(self, blocks: list[Block]) -> list[float]:
+        plain = is_plain(blocks)
+        return [sum(map(operator.mul, self.unary, block_features(b, plain))) for b in blocks]
+
+    def smoothness(self, blocks: list[Block]) -> list[tuple[int, int, float]]:
+        return [(a, b, self.edges[r]) for a, b, r in neighbours(blocks) if self.edges[r] > 0]
+
+    def labels(self, blocks: list[Block]) -> list[bool]:
+        return minimum_cut(self.log_odds(blocks), self.smoothness(blocks))
+
+
+def labelled_blocks(seed: int) -> tuple[list[Block], list[bool]]:
+    """Blocks of a made-up page and whether each is main text."""
+    from strandline.llm.page_maker import make_page
+
+    page = make_page(seed)
+    blocks = read_blocks(page.html)
+    return blocks, [b.text in page.content for b in blocks]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights of a logistic regression with a squared penalty, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (y - p) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+@lru_cache(1)
+def fitted(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> Weights:
+    """Weights from made-up pages: half of them fit classifier and edges, the other half the factor of the edges."""
+    made = [labelled_blocks(seed + i) for i in range(pages)]
+    first, second = made[: pages // 2], made[pages // 2 :]
+    unary = logistic(np.array([block_features(b, plain) for blocks, _ in first for plain in [is_plain(blocks)] for b in blocks]), np.array([y for _, ys in first for y in ys], dtype=float), PENALTY)
+    alike, unlike = [1] * (FAR + 2), [1] * (FAR + 2)
+    for blocks, ys in first:
+        for a, b, r in neighbours(blocks):
+            (alike if ys[a] == ys[b] else unlike)[r] += 1
+    edges = [max(0.0, math.log(a / u)) for a, u in zip(alike, unlike)]
+    best = None
+    for factor in FACTORS:
+        weights = Weights(tuple(round(float(w), 6) for w in unary), tuple(round(factor * e, 6) for e in edges))
+        right = sum(x == y for blocks, ys in second for x, y in zip(weights.labels(blocks), ys))
+        if best is None or right > best[0]:
+            best = (right, weights)
+    return best[1]
+
+
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels minimizing the sum of |unary| of nodes against their sign and of the weights of cut edges."""
     n = len(unary)
@@ -342,10 +451,10 @@ def _source_side(cost: list[float], edges: list[tuple[int, int, float]]) -> set[
                 at[a] += 1
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: Weights | None = None) -> str:
     """Content blocks in page order, joined by one space; empty if there are none."""
     blocks = read_blocks(page or "")
-    kept = minimum_cut([log_odds(b) for b in blocks], smoothness(blocks))
+    kept = (weights or fitted()).labels(blocks)
     return " ".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
@@ -353,12 +462,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html; others are not read). A null or empty page
     has an empty text; null ids, null urls and repeated rows stay; a page is held whole, whatever its length."""
     ship_package(pages.sparkSession)
+    weights = fitted()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandline.llm.mincut import main_text
 
         for b in batches:
-            texts = [main_text(p.as_py()) for p in b.column(2)]
+            texts = [main_text(p.as_py(), weights) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -54,6 +54,41 @@ def test_an_element_left_open_keeps_the_page(tag):
     assert mincut.main_text(f"<body><script src=x><article><p>{article}</p></article></body>") == ""
 
 
+MORE = [
+    (f"<article><p>{PARA}</p><section class=comments><h3>Replies</h3><article><p>No, {PARA} {PARA}</p></article></section></article>", PARA),
+    (f"<main><h1>A title here</h1><p>{PARA}</p><aside><h4>Read on</h4><p>{PARA}</p></aside><p>So it ends.</p></main>", f"A title here {PARA} So it ends."),
+    (f"<div class=topbar><a href=/>Site</a></div><div id=content><h2>Head</h2><p>{PARA}</p><p>Brief</p><p>{PARA}</p></div><div class=related><article><h3><a href=/x>Other</a></h3><p>{PARA}</p></article></div>", f"Head {PARA} Brief {PARA}"),
+]
+
+
+@pytest.mark.parametrize("page,want", MORE)
+def test_articles_inside_boilerplate_and_boilerplate_inside_articles(page, want):
+    assert mincut.main_text(page) == want
+
+
+def test_the_cut_mends_labels_on_pages_it_was_not_fitted_on():
+    """1000 made-up pages with other seeds than those of the fit: the classifier alone has F1 0.87, with the cut 0.92."""
+    weights = mincut.fitted()
+    counts = {False: [0, 0, 0], True: [0, 0, 0]}
+    changed = mended = 0
+    for seed in range(1000):
+        blocks, truth = mincut.labelled_blocks(seed)
+        alone, cut = [c > 0 for c in weights.log_odds(blocks)], weights.labels(blocks)
+        changed += sum(a != c for a, c in zip(alone, cut))
+        mended += sum(a != c and c == t for a, c, t in zip(alone, cut, truth))
+        for which, labels in ((False, alone), (True, cut)):
+            for x, t in zip(labels, truth):
+                counts[which][0 if x and t else 1 if x or t else 2] += 1
+    f1 = {k: 2 * hit / (2 * hit + miss) for k, (hit, miss, _) in counts.items()}
+    assert changed > 500 and mended > 0.6 * changed
+    assert f1[True] > f1[False] + 0.02 and f1[True] > 0.9
+
+
+def test_fitting_is_repeatable():
+    small = mincut.fitted.__wrapped__(60, 5)
+    assert small == mincut.fitted.__wrapped__(60, 5) and len(small.unary) == len(mincut.FEATURES) and min(small.edges) >= 0
+
+
 def test_long_and_broken_pages_end():
     assert mincut.main_text("<p>" + "word " * 200_000 + "</p>") == "word " * 199_999 + "word"
     mincut.main_text("<a \"" * 3000 + "<b>" * 3000)
