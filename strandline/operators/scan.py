@@ -1,13 +1,15 @@
 """Motif scans on both strands.
 
-One pass over the sequences finds all motifs: a batch of sequences is laid end to end as codes, and each position of a
-motif is one vectorized comparison over the whole batch. Results are exact; nothing is sampled or capped, and memory is
-a few bytes a base of one batch.
+One pass over the sequences finds all motifs. Sequences are laid end to end in pieces of about a million bases, longer
+ones cut into pieces that overlap by a motif's length, so memory is bounded beyond the sequence itself. A piece becomes
+numbers of its words of up to 8 bases, once for each length; a table of all words says which motifs match there, with
+mismatches or without, and what is longer is compared on from there. Results are exact; nothing is sampled or capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +65,119 @@ def pwm_scores(text: np.ndarray, rows: tuple[tuple[float, ...], ...], reverse: b
     return out
 
 
-def _motif_hits(text: np.ndarray, motif: Motif, automaton: bool) -> Iterator[tuple[bool, np.ndarray, np.ndarray | None]]:
-    for reverse in (False, True):
-        if motif.kind == "iupac":
-            yield reverse, iupac_hits(text, reverse_complement(motif.pattern) if reverse else motif.pattern, motif.mismatches, automaton), None
-        else:
-            scores = pwm_scores(text, motif.pwm, reverse)
-            at = np.flatnonzero(scores >= motif.threshold)
-            yield reverse, at, scores[at]
+#: Bases of a piece, and of the words that a table lists.
+PIECE, WORD = 1 << 20, 8
+
+
+class Words:
+    """Base-4 numbers of the words at each place of a text, first base highest, and whether they are of bases alone."""
+
+    def __init__(self, text: np.ndarray):
+        self.text = text
+        code = _CODE[text]
+        other = code > 3
+        self.before = np.cumsum(other, dtype=np.int32) if other.any() else None  # other symbols up to a place
+        self.known = {1: (code & 3).astype(np.uint16)}
+
+    def numbers(self, k: int) -> np.ndarray:
+        if k not in self.known:
+            half = k // 2
+            a, b = self.numbers(half), self.numbers(k - half)
+            n = max(0, len(self.text) - k + 1)
+            self.known[k] = (a[:n] << np.uint16(2 * (k - half))) | b[half : half + n]
+        return self.known[k]
+
+    def pure(self, k: int) -> np.ndarray | None:
+        """None: all words are."""
+        if self.before is None:
+            return None
+        n = max(0, len(self.text) - k + 1)
+        return self.before[k - 1 : k - 1 + n] == np.r_[np.int32(0), self.before[: max(0, n - 1)]][:n]
+
+
+@lru_cache(256)
+def word_table(patterns: tuple[tuple[str, int], ...]) -> np.ndarray:
+    """For each word as long as the patterns, the bits of the (pattern, mismatches) that match it; 32 patterns at most."""
+    k = len(patterns[0][0])
+    word = np.arange(4**k, dtype=np.uint32)
+    table = np.zeros(4**k, np.uint32)
+    for bit, (pattern, mismatches) in enumerate(patterns):
+        misses = np.zeros(4**k, np.uint8)
+        for j, c in enumerate(pattern):
+            misses += (_SETS[c] >> (word >> np.uint32(2 * (k - 1 - j)) & np.uint32(3)) & 1) == 0
+        table |= (misses <= mismatches).astype(np.uint32) << np.uint32(bit)
+    return table
+
+
+def pattern_hits(words: Words, patterns: list[tuple[str, int]]) -> list[np.ndarray]:
+    """Starts of the forward matches of each (pattern, mismatches), none of which spans a symbol but A, C, G, T."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(patterns)
+    by_length: dict[int, list[int]] = {}
+    for i, (pattern, _) in enumerate(patterns):
+        by_length.setdefault(min(len(pattern), WORD), []).append(i)
+    for k, own in by_length.items():
+        if len(words.text) < k:
+            continue
+        for some in (own[i : i + 32] for i in range(0, len(own), 32)):
+            table = word_table(tuple((patterns[i][0][:k], patterns[i][1]) for i in some))
+            marks = table[words.numbers(k)]
+            pure = words.pure(k)
+            at = np.flatnonzero(marks if pure is None else marks * pure)
+            marks = marks[at]
+            for bit, i in enumerate(some):
+                hit = at[(marks >> np.uint32(bit) & np.uint32(1)).astype(bool)]
+                pattern, mismatches = patterns[i]
+                out[i] = hit if len(pattern) == k else _longer(words.text, hit, pattern, mismatches)
+    return out
+
+
+def _longer(text: np.ndarray, at: np.ndarray, pattern: str, mismatches: int) -> np.ndarray:
+    """Of the starts `at`, those where the whole pattern matches."""
+    at = at[at + len(pattern) <= len(text)]
+    misses, pure = np.zeros(len(at), np.uint16), np.ones(len(at), bool)
+    for j, c in enumerate(pattern):
+        bits = _BIT[text[at + j]]
+        misses += (bits & _SETS[c]) == 0
+        pure &= bits != 0
+    return at[pure & (misses <= mismatches)]
+
+
+def _motif_hits(text: np.ndarray, motifs: list[Motif], automaton: bool) -> Iterator[tuple[Motif, bool, np.ndarray, np.ndarray | None]]:
+    strands = [(m, reverse) for m in motifs for reverse in (False, True)]
+    listed = [(m, r) for m, r in strands if m.kind == "iupac" and (automaton or not m.mismatches)]
+    found = pattern_hits(Words(text), [(reverse_complement(m.pattern) if r else m.pattern, m.mismatches) for m, r in listed]) if listed else []
+    for (m, r), at in zip(listed, found):
+        yield m, r, at, None
+    for m, r in strands:
+        if m.kind == "pwm":
+            scores = pwm_scores(text, m.pwm, r)
+            at = np.flatnonzero(scores >= m.threshold)
+            yield m, r, at, scores[at]
+        elif not automaton and m.mismatches:
+            yield m, r, iupac_hits(text, reverse_complement(m.pattern) if r else m.pattern, m.mismatches, False), None
+
+
+def pieces(parts: list[bytes], overlap: int, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of about `size` symbols with a zero after each stretch, and by stretch: its row, first place in the text, first
+    place in the row, the places of the row that it owns, and those that it holds (`overlap` more)."""
+    held: list[tuple[int, int, int, int]] = []
+    total = 0
+
+    def made():
+        text = np.frombuffer(b"\x00".join(parts[row][a:c] for row, a, _, c in held), np.uint8)
+        row, a, b, c = (np.array(x, np.int64) for x in zip(*held))
+        return text, row, np.r_[0, np.cumsum(c - a + 1)[:-1]], a, b, c
+
+    for row, part in enumerate(parts):
+        for a in range(0, len(part), size):
+            b = min(a + size, len(part))
+            held.append((row, a, b, min(b + overlap, len(part))))
+            total += held[-1][3] - a
+            if total >= size:
+                yield made()
+                held, total = [], 0
+    if held:
+        yield made()
 
 
 def scan(seqs: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame:
@@ -79,27 +186,27 @@ def scan(seqs: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame
     ship_package(seqs.sparkSession)
     wanted = list(motifs)
     names = [f.split()[0] for f in OCCURRENCES.split(", ")]
+    overlap = max(0, motifs.max_len - 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strandline.operators.scan import _motif_hits
+        from strandline.operators.scan import _motif_hits, pieces
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             parts = [b or b"" for b in batch.column(1).to_pylist()]
             length = np.fromiter(map(len, parts), np.int64, len(parts))
-            first = np.r_[0, np.cumsum(length + 1)[:-1]] if len(parts) else np.zeros(0, np.int64)
-            text = np.frombuffer(b"\x00".join(parts), np.uint8)
-            for motif in wanted:
-                for reverse, at, scores in _motif_hits(text, motif, automaton):
-                    seq = np.searchsorted(first, at, side="right") - 1
-                    start = at - first[seq]
-                    inside = start + len(motif) <= length[seq]
-                    seq, start = seq[inside], start[inside]
-                    if len(seq):
-                        n = len(seq)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[seq], pa.int64()), pa.array(length[seq]), pa.array(np.full(n, motif.motif_id, np.int32)), pa.array(np.full(n, reverse)), pa.array(start), pa.array(start + len(motif)), pa.array(np.ones(n) if scores is None else scores[inside])], names=names
-                        )
+            for text, row, first, begin, owned, held in pieces(parts, overlap):
+                columns: list[list[np.ndarray]] = [[] for _ in names]
+                for motif, reverse, at, scores in _motif_hits(text, wanted, automaton):
+                    stretch = np.searchsorted(first, at, side="right") - 1
+                    start = at - first[stretch] + begin[stretch]
+                    inside = (start < owned[stretch]) & (start + len(motif) <= held[stretch])
+                    r, start = row[stretch[inside]], start[inside]
+                    n = len(r)
+                    for column, value in zip(columns, (ids[r], length[r], np.full(n, motif.motif_id, np.int32), np.full(n, reverse), start, start + len(motif), np.ones(n) if scores is None else scores[inside])):
+                        column.append(value)
+                if any(map(len, columns[0])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
 
     return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("seq").cast("binary").alias("seq")).mapInArrow(work, OCCURRENCES)
 

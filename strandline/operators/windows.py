@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import ship_package
+
 CORE_SIZES = (500, 600, 750, 1000, 1500, 2000, 2500, 3000)
 CORE_STEP = 50
 
@@ -33,14 +39,39 @@ def sliding(seqs: DataFrame, size: int, step: int, length: str = "len", keep: tu
     return each.select(*keep, "win", window_start(F.col("win"), step).alias("win_start"), window_length(F.col("win"), F.col("_len"), size, step).alias("win_len"))
 
 
-def window_text(seq: Column, win_start: Column, win_len: Column) -> Column:
-    return F.substring(seq, (win_start + 1).cast("int"), win_len.cast("int"))
+def window_gc(seqs: DataFrame, size: int, step: int) -> DataFrame:
+    """seq_id, win, gc of each window of seqs (seq_id, seq): the share of G and C, other symbols in the length. One pass
+    with running counts, so a sequence is not copied by window."""
+    if not 0 < step < size:
+        raise ValueError("a window's step must be over 0 and below its size")
+    ship_package(seqs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for seq_id, seq in zip(ids, batch.column(1)):
+                text = np.frombuffer(seq.as_py() or b"", np.uint8)
+                n, k = len(text), size - step
+                count = 0 if not n or n == k else 1 if n < k else -(-(n - k) // step)
+                if not count:
+                    continue
+                sums = np.r_[0, np.cumsum((text == ord("G")) | (text == ord("C")), dtype=np.int64)]
+                start = np.arange(count, dtype=np.int64) * step
+                end = np.minimum(start + size, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, seq_id, np.int64)), pa.array(start // step), pa.array((sums[end] - sums[start]) / (end - start))], names=["seq_id", "win", "gc"])
+
+    return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("seq").cast("binary").alias("seq")).mapInArrow(work, "seq_id long, win long, gc double")
+
+
+def window_range(start: Column, end: Column, length: Column, size: int, step: int) -> tuple[Column, Column]:
+    """First and last of the windows that hold [start, end), by arithmetic; the first is after the last if none does."""
+    first = F.greatest(F.lit(0), F.ceil((end - size) / step)).cast("long")
+    return first, F.least(n_windows(length, size, step) - 1, F.floor(start / step)).cast("long")
 
 
 def windows_of(start: Column, end: Column, length: Column, size: int, step: int) -> Column:
     """Array of the windows that hold [start, end): no join is needed. Empty for what no window holds."""
-    first = F.greatest(F.lit(0), F.ceil((end - size) / step)).cast("long")
-    last = F.least(n_windows(length, size, step) - 1, F.floor(start / step)).cast("long")
+    first, last = window_range(start, end, length, size, step)
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import Distance, Settings
-from strandline.functions.iupac import reverse_complement_column, sequence_of_text
-from strandline.functions.sequences import gc_content
+from strandline.functions.iupac import reverse_complement_column, sequences_of_texts
 from strandline.operators import local, metrics, pairs, scan, windows
 from strandline.operators.features import Feature, Windows, feature_values, fill, instantiate, used_motifs
 from strandline.plans import sqltext as S
-from strandline.session import read_table
+from strandline.session import read_table, spread
 from strandline.sources import background
 from strandline.sources.fasta import alias_value
 from strandline.sources.motifs import MotifSet, distinct_patterns, kmers
@@ -48,8 +47,8 @@ def query(name: str, sql: str | None = None):
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_id, seq, len of documents: a base a letter."""
-    docs = read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return docs.select(F.col("doc_id").alias("seq_id"), sequence_of_text(F.col("text")).alias("seq")).withColumn("len", F.length("seq").cast("long")).where("len > 0")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull()))
+    return sequences_of_texts(docs)
 
 
 def placed(spark: SparkSession, sf_dir: str, motifs: MotifSet, size: int = SIZE, step: int = STEP) -> Windows:
@@ -193,8 +192,7 @@ def window_train_modes(spark, sf_dir):
 
 @query("window_gc", f"WITH {S.SEQS},\n{S.windows()} SELECT w.seq_id, w.i AS win, round(avg((c IN ('G', 'C'))::INT), 9) AS gc FROM win w JOIN bases b ON b.seq_id = w.seq_id AND b.pos >= ws AND b.pos < ws + wl GROUP BY ALL")
 def window_gc(spark, sf_dir):
-    cut = windows.sliding(sequences(spark, sf_dir), SIZE, STEP, keep=("seq_id", "seq"))
-    return cut.select("seq_id", "win", F.round(gc_content(windows.window_text(F.col("seq"), F.col("win_start"), F.col("win_len"))), 9).alias("gc"))
+    return windows.window_gc(sequences(spark, sf_dir), SIZE, STEP).withColumn("gc", F.round("gc", 9))
 
 
 @query("occ_per_window", S.located(EXACT) + " SELECT seq_id, i AS win, m AS motif_id, count(*) AS n FROM ow GROUP BY ALL")
@@ -270,7 +268,7 @@ def _pair_count_sql(near: str) -> str:
 
 
 def _pair_counts(spark, sf_dir, settings: Settings):
-    return pairs.pair_counts(placed(spark, sf_dir, PAIRED).occ, settings, PAIRED.max_len).drop("win_len")
+    return pairs.pair_counts(placed(spark, sf_dir, PAIRED).stored(), settings, PAIRED.max_len).drop("win_len")
 
 
 @query("pair_predictor_counts", _pair_count_sql(f"{S.CENTERS} <= 219"))
@@ -291,6 +289,7 @@ def pair_distance_between(spark, sf_dir):
 @query("local_nocc", S.located(PAIRED) + f" SELECT x.seq_id, x.i AS win, x.m AS motif_id, x.r AS reverse, x.s AS start_pos, y.m AS near_id, count(*) AS n FROM ow x JOIN ow y ON {S.SAME_WINDOW} AND {S.OTHER} AND {S.CENTERS} < 250 GROUP BY ALL")
 def local_nocc(spark, sf_dir):
     w = placed(spark, sf_dir, PAIRED)
+    w.stored()
     near = local.local_neighbours(w.occurrences, w.pairs(local.REACH), PAIRED)
     each = near.select("seq_id", "win", "motif_id", "reverse", F.col("start").alias("start_pos"), F.posexplode("near").alias("near_id", "n"))
     return each.where("n > 0").withColumn("n", F.col("n").cast("long"))

@@ -121,6 +121,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a read table, over all cores if it comes in fewer partitions than there are: a file of one row group is one
+    task. Does nothing to tables of many files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def local_session(app: str = "strandline", cores: int | None = None, **conf: str) -> SparkSession:
     """A session for tests and benches."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))

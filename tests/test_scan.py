@@ -130,3 +130,34 @@ def test_windows_of_occurrences(spark):
     assert got == {(w.seq_id, w.win) for w in cut if place[w.seq_id][2] >= w.win_start and place[w.seq_id][3] <= w.win_start + w.win_len}
     with pytest.raises(ValueError):
         windows.sliding(df, 100, 100, length="seq_len")
+
+
+@pytest.mark.parametrize("size", [7, 50, 1000])
+def test_pieces_of_any_size_give_the_same_hits(spark, monkeypatch, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(rng.choice(list("ACGTN"), p=[0.3, 0.2, 0.3, 0.18, 0.02], size=n))) for i, n in enumerate([0, 3, 60, 333, 1200])]
+    wanted = MotifSet()
+    for name, pattern, misses in (("a", "GAG", 0), ("b", "RNNGAGAGANC", 2), ("c", "ACAGT", 1), ("d", "GATC", 0), ("e", "GATTACAGATTACA", 5)):
+        wanted.add_iupac(name, pattern, misses)
+    wanted.add_pwm("w", [[1, 0, -1], [0, 1, 0], [0, 0, 1], [-1, 0, 0]], 1.0)
+    want = []
+    for i, s in rows:
+        text = np.frombuffer(s.encode(), np.uint8)
+        for m in wanted:
+            for r in (False, True):
+                if m.kind == "iupac":
+                    want += [(i, m.motif_id, r, int(x)) for x in scan.iupac_hits(text, scan.reverse_complement(m.pattern) if r else m.pattern, m.mismatches)]
+                else:
+                    want += [(i, m.motif_id, r, int(x)) for x in np.flatnonzero(scan.pwm_scores(text, m.pwm, r) >= 1.0)]
+    monkeypatch.setattr(scan.pieces, "__defaults__", (size,))
+    found = []
+    for text, row, first, begin, owned, held in scan.pieces([s.encode() for _, s in rows], wanted.max_len - 1):
+        for m, r, at, _ in scan._motif_hits(text, list(wanted), True):
+            stretch = np.searchsorted(first, at, side="right") - 1
+            start = at - first[stretch] + begin[stretch]
+            inside = (start < owned[stretch]) & (start + len(m) <= held[stretch])
+            found += [(int(row[k]), m.motif_id, r, int(x)) for k, x in zip(stretch[inside], start[inside])]
+    assert sorted(found) == sorted(want)
+    monkeypatch.undo()
+    got = scan.scan(spark.createDataFrame(rows, "seq_id long, seq string"), wanted).collect()
+    assert sorted((r.seq_id, r.motif_id, r.reverse, r.start) for r in got) == sorted(want)
