@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.sequences import PI, gc_content
+from strandline.functions.sequences import PI
 from strandline.operators import pairs as P
-from strandline.operators.windows import occurrences_in_windows, sliding, window_length, window_text
+from strandline.operators.windows import occurrences_in_windows, sliding, window_gc, window_length
+from strandline.session import materialize
 from strandline.sources.motifs import MotifSet
 
 #: How many motifs an instance names: none, one, all ordered pairs, pairs with y <= x.
@@ -90,9 +91,20 @@ class Windows:
     def __post_init__(self) -> None:
         self.limit = self.size if self.limit is None else self.limit
 
+    def stored(self) -> DataFrame:
+        """The occurrences, written once and read by all that use them more than once: a scan is the dearest step."""
+        if "stored" not in self.known:
+            self.occ = self.known["stored"] = materialize(self.occ, "occurrences")
+        return self.occ
+
+    @property
+    def lengths(self) -> DataFrame:
+        """seq_id, len of each sequence, written once: bases are not read again for their number."""
+        return self.once("lengths", lambda: materialize(self.seqs.select("seq_id", "len"), "lengths"))
+
     @property
     def windows(self) -> DataFrame:
-        return self.once("windows", lambda: sliding(self.seqs, self.size, self.step))
+        return self.once("windows", lambda: sliding(self.lengths, self.size, self.step))
 
     @property
     def occurrences(self) -> DataFrame:
@@ -101,17 +113,21 @@ class Windows:
     def pairs(self, reach: float) -> DataFrame:
         """Unordered pairs of different occurrences, by window."""
         reach = min(self.size, int(reach) + self.max_len)
-        return self.once(("pairs", reach), lambda: P.pairs_in_windows(P.occurrence_pairs(self.occ, reach), self.size, self.step))
+        return self.once(("pairs", reach), lambda: P.pairs_in_windows(P.occurrence_pairs(self.stored(), reach), self.size, self.step))
 
 
 def _named(df: DataFrame, instances: list[Instance], a: Column, b: Column | None, reflexive: bool) -> DataFrame:
-    """Rows with the feature_id of the instances that name their motifs; a few rows an instance are broadcast."""
+    """Rows with the feature_id of the instances that name their motifs, in either order if reflexive: an equi-join with a
+    broadcast table of a few rows an instance."""
     rows = [(i.feature_id, i.a, i.b, i.axis) for i in instances]
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, "feature_id int, fa int, fb int, axis int"))
-    if b is None:
-        return df.join(table, a == F.col("fa"))
-    match = (a == F.col("fa")) & (b == F.col("fb"))
-    return df.join(table, match | ((b == F.col("fa")) & (a == F.col("fb"))) if reflexive else match)
+    if b is not None and reflexive:
+        rows = [(*r, min(r[1:3]), max(r[1:3])) for r in rows]
+        a, b = F.least(a, b), F.greatest(a, b)
+    else:
+        rows = [(*r, *r[1:3]) for r in rows]
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "feature_id int, fa int, fb int, axis int, _x int, _y int"))
+    on = a == F.col("_x") if b is None else (a == F.col("_x")) & (b == F.col("_y"))
+    return df.join(table, on).drop("_x", "_y")
 
 
 def _sum(df: DataFrame, value: Column) -> DataFrame:
@@ -161,7 +177,7 @@ def _n_pair_dh(w: Windows, instances: list[Instance]) -> DataFrame:
 def _pedi(w: Windows, instances: list[Instance]) -> DataFrame:
     """Ordered pairs, each occurrence with itself too; the phase is added to the distance before the cutoff."""
     f = instances[0].feature
-    alone = P.pairs_in_windows(P.self_pairs(w.occ), w.size, w.step).withColumn("times", F.lit(1))
+    alone = P.pairs_in_windows(P.self_pairs(w.stored()), w.size, w.step).withColumn("times", F.lit(1))
     both = w.pairs(max(0, f.distance - f.phase)).withColumn("times", F.when(F.col("a_motif_id") == F.col("b_motif_id"), 2).otherwise(1)).unionByName(alone)
     d = P.pair_centers() + F.lit(float(f.phase))
     near = _named(both.where(d <= int(f.distance)), instances, F.col("a_motif_id"), F.col("b_motif_id"), True)
@@ -181,8 +197,7 @@ def _neighbours(w: Windows, instances: list[Instance]) -> DataFrame:
 
 
 def _gc(w: Windows, instances: list[Instance]) -> DataFrame:
-    cut = sliding(w.seqs, w.size, w.step, keep=("seq_id", "seq"))
-    return cut.select("seq_id", "win", F.lit(instances[0].feature_id).alias("feature_id"), gc_content(window_text(F.col("seq"), F.col("win_start"), F.col("win_len"))).alias("v"))
+    return window_gc(w.seqs, w.size, w.step).select("seq_id", "win", F.lit(instances[0].feature_id).alias("feature_id"), F.col("gc").alias("v"))
 
 
 _VALUES = {"nOcc": _counts, "nPair": _n_pair, "nOccPair": _n_occ_pair, "nPair2D": _n_pair_2d, "nPairDH": _n_pair_dh, "PEDI": _pedi, "MDPA": _neighbours, "MDP": _neighbours, "MDM": _neighbours, "MDDA": _neighbours, "MDD": _neighbours, "GC": _gc}
@@ -192,8 +207,10 @@ _PER_BASE = frozenset(("nOcc", "nPair", "nOccPair", "nPair2D", "nPairDH", "PEDI"
 def feature_values(w: Windows, instances: list[Instance]) -> DataFrame:
     """seq_id, win, feature_id, value of what was found: counts and sums per base of the window, distances as they are.
     Windows without anything to count have no row; see fill()."""
-    parts = []
-    for f in dict.fromkeys(i.feature for i in instances):
+    parts, features = [], dict.fromkeys(i.feature for i in instances)
+    if sum(f.type != "GC" for f in features) > 1:
+        w.stored()
+    for f in features:
         own = [i for i in instances if i.feature == f]
         found = _VALUES[f.type](w, own)
         if f.type in _PER_BASE:

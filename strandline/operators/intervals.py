@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import CoreMode
-from strandline.session import ship_package
+from strandline.session import materialize, ship_package
 
 
-def merge(intervals: DataFrame, slack: int = 0, key: str = "chrom") -> DataFrame:
+#: Positions of a stretch of a chromosome that one task merges.
+STRETCH = 1 << 20
+
+
+def _carried(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """df with name: the largest value of the rows before in the order of (start, end, score), over stretches: inside a
+    stretch by a window, and from the stretches before by a window over one row a stretch."""
+    line = Window.partitionBy(key, "_stretch").orderBy("start", "end", "score")
+    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(key, "_stretch").agg(F.max(value).alias("_top")).select(key, "_stretch", F.max("_top").over(before).alias("_from"))
+    inside = F.max(value).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_inside", inside).join(tops, [key, "_stretch"]).withColumn(name, F.greatest("_inside", "_from")).drop("_inside", "_from")
+
+
+def merge(intervals: DataFrame, slack: int = 0, key: str = "chrom", spread: bool = False) -> DataFrame:
     """key, start, end, score: by start, an interval joins those before if it starts at most slack after their largest
-    end; the largest end and score remain."""
-    line = Window.partitionBy(key).orderBy("start", "end", "score")
-    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("_new", (reach.isNull() | (F.col("start") > reach + slack)).cast("int"))
-    numbered = marked.withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("_island")
+    end; the largest end and score remain. Rows with a null key, start or end are left out.
+
+    spread: a key may hold more intervals than a task should, as a chromosome does. They are then merged by stretches of
+    positions, and what earlier stretches reach to is carried on."""
+    rows = intervals.select(key, "start", "end", "score").where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    if spread:
+        rows = materialize(rows.withColumn("_stretch", F.floor(F.col("start") / STRETCH)), "intervals")
+        marked = _carried(rows, key, F.col("end"), "_reach")
+        marked = materialize(marked.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + slack), F.col("start"))), "marked-intervals")
+        numbered = _carried(marked, key, F.col("_first"), "_before").withColumn("_island", F.coalesce("_first", "_before"))
+    else:
+        line = Window.partitionBy(key).orderBy("start", "end", "score")
+        reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+        marked = rows.withColumn("_first", F.when(reach.isNull() | (F.col("start") > reach + slack), F.col("start")))
+        numbered = marked.withColumn("_island", F.max("_first").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(key, F.col("_island").alias("start")).agg(F.max("end").alias("end"), F.max("score").alias("score"))
 
 
 def predicted_windows(scored: DataFrame, threshold: float) -> DataFrame:
@@ -26,74 +51,72 @@ def predicted_windows(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def best_of_overlapping(predictions: DataFrame, key: str = "chrom") -> DataFrame:
-    """Of predictions (key, win_start, win_end, start, end, score) by window: a window that starts at or before the end of
-    the last predicted one replaces that one's prediction if a score of its own is higher, else keeps it; others add
-    their best. The choice depends on the one before, so it runs in order; one group is a chromosome."""
-    ship_package(predictions.sparkSession)
-
-    def choose(df: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        last = None
-        for (w, end), own in df.sort_values(["win_start", "start", "end"]).groupby(["win_start", "win_end"], sort=True):
-            meets = last is not None and last >= w
-            best = out[-1] if meets else None
-            for r in own.itertuples():
-                if best is None or r.score > best[3]:
-                    best = (getattr(r, key), r.start, r.end, r.score)
-            if meets:
-                out[-1] = best
-            else:
-                out.append(best)
-            last = end
-        return pd.DataFrame(out, columns=[key, "start", "end", "score"])
-
-    kind = predictions.schema[key].dataType.simpleString()
-    return predictions.groupBy(key).applyInPandas(choose, f"{key} {kind}, start long, end long, score double")
+    """Of predictions (key, win_start, win_end, start, end, score) by window: windows that each start at or before the end
+    of the one before them are a run, and a run keeps its best prediction, the first by window, start and end of equal
+    scores. What comes before the first run's window plays no part, so runs are islands of windows, found by stretches."""
+    rows = predictions.select(key, "win_start", "win_end", "start", "end", "score")
+    windows = rows.groupBy(key, F.col("win_start").alias("start"), F.col("win_end").alias("end")).agg(F.max("score").alias("score"))
+    stretched = materialize(windows.withColumn("_stretch", F.floor(F.col("start") / STRETCH)), "predicted-windows")
+    marked = _carried(stretched, key, F.struct("start", "end"), "_last")
+    marked = materialize(marked.withColumn("_first", F.when(F.col("_last").isNull() | (F.col("_last.end") < F.col("start")), F.col("start"))).drop("_last"), "marked-windows")
+    runs = _carried(marked, key, F.col("_first"), "_before").select(key, F.col("start").alias("win_start"), F.col("end").alias("win_end"), F.coalesce("_first", "_before").alias("_run"))
+    first = F.min_by(F.struct("start", "end", "score"), F.struct((-F.col("score")).alias("s"), "win_start", "win_end", "start", "end"))
+    return rows.join(runs, [key, "win_start", "win_end"]).groupBy(key, "_run").agg(first.alias("b")).select(key, "b.*")
 
 
 Hit = tuple[int, int, float]  # motif start, motif end, weight
 
 
 def window_cores(hits: list[Hit], win_start: int, win_end: int, threshold: float, mode: CoreMode, size: int, reach: int = 250) -> list[tuple[int, int, float]]:
-    """Cores (start, end, score) in one window that is predicted, from its positive occurrences."""
-    spots = [(s + (e - s) // 2 - reach, s + (e - s) // 2 + reach, w, s, e) for s, e, w in hits]
+    """Cores (start, end, score) in one window that is predicted, from its positive occurrences, by sums over prefixes.
+
+    A hit's site is its middle and `reach` bases to both sides. strong: sites whose hits weigh the threshold together. A
+    site's hits are, by start, those from the site's start on up to the first that ends after the site. motifs: strong
+    sites, or all if there are none, joined where they overlap, with the largest weight; those at the threshold, if any.
+    continuous: of the stretches from one site's start to the end of it or a later one, `size` bases at most, that with
+    the most weight a base; the last site begins none, and stretches that the window cuts below a site's length are out."""
+    if not hits:
+        return []
+    start, end, weight = (np.array(x) for x in zip(*hits))
+    order = np.lexsort((end, start))
+    start, end, weight = start[order].astype(np.int64), end[order].astype(np.int64), weight[order].astype(np.float64)
+    middle = start + (end - start) // 2
+    left, right = middle - reach, middle + reach
     if mode is CoreMode.CONTINUOUS:
-        spots.sort(key=lambda x: ((x[0] + x[1]) // 2, x[3], x[4]))
-        best = None
-        for i in range(len(spots) - 1):
-            a = spots[i]
-            for b in spots[i:]:
-                if b[1] > a[0] + size:
-                    break
-                lo, hi = max(a[0], 0), min(b[1], win_end)
-                if hi - lo < a[1] - a[0]:
-                    continue
-                total = sum(c[2] for c in spots if c[3] >= lo and c[4] <= hi)
-                density = total / max(hi - lo, 1)
-                if best is None or density > best[0]:
-                    best = (density, lo, hi, total)
-        return [best[1:]] if best else []
-    spots.sort(key=lambda x: (x[3], x[4]))
-    strong = []
-    for a in spots:
-        total = 0.0
-        for b in spots:
-            if b[3] < a[0]:
-                continue
-            if b[4] > a[1]:
-                break
-            total += b[2]
-        if total >= threshold:
-            strong.append((max(a[0], 0), min(a[1], win_end), total))
+        return _densest(start, end, weight, left, right, win_end, size)
+    total = np.r_[0.0, np.cumsum(weight)]
+    first = np.searchsorted(start, left)
+    beyond = [i + int(np.argmax(np.r_[end[i:] > r, True])) for i, r in zip(first, right)]
+    sums = total[beyond] - total[first]
+    strong = sums >= threshold
+    low, high = np.maximum(left, 0), np.minimum(right, win_end)
     if mode is CoreMode.MOTIFS_STRONG:
-        return strong
-    flat: list[tuple[int, int, float]] = []
-    for s, e, w in strong or [x[:3] for x in spots]:
-        if flat and s < flat[-1][1]:
-            flat[-1] = (flat[-1][0], max(flat[-1][1], e), max(flat[-1][2], w))
-        else:
-            flat.append((s, e, w))
-    return [x for x in flat if x[2] >= threshold] or flat
+        return [(int(a), int(b), float(w)) for a, b, w in zip(low[strong], high[strong], sums[strong])]
+    if strong.any():
+        low, high, score = low[strong], high[strong], sums[strong]
+    else:
+        low, high, score = left, right, weight
+    heads = np.flatnonzero(np.r_[True, low[1:] >= np.maximum.accumulate(high)[:-1]])
+    joined = [(int(a), int(b), float(w)) for a, b, w in zip(low[heads], np.maximum.reduceat(high, heads), np.maximum.reduceat(score, heads))]
+    return [x for x in joined if x[2] >= threshold] or joined
+
+
+def _densest(start: np.ndarray, end: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, win_end: int, size: int) -> list[tuple[int, int, float]]:
+    by_site = np.lexsort((end, start, (left + right) // 2))
+    left, right = left[by_site], right[by_site]
+    by_end = np.argsort(end, kind="stable")
+    best = None
+    for i in range(len(left) - 1):
+        over = right[i:] > left[i] + size
+        stop = i + int(np.argmax(np.r_[over, True]))
+        low, high = max(int(left[i]), 0), np.minimum(right[i:stop], win_end)
+        inner = by_end[start[by_end] >= low]
+        sums = np.r_[0.0, np.cumsum(weight[inner])][np.searchsorted(end[inner], high, side="right")]
+        density = np.where(high - low >= right[i] - left[i], sums / np.maximum(high - low, 1), -np.inf)
+        if len(density) and density.max() > -np.inf and (best is None or density.max() > best[0]):
+            j = int(np.argmax(density))
+            best = (density[j], low, int(high[j]), float(sums[j]))
+    return [best[1:]] if best else []
 
 
 def core_predictions(hits: DataFrame, windows: DataFrame, threshold: float, mode: CoreMode, size: int) -> DataFrame:

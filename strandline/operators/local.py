@@ -9,22 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.config import LOCAL_FEATURES
+from strandline.functions.iupac import BASES, reverse_complement
 from strandline.operators import pairs as P
 from strandline.session import ship_package
 from strandline.sources.motifs import MotifSet
 
 REACH = 250
-#: Order of bases in dinucleotide numbers: complements differ in the lowest bit.
-ORDER = "ATGC"
 
 
 def dinucleotide_names() -> list[str]:
-    """Names by number: the first base is the higher two bits."""
-    return [ORDER[i >> 2] + ORDER[i & 3] for i in range(16)]
+    """The 16 pairs of bases, in alphabetical order."""
+    return [a + b for a in BASES for b in BASES]
 
 
-def reverse_complement_number(i: np.ndarray) -> np.ndarray:
-    return ((i >> 2) | ((i & 3) << 2)) ^ 5
+def strand_sums(counts: np.ndarray) -> np.ndarray:
+    """Counts by dinucleotide (last axis) of both strands: each plus its reverse complement's."""
+    names = dinucleotide_names()
+    return counts + counts[..., [names.index(reverse_complement(n)) for n in names]]
 
 
 def local_composition(placed: DataFrame, seqs: DataFrame, size: int, step: int) -> DataFrame:
@@ -58,20 +60,20 @@ def local_composition(placed: DataFrame, seqs: DataFrame, size: int, step: int)
 def composition(text: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """GC share and dinucleotide profile of stretches of text by running sums."""
     code = np.full(256, 4, np.int64)
-    for i, c in enumerate(ORDER):
+    for i, c in enumerate(BASES):
         code[ord(c)] = i
     c = code[text]
     middle = start + (end - start) // 2
     a, b = np.maximum(middle - REACH, low), np.minimum(middle + REACH + 1, high)
-    gc = np.r_[0, np.cumsum((c == 2) | (c == 3))]
+    gc = np.r_[0, np.cumsum((text == ord("G")) | (text == ord("C")))]
     n = np.maximum(b - a, 0)
     share = np.where(n > 0, (gc[b] - gc[a]) / np.maximum(n, 1), 0.0)
     pair = np.where((c[:-1] < 4) & (c[1:] < 4), c[:-1] * 4 + c[1:], -1)
     sums = np.zeros((len(pair) + 1, 16))
     for k in range(16):
-        sums[1:, k] = np.cumsum((pair == k).astype(np.int64) + (pair == reverse_complement_number(np.array(k))).astype(np.int64))
+        sums[1:, k] = np.cumsum(pair == k)
     last = np.maximum(b - 1, a)
-    return share, (sums[last] - sums[a]) / np.maximum(n - 1, 1)[:, None]
+    return share, strand_sums(sums[last] - sums[a]) / np.maximum(n - 1, 1)[:, None]
 
 
 def local_neighbours(placed: DataFrame, pairs: DataFrame, motifs: MotifSet) -> DataFrame:
@@ -83,13 +85,18 @@ def local_neighbours(placed: DataFrame, pairs: DataFrame, motifs: MotifSet) -> D
     return joined.withColumn("near", F.array(*[F.coalesce(f"n{m.motif_id}", F.lit(0)).cast("double") for m in motifs])).drop(*[f"n{m.motif_id}" for m in motifs])
 
 
-def local_names(motifs: MotifSet) -> list[str]:
-    return [f"nOcc({m.name}, {REACH})" for m in motifs] + ["GC"] + [f"DNT({d}, {REACH})" for d in dinucleotide_names()]
+def local_names(motifs: MotifSet, features: tuple[str, ...] = LOCAL_FEATURES) -> list[str]:
+    names = {"nOcc": [f"nOcc({m.name}, {REACH})" for m in motifs], "GC": ["GC"], "DNT": [f"DNT({d}, {REACH})" for d in dinucleotide_names()]}
+    return [n for f in LOCAL_FEATURES if f in features for n in names[f]]
 
 
-def local_vectors(placed: DataFrame, seqs: DataFrame, occ: DataFrame, motifs: MotifSet, size: int, step: int) -> DataFrame:
-    """placed with features: neighbours, GC, dinucleotides, in the order of local_names()."""
-    pairs = P.pairs_in_windows(P.occurrence_pairs(occ, REACH + motifs.max_len), size, step)
-    near = local_neighbours(placed, pairs, motifs)
-    both = local_composition(near, seqs, size, step)
-    return both.withColumn("features", F.concat("near", F.array("gc"), "dnt")).drop("near", "gc", "dnt")
+def local_vectors(placed: DataFrame, seqs: DataFrame, occ: DataFrame, motifs: MotifSet, size: int, step: int, features: tuple[str, ...] = LOCAL_FEATURES) -> DataFrame:
+    """placed with features: neighbours, GC, dinucleotides, those that are asked for, in the order of local_names()."""
+    out = placed
+    if "nOcc" in features:
+        pairs = P.pairs_in_windows(P.occurrence_pairs(occ, REACH + motifs.max_len), size, step)
+        out = local_neighbours(out, pairs, motifs)
+    if "GC" in features or "DNT" in features:
+        out = local_composition(out, seqs, size, step)
+    columns = {"nOcc": F.col("near") if "near" in out.columns else None, "GC": F.array("gc") if "gc" in out.columns else None, "DNT": F.col("dnt") if "dnt" in out.columns else None}
+    return out.withColumn("features", F.concat(*[columns[f] for f in LOCAL_FEATURES if f in features])).drop("near", "gc", "dnt")

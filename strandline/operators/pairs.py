@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import Distance, Settings
 from strandline.functions.sequences import between_distance, center, center_distance, gap, overlapping
-from strandline.operators.windows import window_length, windows_of
+from strandline.operators.windows import window_length, window_range, windows_of
 
 
 def occurrence_pairs(occ: DataFrame, reach: int) -> DataFrame:
@@ -77,7 +77,10 @@ def pair_counts(occ: DataFrame, settings: Settings, max_len: int) -> DataFrame:
         pairs = pairs.where(~same)
     if not settings.hetero_pairs:
         pairs = pairs.where(same)
-    placed = pairs_in_windows(pairs, settings.window_size, settings.window_step)
-    return placed.groupBy("seq_id", "win", F.least("a_motif_id", "b_motif_id").alias("a"), F.greatest("a_motif_id", "b_motif_id").alias("b")).agg(
-        window_length(F.col("win"), F.first("seq_len"), settings.window_size, settings.window_step).alias("win_len"), F.count("*").alias("n")
-    )
+    size, step = settings.window_size, settings.window_step
+    first, last = window_range(F.least("a_start", "b_start"), F.greatest("a_end", "b_end"), F.col("seq_len"), size, step)
+    placed = pairs.select("seq_id", "seq_len", F.least("a_motif_id", "b_motif_id").alias("a"), F.greatest("a_motif_id", "b_motif_id").alias("b"), first.alias("first"), last.alias("last")).where("first <= last")
+    # pairs that lie in the same windows are counted before they are told by window
+    ranges = placed.groupBy("seq_id", "first", "last", "a", "b").agg(F.first("seq_len").alias("seq_len"), F.count("*").alias("n"))
+    each = ranges.withColumn("win", F.explode(F.sequence("first", "last")))
+    return each.groupBy("seq_id", "win", "a", "b").agg(window_length(F.col("win"), F.first("seq_len"), size, step).alias("win_len"), F.sum("n").alias("n"))
