@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import sinks
-from strandline.config import CoreMode, Distance, Kernel, Settings, SvmType, WeightMode
+from strandline.config import LOCAL_FEATURES, CoreMode, Distance, Kernel, Settings, SvmType, WeightMode
 from strandline.models.sequence import FeatureModel, Hierarchical, PairLogOdds, PairSum, SequenceModel
 from strandline.operators import intervals, metrics, scan, windows
-from strandline.operators.features import Feature
+from strandline.operators.features import Feature, Windows
+from strandline.session import materialize
 from strandline.sources import background
 from strandline.sources.fasta import Classes, read_fasta
 from strandline.sources.motifs import MotifSet
 
+ROLES = ("train", "validate", "calibrate")
 MODELS = ("pair-sum", "pair-logodds", "sum", "logodds", "svm", "forest", "lda", "perceptron", "hierarchical-svm", "hierarchical-forest")
 
 
@@ -50,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", type=float, default=default)
     for name, default in (("window-size", 500), ("window-step", 100), ("train-step", 250), ("trees", 500), ("depth", 0), ("background-order", 4)):
         p.add_argument(f"--{name}", type=int, default=default)
-    for role in ("train", "validate", "calibrate"):
+    for role in ROLES:
         tail = ("CLASS", "MODE") if role == "train" else ("CLASS",)
         p.add_argument(f"--{role}-fasta", nargs=1 + len(tail), metavar=("PATH", *tail), **many)
         p.add_argument(f"--{role}-iid", nargs=3 + len(tail), metavar=("MODEL_PATH", "N", "LENGTH", *tail), **many)
@@ -65,8 +67,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--wig", metavar="OUT")
     p.add_argument("--core-mode", choices=[m.value for m in CoreMode], default="none")
     p.add_argument("--core-max", action="store_true")
+    p.add_argument("--gamma", type=float, help="of kernels; 1 / features unless stated")
+    p.add_argument("--local-feature", choices=LOCAL_FEATURES, help="of hierarchical models; all unless stated", **many)
+    p.add_argument("--training-rows", type=int, default=50_000, help="most labelled rows that a machine trains on")
     p.add_argument("--export", metavar="OUT", help="weights of the model")
-    p.add_argument("--auto", nargs=2, metavar=("FASTA", "GENOME"), help="assisted: halves of FASTA train and validate against Markov backgrounds")
+    p.add_argument("--auto", nargs=2, metavar=("FASTA", "GENOME"), help="assisted: thirds of FASTA train, calibrate and validate against Markov backgrounds")
     p.add_argument("--auto-ratio", type=int, default=100, help="negatives per positive of assisted validation")
     return p
 
@@ -76,6 +81,7 @@ def settings_of(a: argparse.Namespace) -> Settings:
         seed=a.seed, automaton=not a.no_automaton, validate=not a.no_validate, window_size=a.window_size, window_step=a.window_step, train_step=a.train_step, homo_pairs=not a.no_homo, hetero_pairs=not a.no_hetero, pairs_can_overlap=not a.no_overlap,
         distance=Distance(a.distance), kernel=Kernel(a.kernel), svm_type=SvmType(a.svm_type), c0=a.c0, cost=a.cost, nu=a.nu, p=a.p, threshold=a.threshold, trees=a.trees, depth=a.depth, weight_mode=WeightMode(a.weights), beta=a.beta,
         wanted_precision=-1.0 if a.calibrate_precision is None else a.calibrate_precision, background_order=a.background_order, core_mode=CoreMode(a.core_mode), core_max=a.core_max,
+        gamma=a.gamma, local_features=tuple(a.local_feature) or LOCAL_FEATURES, training_rows=a.training_rows,
     )
 
 
@@ -99,10 +105,12 @@ def motifs_of(spark: SparkSession, a: argparse.Namespace) -> MotifSet:
 
 
 def calibrate_pwm(spark: SparkSession, motif, per_kb: float, seed: int) -> float:
-    """The score of which so many per 1000 bases of a million independent ones are hits, on both strands."""
-    seqs = background.generate_iid(spark, 100, 10_000, seed=seed)
+    """The score of which so many per 1000 bases of a million independent ones are hits, on both strands. Starts at which
+    a matrix is cut off by the end count with the bases that are there."""
+    seqs = background.generate_iid(spark, 100, 10_000, seed=seed, stream="calibrate matrices")
     one = MotifSet([replace(motif, threshold=-1e300)])
-    scores = scan.scan(seqs, one)
+    past = seqs.withColumn("seq", F.concat("seq", F.repeat(F.lit("."), F.lit(len(motif) - 1))))  # other symbols add nothing
+    scores = scan.scan(past, one)
     return metrics.quantile_threshold(scores, per_kb, 1000).first()["threshold"]  # of a thousand kb
 
 
@@ -115,14 +123,15 @@ def sequences_of(spark: SparkSession, a: argparse.Namespace, role: str, classes:
             mode = rest.pop() if role == "train" else "full"
             value = classes.value(rest.pop())
             seqs = read_fasta(spark, path, "error" if kind == "fasta" else "drop")
-            if kind == "fasta" and a.auto:
-                seqs = seqs.where(F.pmod(F.xxhash64("name"), F.lit(2)) == (0 if role == "train" else 1))
+            if kind == "fasta" and a.auto and path == a.auto[0]:  # a part of its own for each role
+                seqs = seqs.where(F.pmod(F.xxhash64("name"), F.lit(len(ROLES))) == ROLES.index(role))
             if kind != "fasta":
+                stream = f"{role} {len(parts)}"
                 n, length = map(int, rest)
                 if kind == "iid":
-                    seqs = background.generate_iid(spark, n, length, {r["base"]: r["p"] for r in background.train_iid(seqs).collect()}, a.seed)
+                    seqs = background.generate_iid(spark, n, length, {r["base"]: r["p"] for r in background.train_iid(seqs).collect()}, a.seed, stream)
                 else:
-                    seqs = background.generate_markov(spark, background.train_markov(seqs, a.background_order), n, length, a.seed)
+                    seqs = background.generate_markov(spark, background.train_markov(seqs, a.background_order), n, length, a.seed, stream)
             parts.append(seqs.select(F.xxhash64(F.lit(len(parts)), "seq_id").alias("seq_id"), "name", "seq", F.length("seq").alias("len"), F.lit(float(value)).alias("class_value"), F.lit(mode).alias("train_mode")))
     out = None
     for part in parts:
@@ -147,17 +156,18 @@ def predict_genome(spark: SparkSession, model: SequenceModel, path: str, gff: st
     s = model.settings
     seqs = read_fasta(spark, path).withColumn("chrom", F.split_part("name", F.lit(" "), F.lit(1)))
     names = seqs.select("seq_id", "chrom")
-    scored = model.score_windows(seqs)
+    w = model.windows(seqs, model.scan_motifs())
+    scored = materialize(model.scored(w), "scores")
     if s.core_mode is CoreMode.NONE or not isinstance(model, Hierarchical):
         found, slack = intervals.predicted_windows(scored, s.threshold), s.window_step
         placed = found.withColumns({"win_start": F.col("start"), "win_end": F.col("end")})
     else:
-        _, hits = model.positive_occurrences(seqs)
+        hits = model.positive_occurrences(w)
         cores = intervals.core_predictions(hits.select("seq_id", "win", "start", "end", "weight"), scored, s.threshold, s.core_mode, s.window_size)
         placed = cores.join(scored.select("seq_id", "win", "win_start", (F.col("win_start") + F.col("win_len")).alias("win_end")), ["seq_id", "win"])
         slack = 0
     placed = placed.join(names, "seq_id")
-    merged = intervals.merge(intervals.best_of_overlapping(placed) if s.core_max else placed.select("chrom", "start", "end", "score"), slack)
+    merged = intervals.merge(intervals.best_of_overlapping(placed) if s.core_max else placed.select("chrom", "start", "end", "score"), slack, spread=True)
     if gff:
         sinks.write_lines(sinks.gff_rows(merged), gff)
     if wig:
@@ -167,12 +177,13 @@ def predict_genome(spark: SparkSession, model: SequenceModel, path: str, gff: st
 
 
 def core_sequences(model: SequenceModel, seqs: DataFrame) -> DataFrame:
-    """The best window of eight sizes of each sequence."""
-    parts = []
+    """The best window of eight sizes of each sequence; motifs are scanned once for all sizes."""
+    parts, once = [], model.windows(seqs, model.scan_motifs())
+    known = {"stored": once.stored(), "lengths": once.lengths}
     for size in windows.CORE_SIZES:
         own = replace(model, settings=replace(model.settings, window_size=size, window_step=windows.CORE_STEP))
-        scores = own.score_windows(seqs).withColumn("size", F.lit(size))
-        parts.append(scores.withColumn("score", F.col("score") - model.settings.threshold))
+        scores = own.scored(Windows(once.seqs, once.occ, size, windows.CORE_STEP, once.max_len, known=dict(known)))
+        parts.append(scores.withColumn("size", F.lit(size)).withColumn("score", F.col("score") - model.settings.threshold))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -219,8 +230,9 @@ def run(spark: SparkSession, argv: Sequence[str]) -> SequenceModel:
 
 
 def assisted(spark: SparkSession, a: argparse.Namespace) -> argparse.Namespace:
-    """Options of assisted training: independent halves of the positives, as many Markov sequences of their length to
-    train against and a hundred times as many to calibrate and validate against, 80 % precision."""
+    """Options of assisted training: a third of the positives, by name, for each of training, calibration and validation,
+    as many Markov sequences of their length to train against and a hundred times as many to calibrate and to validate
+    against, each role's its own, 80 % precision."""
     path, genome = a.auto
     positives = read_fasta(spark, path)
     n, length = positives.agg(F.count("*"), F.max("len")).first()

@@ -43,8 +43,15 @@ class CoreMode(Enum):
     CONTINUOUS = "continuous"
 
 
+#: Features around an occurrence, in their order in a vector.
+LOCAL_FEATURES = ("nOcc", "GC", "DNT")
+
+
 @dataclass(frozen=True)
 class Settings:
+    """gamma None is 1 / features. training_rows bounds what a machine trains on, as the driver or a task holds it: of more
+    labelled rows (of a motif, in hierarchical models) those with the smallest hashes are taken, a uniform sample."""
+
     seed: int = 0
     automaton: bool = True
     validate: bool = True
@@ -62,6 +69,7 @@ class Settings:
     cost: float = 1.0
     nu: float = 0.5
     p: float = 0.995
+    gamma: float | None = None
     threshold: float = 0.0
     trees: int = 500
     depth: int = 0
@@ -72,7 +80,11 @@ class Settings:
     background_order: int = 4
     core_mode: CoreMode = CoreMode.NONE
     core_max: bool = False
+    local_features: tuple[str, ...] = LOCAL_FEATURES
+    training_rows: int = 50_000
 
     def __post_init__(self) -> None:
         if not 0 < self.window_step < self.window_size:
             raise ValueError("a window's step must be over 0 and below its size")
+        if not self.local_features or not set(self.local_features) <= set(LOCAL_FEATURES):
+            raise ValueError(f"local features are of {LOCAL_FEATURES}")

@@ -1,11 +1,13 @@
 """Support vector machines on NumPy, trained by sequential minimal optimization.
 
-Training sets are the occurrences of one motif or the windows of a training set: thousands of vectors, which fit a task.
-Scoring is a vectorized function over Arrow batches.
+Training sets are the occurrences of one motif or the windows of a training set, at most Settings.training_rows vectors,
+which fit a task: rows of the kernel are made when they are asked for, and CACHE bytes of them are kept. Scoring is a
+vectorized function over Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -15,6 +17,8 @@ from strandline.config import Kernel, SvmType
 
 TOLERANCE = 1e-3
 TAU = 1e-12
+#: Bytes of kernel rows that a training holds.
+CACHE = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,30 @@ def kernel_matrix(a: np.ndarray, b: np.ndarray, kernel: Kernel, gamma: float, c0
     return dot if kernel is Kernel.LINEAR else (gamma * dot + c0) ** (2 if kernel is Kernel.QUADRATIC else 3)
 
 
+class KernelRows:
+    """Rows of the kernel of z with itself, the last used ones kept."""
+
+    def __init__(self, z: np.ndarray, kernel: Kernel, gamma: float, c0: float, cache: int = CACHE):
+        self.z, self.options, self.most = z, (kernel, gamma, c0), max(2, cache // (8 * max(1, len(z))))
+        self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i in self.kept:
+            self.kept.move_to_end(i)
+        else:
+            self.kept[i] = kernel_matrix(self.z[i : i + 1], self.z, *self.options)[0]
+            if len(self.kept) > self.most:
+                self.kept.popitem(last=False)
+        return self.kept[i]
+
+    def diagonal(self) -> np.ndarray:
+        kernel, gamma, c0 = self.options
+        if kernel is Kernel.RBF:
+            return np.ones(len(self.z))
+        dot = (self.z**2).sum(axis=1)
+        return dot if kernel is Kernel.LINEAR else (gamma * dot + c0) ** (2 if kernel is Kernel.QUADRATIC else 3)
+
+
 def minimize(q, diagonal: np.ndarray, linear: np.ndarray, y: np.ndarray, upper: np.ndarray, alpha: np.ndarray, by_label: bool = False, tolerance: float = TOLERANCE, rounds: int = 10_000_000) -> tuple[np.ndarray, float, float]:
     """(alpha, rho, r) of min 1/2 a'Qa + linear'a with y'a kept and 0 <= a <= upper, by pairs of largest gain.
 
@@ -145,7 +173,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, k
     if svm_type is SvmType.ONE_CLASS:
         x, y = x[y > 0], y[y > 0]
     z, n = scaler(x), len(x)
-    k = kernel_matrix(z, z, kernel, gamma, c0)
+    k = KernelRows(z, kernel, gamma, c0)
     if svm_type is SvmType.C_SVC:
         a, rho, _ = minimize(lambda i: y[i] * y * k[i], k.diagonal(), -np.ones(n), y, np.full(n, cost), np.zeros(n))
         coefficients = a * y

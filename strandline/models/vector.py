@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import Settings
-from strandline.models.forest import train_forest
+from strandline.models.forest import train_forest_distributed
 from strandline.models.linear import train_lda, train_perceptron
 from strandline.models.svm import Vote, train_svm
 from strandline.session import ship_package
@@ -25,22 +25,35 @@ def min_max(samples: DataFrame, column: str = "features") -> DataFrame:
     return samples.crossJoin(F.broadcast(arrays)).withColumn("scaled", F.zip_with(F.col(column), r, one)).drop("r")  # one row is joined
 
 
-def gather(samples: DataFrame, label: str, order: str) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and labels in a fixed order; a training set is held whole by the driver."""
-    rows = samples.orderBy(order).select("features", label).toPandas()
-    return np.array(rows["features"].tolist(), dtype=np.float64), rows[label].to_numpy()
+def sampled(samples: DataFrame, rows: int, key: str, group: str | None = None) -> DataFrame:
+    """All rows, or of more than `rows` (of each group) those with the smallest hashes of the key. Counts say up to which
+    hash at most twice as many rows lie, so no more of a frequent group are ranked; a few groups' counts are broadcast."""
+    own = group or "_all"
+    marked = samples.withColumn("_at", F.xxhash64(F.lit("sample"), key)).withColumn("_share", (F.col("_at") / 2.0**64) + 0.5)
+    marked = marked if group else marked.withColumn(own, F.lit(0))
+    counts = marked.groupBy(own).agg(F.count("*").alias("_n"))
+    near = marked.join(F.broadcast(counts), own).where((F.col("_n") <= rows) | (F.col("_share") * F.col("_n") <= 2.0 * rows))
+    ranked = near.withColumn("_place", F.row_number().over(Window.partitionBy(own).orderBy("_at", key)))
+    return ranked.where(F.col("_place") <= rows).select(samples.columns)
+
+
+def gather(samples: DataFrame, label: str, order: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and labels in a fixed order: a training set, of at most so many rows, is held by the driver."""
+    found = sampled(samples.select("features", label, order), rows, order).orderBy(order).select("features", label).toPandas()
+    return np.array(found["features"].tolist(), dtype=np.float64), found[label].to_numpy()
 
 
 def fit(samples: DataFrame, kind: str, settings: Settings, order: str, label: str = "flag"):
-    """A classifier of `kind`: svm, vote, forest, lda or perceptron."""
-    x, y = gather(samples, label, order)
+    """A classifier of `kind`: svm, vote, forest, lda or perceptron. A forest's trees are grown by tasks."""
+    s = settings
+    x, y = gather(samples, label, order, s.training_rows)
     if kind == "svm":
-        return train_svm(x, np.where(y.astype(bool), 1.0, -1.0), settings.svm_type, settings.kernel, settings.cost, settings.nu, settings.p, settings.c0)
+        return train_svm(x, np.where(y.astype(bool), 1.0, -1.0), s.svm_type, s.kernel, s.cost, s.nu, s.p, s.c0, s.gamma)
     if kind == "vote":
-        return Vote.train(x, y.astype(np.float64), svm_type=settings.svm_type, kernel=settings.kernel, cost=settings.cost, c0=settings.c0)
+        return Vote.train(x, y.astype(np.float64), svm_type=s.svm_type, kernel=s.kernel, cost=s.cost, nu=s.nu, c0=s.c0, gamma=s.gamma)
     if kind == "forest":
-        return train_forest(x, y.astype(bool), settings.trees, settings.depth, settings.seed)
-    return train_lda(x, y.astype(bool)) if kind == "lda" else train_perceptron(x, y.astype(bool), settings.perceptron_rounds)
+        return train_forest_distributed(samples.sparkSession, x, y.astype(bool), s.trees, s.depth, s.seed)
+    return train_lda(x, y.astype(bool)) if kind == "lda" else train_perceptron(x, y.astype(bool), s.perceptron_rounds)
 
 
 def decide(rows: DataFrame, machine, column: str = "features", out: str = "score") -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import sinks
 from strandline.config import CoreMode, Kernel, Settings, SvmType, WeightMode
 from strandline.models import logodds, vector
+from strandline.models.forest import Forest, Tree
 from strandline.models.sequence import FeatureModel, Hierarchical, PairLogOdds, PairSum
+from strandline.models.svm import Scaler, Svm
 from strandline.operators import intervals, metrics, windows
 from strandline.operators.features import Feature, feature_values, instantiate
 from strandline.operators.scan import scan
 from strandline.plans import sqltext as S
 from strandline.plans.motif_queries import PAIRED, SIZE, STEP, motif_set, placed, sequences
-from strandline.session import read_table
+from strandline.session import read_table, scratch_folder
+from strandline.sources.fasta import Classes, clone_rows, read_fasta, read_flat, total_length, with_class
+from strandline.sources.motifs import MotifSet
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -267,7 +272,7 @@ _machine("svm_one_class", "svm", Settings(svm_type=SvmType.ONE_CLASS, nu=0.3, ke
 _machine("svr_epsilon", "svm", Settings(svm_type=SvmType.EPSILON_SVR, p=0.1))
 _machine("svr_nu", "svm", Settings(svm_type=SvmType.NU_SVR, nu=0.3))
 _machine("svm_multiclass_vote", "vote", Settings(svm_type=SvmType.C_SVC), "label")
-_machine("forest_score", "forest", Settings(trees=50))
+_machine("forest_score", "forest", Settings())
 _machine("lda_score", "lda", Settings())
 _machine("perceptron_score", "perceptron", Settings(perceptron_rounds=200))
 
@@ -281,8 +286,9 @@ def _feature_machine(name: str, kind: str, settings: Settings) -> None:
 
 
 _feature_machine("score_feature_svm", "svm", Settings())
-_feature_machine("score_feature_forest", "forest", Settings(trees=30))
+_feature_machine("score_feature_forest", "forest", Settings())
 _feature_machine("score_feature_lda", "lda", Settings())
+_feature_machine("score_feature_perceptron", "perceptron", Settings(perceptron_rounds=200))
 
 
 def _hierarchical(spark, sf_dir, kind: str) -> Hierarchical:
@@ -303,28 +309,186 @@ def hier_forest_score(spark, sf_dir):
 def _cores(spark, sf_dir, mode: CoreMode) -> DataFrame:
     """Cores of windows with at least two occurrences of a motif, each of weight 1."""
     w = placed(spark, sf_dir, RARE)
+    w.stored()
     hits = w.occurrences.select("seq_id", "win", "start", "end", F.lit(1.0).alias("weight"))
     n = hits.groupBy("seq_id", "win").agg(F.sum("weight").alias("score"))
     return intervals.core_predictions(hits, w.windows.join(n, ["seq_id", "win"]), 2.0, mode, SIZE).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
-@query("core_motifs")
+#: site: occurrences of windows that have two, and the bases around them; their order among a window's by start and end.
+_SITES = S.located(RARE) + """, site AS (SELECT *, s * 100 + e - s AS k, row_number() OVER () AS id FROM (
+  SELECT seq_id, i, ws + wl AS we, s, e, s + (e - s) // 2 - 250 AS lo, s + (e - s) // 2 + 250 AS hi, count(*) OVER (PARTITION BY seq_id, i) AS n FROM ow) WHERE n >= 2)"""
+#: A site's hits begin in it and come before the first of those that ends after it.
+_STRONG = """, upto AS (SELECT x.*, min(y.k) FILTER (y.e > x.hi) AS stop FROM site x JOIN site y ON x.seq_id = y.seq_id AND x.i = y.i AND y.s >= x.lo GROUP BY ALL),
+weighed AS (SELECT x.*, count(*) AS total FROM upto x JOIN site y ON x.seq_id = y.seq_id AND x.i = y.i AND y.s >= x.lo AND (stop IS NULL OR y.k < stop) GROUP BY ALL)"""
+
+
+@query(
+    "core_motifs",
+    _SITES
+    + _STRONG
+    + """, told_strong AS (SELECT *, max(total) OVER (PARTITION BY seq_id, i) >= 2 AS any_strong FROM weighed),
+chosen AS (SELECT seq_id, i, k, id, CASE WHEN any_strong THEN greatest(lo, 0) ELSE lo END AS a, CASE WHEN any_strong THEN least(hi, we) ELSE hi END AS b, CASE WHEN any_strong THEN total ELSE 1 END AS v FROM told_strong WHERE total >= 2 OR NOT any_strong),
+cut AS (SELECT *, CASE WHEN a < max(b) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM chosen WINDOW w AS (PARTITION BY seq_id, i ORDER BY k, id)),
+told AS (SELECT *, sum(f) OVER (PARTITION BY seq_id, i ORDER BY k, id) AS island FROM cut),
+flat AS (SELECT seq_id, i, arg_min(a, k) AS a, max(b) AS b, max(v) AS v FROM told GROUP BY seq_id, i, island)
+SELECT seq_id, i AS win, a AS start_pos, b AS end_pos, v::DOUBLE AS score FROM (SELECT *, max(v) OVER (PARTITION BY seq_id, i) AS most FROM flat) WHERE v >= 2 OR most < 2""",
+)
 def core_motifs(spark, sf_dir):
     return _cores(spark, sf_dir, CoreMode.MOTIFS)
 
 
-@query("core_motifs_strong")
+@query("core_motifs_strong", _SITES + _STRONG + " SELECT seq_id, i AS win, greatest(lo, 0) AS start_pos, least(hi, we) AS end_pos, total::DOUBLE AS score FROM weighed WHERE total >= 2")
 def core_motifs_strong(spark, sf_dir):
     return _cores(spark, sf_dir, CoreMode.MOTIFS_STRONG)
 
 
-@query("core_continuous")
+@query(
+    "core_continuous",
+    _SITES
+    + """, line AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY seq_id, i) AS many FROM site WINDOW w AS (PARTITION BY seq_id, i ORDER BY (lo + hi) // 2, s, e)),
+span AS (SELECT x.seq_id, x.i, x.rn AS xr, y.rn AS yr, greatest(x.lo, 0) AS a, least(y.hi, y.we) AS b FROM line x JOIN line y ON x.seq_id = y.seq_id AND x.i = y.i AND y.rn >= x.rn AND y.hi <= x.lo + 500 WHERE x.rn < x.many),
+dense AS (SELECT p.*, count(*) AS total FROM span p JOIN site c ON c.seq_id = p.seq_id AND c.i = p.i AND c.s >= a AND c.e <= b WHERE b - a >= 500 GROUP BY ALL)
+SELECT seq_id, i AS win, a AS start_pos, b AS end_pos, total::DOUBLE AS score FROM dense QUALIFY row_number() OVER (PARTITION BY seq_id, i ORDER BY total / (b - a) DESC, xr, yr) = 1""",
+)
 def core_continuous(spark, sf_dir):
     return _cores(spark, sf_dir, CoreMode.CONTINUOUS)
 
 
-@query("core_max")
+@query(
+    "core_max",
+    S.located(PAIRED)
+    + f""", {_PREDICTED}, p AS (SELECT seq_id, ws, ws + wl AS we, round(score, 6) AS score FROM sw WHERE score >= 40),
+q AS (SELECT *, CASE WHEN ws <= lag(we) OVER w THEN 0 ELSE 1 END AS f FROM p WINDOW w AS (PARTITION BY seq_id ORDER BY ws)),
+r AS (SELECT *, sum(f) OVER (PARTITION BY seq_id ORDER BY ws) AS run FROM q)
+SELECT seq_id, ws AS start_pos, we AS end_pos, score FROM r QUALIFY row_number() OVER (PARTITION BY seq_id, run ORDER BY score DESC, ws) = 1""",
+)
 def core_max(spark, sf_dir):
-    found = intervals.predicted_windows(PairSum(PAIRED).score_windows(sequences(spark, sf_dir)), 40.0)
+    found = intervals.predicted_windows(_rounded(PairSum(PAIRED).score_windows(sequences(spark, sf_dir))), 40.0)
     rows = found.select("seq_id", F.col("start").alias("win_start"), F.col("end").alias("win_end"), "start", "end", "score")
     return _named(intervals.best_of_overlapping(rows, "seq_id"), "seq_id")
+
+
+#: Of scoring with fixed machines: the first vectors as support, their signs in turn.
+SUPPORT, GAMMA, RHO = 6, 1 / 64, 0.25
+
+
+def _fixed_machine(spark, sf_dir, kernel: Kernel) -> Svm:
+    rows = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") < SUPPORT).orderBy("vec_id").select("embedding").collect()
+    support = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    ones = np.ones(support.shape[1])
+    return Svm(Scaler(-ones, ones), support, np.array([1.0 if i % 2 == 0 else -1.0 for i in range(len(support))]), RHO, kernel, GAMMA, 1.0)
+
+
+def _kernel_sql(kernel: str) -> str:
+    """Machines whose scale leaves values in [-1, 1] as they are."""
+    sign = "CASE WHEN sv.vec_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END"
+    x, s = "list_transform(e.embedding, lambda v: v::DOUBLE)", "list_transform(sv.embedding, lambda v: v::DOUBLE)"
+    return f"SELECT e.vec_id, round(sum({sign} * {kernel.format(x=x, s=s)}) - {RHO}, 6) + 0.0::DOUBLE AS score FROM embeddings e, embeddings sv WHERE sv.vec_id < {SUPPORT} GROUP BY e.vec_id"
+
+
+def _decided(name: str, kernel: Kernel, sql: str) -> None:
+    def run(spark, sf_dir):
+        return _rounded(vector.decide(vectors(spark, sf_dir), _fixed_machine(spark, sf_dir, kernel)).select("vec_id", "score"))
+
+    query(name, _kernel_sql(sql))(run)
+
+
+_decided("svm_apply_linear", Kernel.LINEAR, "list_inner_product({x}, {s})")
+_decided("svm_apply_quadratic", Kernel.QUADRATIC, f"power({GAMMA} * list_inner_product({{x}}, {{s}}) + 1, 2)")
+_decided("svm_apply_cubic", Kernel.CUBIC, f"power({GAMMA} * list_inner_product({{x}}, {{s}}) + 1, 3)")
+_decided("svm_apply_rbf", Kernel.RBF, f"exp(-{GAMMA} * power(list_distance({{x}}, {{s}}), 2))")
+
+
+@query("forest_apply", "SELECT vec_id, round(((CASE WHEN embedding[1] <= 0.0 THEN CASE WHEN embedding[3] <= 0.05 THEN 0.2 ELSE 0.9 END ELSE 0.6 END) + (CASE WHEN embedding[2] <= -0.02 THEN 0.1 ELSE 0.75 END)) - 1, 6)::DOUBLE AS score FROM embeddings")
+def forest_apply(spark, sf_dir):
+    """Two fixed trees."""
+    a = Tree(np.array([0, 2, -1, -1, -1]), np.array([0.0, 0.05, 0, 0, 0]), np.array([1, 2, -1, -1, -1]), np.array([4, 3, -1, -1, -1]), np.array([0, 0, 0.2, 0.9, 0.6]))
+    b = Tree(np.array([1, -1, -1]), np.array([-0.02, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([0, 0.1, 0.75]))
+    return _rounded(vector.decide(vectors(spark, sf_dir), Forest((a, b))).select("vec_id", "score"))
+
+
+# ---- files ----
+
+
+def _fasta(spark, sf_dir) -> str:
+    """A file of the sequences, their bases over lines of 65, under names of two words."""
+    path = f"{scratch_folder(spark, 'fasta')}/sequences.fa"
+    lines = F.regexp_replace("seq", "(.{65})", "$1\n")
+    rows = sequences(spark, sf_dir).select(F.concat(F.lit(">doc "), F.col("seq_id").cast("string"), F.lit("\n"), lines).alias("value"))
+    rows.write.text(path)
+    return path
+
+
+@query("fasta_read", f"WITH {S.SEQS} SELECT 'doc ' || seq_id AS name, len, md5(seq) AS seq_md5 FROM lens")
+def fasta_read(spark, sf_dir):
+    return read_fasta(spark, _fasta(spark, sf_dir)).select("name", F.col("len").cast("long").alias("len"), F.md5("seq").alias("seq_md5"))
+
+
+@query("fasta_total_length", f"WITH {S.SEQS} SELECT sum(len)::BIGINT AS bases FROM lens")
+def fasta_total_length(spark, sf_dir):
+    return spark.createDataFrame([(total_length(read_fasta(spark, _fasta(spark, sf_dir))),)], "bases long")
+
+
+@query("fasta_flat", f"WITH {S.SEQS} SELECT sum(len)::BIGINT AS len, sum(length(replace(seq, 'A', '')))::BIGINT AS others FROM lens")
+def fasta_flat(spark, sf_dir):
+    flat = read_flat(spark, _fasta(spark, sf_dir))
+    return flat.select(F.col("len").cast("long").alias("len"), F.length(F.replace("seq", F.lit("A"), F.lit(""))).cast("long").alias("others"))
+
+
+@query("fasta_classes", f"WITH {S.SEQS} SELECT 'doc ' || seq_id AS name, 2.0::DOUBLE AS class_value, 'win' AS train_mode, 'enhancer' AS class_name, true AS flag FROM lens")
+def fasta_classes(spark, sf_dir):
+    classes = Classes()
+    classes.register(2.0, "enhancer", True)
+    seqs = with_class(read_fasta(spark, _fasta(spark, sf_dir)), classes.value("enhancer"), "win")
+    return seqs.join(F.broadcast(classes.to_df(spark)), "class_value").select("name", "class_value", "train_mode", "class_name", "flag")  # a row a class
+
+
+def _file(spark, name: str, text: str) -> str:
+    path = f"{scratch_folder(spark, name)}/data"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("motif_xml_read", "SELECT * FROM (VALUES (0, 'GAF', 'GAGAG', 0), (1, 'G10', 'GAGAGAGAGA', 1), (2, 'Z', 'YGAGYG', 0)) t(motif_id, name, pattern, mismatches)")
+def motif_xml_read(spark, sf_dir):
+    """Children without all three attributes, and a reverse complement of an earlier pattern, are left out."""
+    out = MotifSet()
+    out.add_xml(spark, _file(spark, "xml", '<motifs><motif name="GAF" seq="GAGAG" misses="0"/><m name="G10" seq="GAGAGAGAGA" misses="1"/><motif name="x" seq="GG"/><motif name="RC" seq="CTCTC" misses="0"/><motif name="Z" seq="YGAGYG" misses="0"/></motifs>'))
+    return out.to_df(spark).select("motif_id", "name", "pattern", "mismatches")
+
+
+@query("pwm_table_read", "SELECT * FROM (VALUES (0, 'w', 3, 0, 1.0::DOUBLE), (0, 'w', 3, 1, -1.0), (0, 'w', 3, 2, 1.5), (1, 'v', 1, 0, 0.25)) t(motif_id, name, len, place, weight)")
+def pwm_table_read(spark, sf_dir):
+    """The weights of A in two matrices."""
+    out = MotifSet()
+    out.add_pwm_table(spark, _file(spark, "pwm", ">w\nA |\t1\t-1\t1.5\nC |\t-1\t-1\t-1\t\nG |\t-1\t1\t-1\nT |\t-1\t-1\t-1\n>v\nA |\t0.25\nC |\t0\nG |\t0\nT |\t0\n"))
+    return out.to_df(spark).select("motif_id", "name", "len", F.posexplode(F.element_at("pwm", 1)).alias("place", "weight"))
+
+
+# ---- further sinks ----
+
+
+@query("score_table_rows", _SCORED + " SELECT printf('%.10f', score) || chr(9) || CASE WHEN flag THEN '+' ELSE '-' END AS line FROM t")
+def score_table_rows(spark, sf_dir):
+    return sinks.score_table(scored(spark, sf_dir))
+
+
+@query("wig_score_rows", S.located(PAIRED) + f", {_PREDICTED} SELECT 'doc ' || seq_id AS name, i AS place, printf('%.6f', round(score)::DOUBLE) AS line FROM sw UNION ALL SELECT DISTINCT 'doc ' || seq_id, -1, 'fixedStep start=1 step=100 span=500 chrom=doc ' || seq_id FROM sw")
+def wig_score_rows(spark, sf_dir):
+    rows = PairSum(PAIRED).score_windows(sequences(spark, sf_dir))
+    return sinks.wig_scores(rows.select(F.concat(F.lit("doc "), F.col("seq_id").cast("string")).alias("name"), "win", F.round("score").alias("score")), SIZE, STEP)
+
+
+@query("core_table_rows", "SELECT 'c' || user_id || chr(9) || event_id || chr(9) || event_id + 500 || chr(9) || printf('%.6f', round(value, 1)) AS line FROM events")
+def core_table_rows(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    rows = e.select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("name"), F.col("event_id").alias("core_start"), (F.col("event_id") + 500).alias("core_end"), F.round("value", 1).alias("core_score"))
+    return sinks.core_table(rows)
+
+
+@query("union_split", f"WITH {S.SEQS} SELECT seq_id, len FROM lens")
+def union_split(spark, sf_dir):
+    """Disjoint random parts of the sequences, put together again."""
+    parts = clone_rows(sequences(spark, sf_dir).select("seq_id", "len"), [0.5, 0.3, 0.2], 3)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

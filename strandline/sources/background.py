@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,30 +62,35 @@ def train_markov(seqs: DataFrame, order: int = 4, add_rc: bool = True) -> DataFr
     return contexts.join(found, "context", "left").select("context", *cells).withColumn("total", sum((F.col(f"n{b}") for b in BASES), F.lit(0)))
 
 
-def _generated(spark: SparkSession, n: int, length: int, seed: int, name: str, make) -> DataFrame:
+def sequence_seed(seed: int, stream: str, i: int) -> int:
+    """The seed of sequence i of a stream: other streams, and other numbers in one, have seeds of their own."""
+    return int.from_bytes(hashlib.blake2b(f"{seed}|{stream}|{i}".encode(), digest_size=8).digest(), "big")
+
+
+def _generated(spark: SparkSession, n: int, length: int, seed: int, stream: str, name: str, make) -> DataFrame:
     ship_package(spark)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seeds = [seed + int(i) for i in frame["id"]]
+            seeds = [sequence_seed(seed, stream, int(i)) for i in frame["id"]]
             yield pd.DataFrame({"seq_id": frame["id"], "name": [f"{name} {i} seed {s}" for i, s in zip(frame["id"], seeds)], "seq": [make(np.random.default_rng(s), length) for s in seeds], "len": length})
 
     return spark.range(n).mapInPandas(work, "seq_id long, name string, seq string, len int")
 
 
-def generate_iid(spark: SparkSession, n: int, length: int, p: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """n sequences, each from a seed of its own that its name states."""
+def generate_iid(spark: SparkSession, n: int, length: int, p: dict[str, float] | None = None, seed: int = 0, stream: str = "") -> DataFrame:
+    """n sequences, each from a seed of its own, by seed, stream and number, that its name states."""
     weights = np.array([(p or {}).get(b, 0.25) for b in BASES])
     weights = weights / weights.sum()
 
     def make(rng: np.random.Generator, length: int) -> str:
         return np.frombuffer(BASES.encode(), np.uint8)[rng.choice(4, length, p=weights)].tobytes().decode()
 
-    return _generated(spark, n, length, seed, "iid", make)
+    return _generated(spark, n, length, seed, stream, "iid", make)
 
 
-def generate_markov(spark: SparkSession, model: DataFrame, n: int, length: int, seed: int = 0) -> DataFrame:
-    """n sequences of a chain; the first context is drawn by the contexts' totals. The model has 4**order rows."""
+def generate_markov(spark: SparkSession, model: DataFrame, n: int, length: int, seed: int = 0, stream: str = "") -> DataFrame:
+    """n sequences of a chain, seeded as generate_iid's are; the first context is drawn by the contexts' totals. The model has 4**order rows."""
     rows = sorted(model.collect(), key=lambda r: r["context"])
     order = len(rows[0]["context"])
     totals = np.cumsum([r["total"] for r in rows], dtype=np.float64)
@@ -101,6 +107,6 @@ def generate_markov(spark: SparkSession, model: DataFrame, n: int, length: int,
             state = (state << 2 | base) & mask
         return "".join(BASES[b] for b in out)
 
-    return _generated(spark, n, length, seed, "markov", make)
+    return _generated(spark, n, length, seed, stream, "markov", make)
 
 

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from strandline.cli import run
+from strandline.cli import ROLES, assisted, parser, run, sequences_of
+from strandline.sources.fasta import Classes
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,27 @@ def test_assisted(spark, data, capsys):
     folder, pos, _, genome = data
     run(spark, ["--motif-xml", f"{folder}/m.xml", "--model", "pair-logodds", "--auto", pos, genome, "--background-order", "2", "--auto-ratio", "2"])
     assert "threshold" in capsys.readouterr().out
+
+
+def test_no_sequence_has_two_roles(spark, data):
+    _, pos, _, genome = data
+    a = assisted(spark, parser().parse_args(["--auto", pos, genome, "--background-order", "2", "--auto-ratio", "1", "--train-iid", genome, "5", "700", "-", "full"]))
+    classes = Classes()
+    for row in ((1.0, "positive", True), (-1.0, "negative", False)):
+        classes.register(*row)
+    parts = {role: [(r.seq, r.class_value) for r in sequences_of(spark, a, role, classes).collect()] for role in ROLES}
+    every = [s for rows in parts.values() for s, _ in rows]
+    assert len(every) == len(set(every)) and all(any(v > 0 for _, v in rows) for rows in parts.values())
+    assert sum(v > 0 for rows in parts.values() for _, v in rows) == 24
+    again = {role: sorted(r.seq for r in sequences_of(spark, a, role, classes).collect()) for role in ROLES}
+    assert again == {role: sorted(s for s, _ in rows) for role, rows in parts.items()}
+
+
+def test_machine_options(spark, data, tmp_path):
+    folder, pos, neg, _ = data
+    fitted = run(spark, ["--motif-xml", f"{folder}/m.xml", "--train-fasta", pos, "+", "full", "--train-fasta", neg, "-", "full", "--svm-type", "c_svc", "--gamma", "0.5", "--kernel", "quadratic", "--local-feature", "GC", "--training-rows", "40", "--export", f"{tmp_path}/x"])
+    machine = next(iter(fitted.machines.values())).machines[0]
+    assert machine.gamma == 0.5 and machine.support.shape[1] == 1
+    lines = read(spark, tmp_path / "x")
+    assert any("against" in x and "GC x GC" in x for x in lines) and any("bias" in x for x in lines)
+    assert any(r.item == "local feature 0" and r.value == "GC" for r in fitted.describe(sequences_of(spark, parser().parse_args(["--train-fasta", pos, "+", "full"]), "train", Classes())).collect())

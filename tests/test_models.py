@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 
 from strandline.config import CoreMode, Kernel, Settings, SvmType, WeightMode
-from strandline.models import forest, linear, logodds, svm
+from strandline.models import forest, linear, logodds, svm, vector
 from strandline.models.sequence import FeatureModel, Hierarchical, PairLogOdds, PairSum
 from strandline.operators.features import Feature
+from strandline.operators import intervals
 from strandline.operators.intervals import best_of_overlapping, core_predictions, merge, window_cores
 from strandline.sources.background import generate_iid
 from strandline.sources.motifs import MotifSet
@@ -36,6 +37,25 @@ def test_c_svc_meets_its_conditions(kernel):
     assert (np.sign(m.decide(x)) == y).mean() > 0.85
 
 
+def test_kernel_rows_on_demand(monkeypatch):
+    x, y = blobs()
+    whole = svm.train_svm(x, y, SvmType.C_SVC, Kernel.RBF).decide(x)
+    monkeypatch.setattr(svm, "CACHE", 1)
+    rows = svm.KernelRows(x, Kernel.CUBIC, 0.3, 1.0, 1)
+    assert rows.most == 2 and np.allclose([rows[i] for i in range(len(x))], svm.kernel_matrix(x, x, Kernel.CUBIC, 0.3, 1.0)) and len(rows.kept) == 2
+    assert np.allclose(rows.diagonal(), np.diag(svm.kernel_matrix(x, x, Kernel.CUBIC, 0.3, 1.0)))
+    assert np.allclose(svm.train_svm(x, y, SvmType.C_SVC, Kernel.RBF).decide(x), whole)
+
+
+def test_training_rows_are_bounded(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id < 2900 THEN 'hot' ELSE 'rare' END AS motif")
+    few = vector.sampled(rows, 200, "id", "motif").collect()
+    assert sum(r.motif == "hot" for r in few) == 200 and sum(r.motif == "rare" for r in few) == 100
+    one = sorted(r.id for r in vector.sampled(rows, 500, "id").collect())
+    assert len(one) == 500 and one == sorted(r.id for r in vector.sampled(rows.repartition(7), 500, "id").collect())
+    assert 1200 < np.mean(one) < 1800 and vector.sampled(rows, 5000, "id").count() == 3000
+
+
 def test_other_machines():
     x, y = blobs(gap=1.5)
     nu = svm.train_svm(x, y, SvmType.NU_SVC, nu=0.3)
@@ -178,7 +198,7 @@ def test_sequences_without_windows_score_zero(spark):
     assert out[1] == 0 and out[2] == pytest.approx(3 * 1000 / 10)
 
 
-def test_merging(spark):
+def test_merging(spark, monkeypatch):
     df = spark.createDataFrame([("c", 0, 500, 1.0), ("c", 600, 1100, 2.0), ("c", 1300, 1800, 3.0), ("d", 5, 6, 1.0)], "chrom string, start long, end long, score double")
     show = lambda x: sorted((r.chrom, r.start, r.end, r.score) for r in x.collect())
     once = merge(df, 100)
@@ -194,12 +214,76 @@ def test_merging(spark):
         else:
             want.append((c, s, e, v))
     assert show(merge(spark.createDataFrame(rows, df.schema), 7)) == want
+    monkeypatch.setattr(intervals, "STRETCH", 100)
+    spread = spark.createDataFrame([*rows, (None, 1, 2, 0.5), ("x", None, 2, 0.5)], df.schema)
+    assert show(merge(spread, 7, spread=True)) == want and merge(df.where("false"), spread=True).count() == 0
 
 
-def test_best_of_overlapping(spark):
+def test_best_of_overlapping(spark, monkeypatch):
     rows = [("c", 0, 500, 0, 500, 1.0), ("c", 100, 600, 100, 600, 3.0), ("c", 200, 700, 200, 700, 2.0), ("c", 701, 1200, 701, 1200, 0.5), ("c", 1300, 1800, 1300, 1800, 0.4)]
     df = spark.createDataFrame(rows, "chrom string, win_start long, win_end long, start long, end long, score double")
     assert sorted((r.start, r.end, r.score) for r in best_of_overlapping(df).collect()) == [(100, 600, 3.0), (701, 1200, 0.5), (1300, 1800, 0.4)]
+    monkeypatch.setattr(intervals, "STRETCH", 300)
+    rng = np.random.default_rng(2)
+    starts = np.unique(rng.integers(0, 9000, 60) * 10)
+    rows = [("c", int(w), int(w) + 500, int(w) + int(a), int(w) + 300 + int(a), float(rng.integers(0, 6))) for w in starts for a in range(0, 200, 100) if rng.random() < 0.8]
+    want, last = [], None
+    for w in sorted({r[1] for r in rows}):
+        own = [r for r in rows if r[1] == w]
+        if last is None or w > last:
+            want.append([])
+        want[-1] += own
+        last = w + 500
+    best = [min(run, key=lambda r: (-r[5], r[1], r[3])) for run in want]
+    got = best_of_overlapping(spark.createDataFrame(rows, df.schema)).collect()
+    assert sorted((r.start, r.end, r.score) for r in got) == sorted(r[3:] for r in best)
+
+
+def plain_cores(hits, win_end, threshold, mode, size, reach=250):
+    """By definition, hit by hit."""
+    site = lambda h: ((h[0] + h[1]) // 2 - reach, (h[0] + h[1]) // 2 + reach)
+    hits = sorted(hits)
+    if mode is CoreMode.CONTINUOUS:
+        line = sorted(hits, key=lambda h: (sum(site(h)) // 2, h))
+        found = []
+        for i, a in enumerate(line[:-1]):
+            low = max(site(a)[0], 0)
+            for b in line[i:]:
+                if any(site(c)[1] > site(a)[0] + size for c in line[i : line.index(b) + 1]):
+                    continue
+                high = min(site(b)[1], win_end)
+                if high - low >= 2 * reach:
+                    weight = sum(h[2] for h in hits if h[0] >= low and h[1] <= high)
+                    found.append((weight / (high - low), low, high, weight))
+        return [max(found, key=lambda f: f[0])[1:]] if found else []
+    strong = []
+    for a in hits:
+        low, high = site(a)
+        inside = [h for h in hits if h[0] >= low]
+        ends = [i for i, h in enumerate(inside) if h[1] > high]
+        weight = sum(h[2] for h in inside[: ends[0] if ends else len(inside)])
+        if weight >= threshold:
+            strong.append((max(low, 0), min(high, win_end), weight))
+    if mode is CoreMode.MOTIFS_STRONG:
+        return strong
+    joined = []
+    for low, high, weight in strong or [(*site(h), h[2]) for h in hits]:
+        if joined and low < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], high), max(joined[-1][2], weight))
+        else:
+            joined.append((low, high, weight))
+    return [x for x in joined if x[2] >= threshold] or joined
+
+
+@pytest.mark.parametrize("mode", [CoreMode.MOTIFS, CoreMode.MOTIFS_STRONG, CoreMode.CONTINUOUS])
+def test_cores_by_definition(mode):
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        n, length = int(rng.integers(0, 12)), int(rng.choice([500, 1500, 4000]))
+        starts = rng.integers(0, length - 12, n)
+        hits = list(dict.fromkeys((int(s), int(s + rng.choice([5, 8, 11])), float(rng.integers(-1, 4))) for s in starts))
+        threshold = float(rng.choice([0, 1, 3, 6]))
+        assert window_cores(hits, 0, length, threshold, mode, 1500) == plain_cores(hits, length, threshold, mode, 1500)
 
 
 def test_cores(spark):
