@@ -126,10 +126,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself, in the columns of docs: a row per pass over a document and one per run of its words taken besides
-    (white space before the run's first word left out), n_chars, if there, counted anew. Edge cases as in mix()."""
-    sized = materialize(_placing(docs, seed, shards), "sizes")
+    (white space before the run's first word left out), n_chars, if there, counted anew. A run may begin and end inside a
+    document, which is then cut. Edge cases as in mix()."""
+    # rows get numbers and are written, so that only narrow rows are placed and texts meet their places by number
+    number = "_number" + "_" * max([0, *(len(c) for c in docs.columns if c.startswith("_number"))])
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    sized = materialize(_placing(numbered, seed, shards, F.col(number).alias("row_number")), "sizes")
+    placed = _place(sized, cell_quotas(sized.drop("row_number"), weights, share, cap, block, seed)).where("taken > 0")
+    placed = placed.select("row_number", "taken", "passes", "part_from", "part_words", "head_words")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    placed = _place(_placing(docs, seed, shards, row), materialize(cell_quotas(sized, weights, share, cap, block, seed), "quotas"))
+    placed = numbered.select(F.col(number).alias("row_number"), row).join(placed, "row_number")
     pieces = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
     def run(first: Column, n: Column) -> Column:

@@ -237,27 +237,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Blocks of the first 64 bits, and how many must agree for two fingerprints to meet.
-BLOCKS, AGREE = 11, 2
-#: Most differing bits of the first 64 and of all 128: about two standard deviations over what similarity 0.8 gives.
-NEAR, NEARER = 15, 28
+#: Texts of similarity s share one of BANDS runs of ROWS minima with 1 - (1 - s ** ROWS) ** BANDS: 0.995 at 0.8.
+BANDS, ROWS = 10, 4
+#: Most differing bits of the first 64 and of all 128: about 2.5 standard deviations over what similarity 0.8 gives.
+NEAR, NEARER = 17, 30
 WIDE_CELL = 2048
 #: Texts of a part where pairs across rejected edges are measured.
 OPEN_CELL = 256
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int, int]:
-    """(content id, two independent SimHashes of the set of shingles) of a text's lower-cased words, as signed longs."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+_FACTORS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands_of(x: np.ndarray) -> np.ndarray:
+    """BANDS numbers of a set of hashes, each of the least of ROWS orders of the set."""
+    least = np.full(BANDS * ROWS, _ALL)
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, (x[None, at : at + 2048] * _FACTORS[:, None]).min(axis=1))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = _mixed(out * np.uint64(3) + column)
+    return out.view(np.int64)
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[int, int, int, list[int]]:
+    """(content id, two independent SimHashes of the set of shingles, as signed longs, its bands) of a text's lower-cased
+    words; no bands without words."""
     words = (text or b"").lower().split()
     content = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "big", signed=True)
     if not words:
-        return content, 0, 0
+        return content, 0, 0, []
     x = np.unique(shingle_hashes(words, shingle).view(">u8").astype(np.uint64))  # similarity is of sets
-    hashes = x.astype(">u8").view(np.uint8).reshape(-1, 8)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finalizer of splitmix64
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    second = (x ^ (x >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return content, *(int.from_bytes(majority(h), "big", signed=True) for h in (hashes, second))
+    hashes, second = (v.astype(">u8").view(np.uint8).reshape(-1, 8) for v in (x, _mixed(x)))
+    return content, *(int.from_bytes(majority(h), "big", signed=True) for h in (hashes, second)), bands_of(x).tolist()
 
 
 def closest_edges(values: np.ndarray, more: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,15 +325,16 @@ def closest_edges(values: np.ndarray, more: np.ndarray, group: np.ndarray) -> tu
 
 
 def similar_pairs(nodes: DataFrame, cell: int = WIDE_CELL, batch_rows: int = 1 << 15) -> DataFrame:
-    """Candidate pairs (a, b) of nodes (node, w0, w1): of each bucket's pairs that SimHash finds near, those of a minimum
-    spanning forest, so that a group of near copies gives as many pairs as members, the closest ones."""
+    """Candidate pairs (a, b) of nodes (node, w0, w1, bands): of each bucket's pairs that SimHash finds near, those of a
+    minimum spanning forest, so that a group of near copies gives as many pairs as members, the closest ones. A bucket
+    holds the texts that share a band, so buckets grow with groups of like texts, not with the table."""
     spark = nodes.sparkSession
     ship_package(spark)
-    masks = tables(BLOCKS, AGREE)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("w0").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])).alias("x")
-    keyed = nodes.select("node", "w0", "w1", keys).select("node", "w0", "w1", "x.t", "x.key")
-    hot = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell), "hot-buckets")
-    dealt = keyed.join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)))
+    keyed = nodes.select("node", "w0", "w1", F.posexplode("bands").alias("t", "key"))
+    many = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    keyed = keyed.join(checked_broadcast(many.select("t", "key")), ["t", "key"], "left_semi")
+    hot = materialize(many.where(F.col("n") > cell), "hot-buckets")
+    dealt = keyed.join(checked_broadcast(hot), ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     cells = dealt.withColumn("part", part).select("node", "w0", "w1", "t", "key", "part", other)
@@ -448,34 +468,53 @@ def open_links(rejected: DataFrame, stars: DataFrame, texts: DataFrame, similari
     return materialize(found.distinct(), "open-links")
 
 
+#: Rows of two short columns that a broadcast may have; tables over it are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """df, a written table of narrow rows, to be broadcast if it has few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def row_id(columns: list[tuple[str, str]]) -> Column:
+    """A digest of (name, type) columns, each told with its length, so that rows of other values have other digests."""
+    told = []
+    for name, kind in columns:
+        value = F.hex(F.col(f"`{name}`")) if kind == "binary" else F.col(f"`{name}`").cast("string")
+        told.append(F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.length(value).cast("string"), F.lit(":"), value)))
+    return F.md5(F.concat(*told))
+
+
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text and any more columns) with one row of each group of near-duplicates: that with the smallest
     doc_id (null ids last; then any fixed one). Groups are components of pairs whose sets of `shingle`-word runs,
-    lower-cased, have a Jaccard similarity of at least `similarity`, among the pairs that SimHash finds near, each of
-    which is measured unless measured links join it already; texts with equal words are always one group, those without
-    words too. Equal rows are one row. An empty table gives an empty one."""
+    lower-cased, have a Jaccard similarity of at least `similarity`, among the pairs that share a band and that SimHash
+    finds near, each of which is measured unless measured links join it already; texts with equal words are always one
+    group, those without words too. Equal rows are one row; columns of any name are kept as they are. An empty table
+    gives an empty one."""
     spark = docs.sparkSession
     ship_package(spark)
     columns = docs.columns
-    told = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in columns]
-    keyed = docs.withColumn("__row", F.md5(F.concat_ws("\u001f", *told)))
+    row = "__row" + "_" * max([0, *(len(c) for c in columns if c.startswith("__row"))])  # no column has this name
+    keyed = docs.withColumn(row, row_id(docs.dtypes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandline.llm.simhash import wide_fingerprint
 
         for b in batches:
-            marks = list(zip(*(wide_fingerprint(t.as_py(), shingle) for t in b.column(2)))) or [(), (), ()]
+            marks = list(zip(*(wide_fingerprint(t.as_py(), shingle) for t in b.column(2)))) or [(), (), (), ()]
             nodes = [f"{c & 0xFFFFFFFFFFFFFFFF:016x}{w & 0xFFFFFFFFFFFFFFFF:016x}" for c, w in zip(marks[0], marks[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.string()), pa.array(marks[1], pa.int64()), pa.array(marks[2], pa.int64())], names=["row", "doc_id", "node", "w0", "w1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.string()), pa.array(marks[1], pa.int64()), pa.array(marks[2], pa.int64()), pa.array(marks[3], pa.list_(pa.int64()))], names=["row", "doc_id", "node", "w0", "w1", "bands"])
 
-    chosen = keyed.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = materialize(map_arrow(chosen, work, "row string, doc_id long, node string, w0 long, w1 long"), "wide-fingerprints")
+    chosen = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marked = materialize(map_arrow(chosen, work, "row string, doc_id long, node string, w0 long, w1 long, bands array<long>"), "wide-fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("w0").alias("w0"), F.min("w1").alias("w1")), "nodes")
-    pairs = materialize(similar_pairs(nodes.select("node", "w0", "w1")), "similar-pairs")
+    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.first("bands").alias("bands")), "nodes")
+    pairs = materialize(similar_pairs(nodes.select("node", "w0", "w1", "bands")), "similar-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(nodes.join(ends, "node").select("node", F.col("first.row").alias("__row")), "texts-wanted")
-    texts = materialize(keyed.select("__row", "text").join(wanted, "__row").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    wanted = materialize(nodes.join(ends, "node").select("node", F.col("first.row").alias(row)), "texts-wanted")
+    texts = materialize(keyed.select(row, "text").join(checked_broadcast(wanted), row).groupBy("node").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
     @F.pandas_udf("double")
@@ -496,9 +535,16 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     if more is not None:
         stars = materialize(connected_components(links.unionByName(more), "a", "b"), "stars")
     members = nodes.select("node", "first").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = materialize(members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "kept")
-    single = keyed.groupBy("__row").agg(*[F.first(f"`{c}`").alias(c) for c in columns])  # equal rows meet before the shuffle
-    return single.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in columns])
+    kept = members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("kept"))
+    # rows that go, and those that stand more than once; all others stay where they are
+    aside = marked.groupBy("row").agg(F.count("*").alias("n")).join(kept, "row", "left").where("kept IS NULL OR n > 1")
+    aside = materialize(aside.select(F.col("row").alias(row), F.col("kept").isNotNull().alias("kept")), "rows-aside")
+    single = keyed.join(checked_broadcast(aside.select(row)), row, "left_anti")
+    repeated = materialize(aside.where("kept").select(row), "rows-repeated")
+    if not repeated.isEmpty():
+        again = keyed.join(checked_broadcast(repeated), row, "left_semi")
+        single = single.unionByName(again.groupBy(row).agg(*[F.first(f"`{c}`").alias(c) for c in columns]).select(*[f"`{c}`" for c in keyed.columns]))
+    return single.select(*[f"`{c}`" for c in columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:
