@@ -73,7 +73,7 @@ class WordCache(dict):
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        s = word.decode()
+        s = word.decode("utf-8", "replace")
         m = _PLAIN.fullmatch(s) if self.direct else None
         if m:
             ids = self.run(m[1].lower()) + (self.run(m[2]) if m[2] else b"")
