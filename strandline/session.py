@@ -77,11 +77,14 @@ def map_arrow(df: DataFrame, work, schema) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary one; a cluster, whose machines don't share theirs, an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='strandline-shared-')}")
         root = sc._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")

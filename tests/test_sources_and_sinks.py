@@ -136,3 +136,16 @@ def test_streams(spark, tmp_path):
 def test_rolling_codes():
     codes = scan.rolling_codes(np.frombuffer(b"ACGNTT", np.uint8), 2)
     assert codes.tolist() == [1, 6, -1, -1, 15] and scan.kmer_text(6, 2) == "CG"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from strandline.session import shared_root
+
+    cluster = MagicMock()
+    cluster.sparkContext.master = "spark://host:7077"
+    cluster.sparkContext.getConf().get.return_value = cluster.conf.get.return_value = None
+    cluster.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(cluster)
