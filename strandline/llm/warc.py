@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are cut into shards at exact byte quantiles of their sorted keys (histograms, refined where a bin is heavy), so
-the same table gives the same files whatever its partitions. A shard's records go out in key order, one gzip member
+Records are cut into shards at exact byte quantiles of their sorted keys (running sums over ranges of keys), so the
+same table gives the same files whatever its partitions. A shard's records go out in key order, one gzip member
 each; a file is rolled once it reaches a compressed size. Headers, record ids and digests are made anew from content
 alone. Tasks write under temporary names of their own and list what they wrote; a second pass moves just the listed
 files to their final names, and a committed manifest ends the write. Lost or repeated tasks leave only unlisted files.
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import storage
+from strandline.operators.ordered import running
 from strandline.session import hadoop_path, map_arrow, materialize, ship_package
 
 DATE = "2020-01-01T00:00:00Z"
 SHARDS = 256
 SHARD_BYTES = (1 << 18, 1 << 30)
 ROLL_BYTES = 256 << 20
-BIN_BITS = 12
+BINS = 4
 LEVEL = 6
 _MANIFEST = "file string, temporary string, shard long, part int, records long, bytes long, sha1 string"
 
@@ -70,29 +71,14 @@ def _header(value: str) -> str:
 
 
 def shard_bounds(sized: DataFrame, shard_bytes: int) -> list[tuple[int, int, int]]:
-    """(smallest key, first shard, shards) of each run of keys; sized: key (no nulls), bytes. Bins over shard_bytes are
-    cut again until they hold one key, whose records are then dealt over shards by digest."""
-    low, high = sized.agg(F.min("key"), F.max("key")).first()
-    if low is None:
-        return []
-    bins: list[tuple[int, int]] = []
-    heavy = [(low, high, max(0, (high - low).bit_length() - BIN_BITS))]
-    while heavy:  # a bin is the keys that agree but for their lowest bits; at most about 2**BIN_BITS of each come back
-        of = F.lit(None).cast("struct<span:int,bin:long>")
-        for i, (a, b, bits) in enumerate(heavy):
-            of = F.when(F.col("key").between(a, b), F.struct(F.lit(i).alias("span"), F.shiftright("key", bits).alias("bin"))).otherwise(of)
-        rows = sized.select(of.alias("bin"), "bytes").where("bin is not null").groupBy("bin").agg(F.sum("bytes").alias("bytes")).collect()
-        deeper = []
-        for r in rows:
-            a, b, bits = heavy[r["bin"]["span"]]
-            start = r["bin"]["bin"] << bits
-            if r["bytes"] > shard_bytes and bits:
-                deeper.append((max(a, start), min(b, start + (1 << bits) - 1), max(0, bits - BIN_BITS)))
-            else:
-                bins.append((max(a, start), r["bytes"]))
-        heavy = deeper
+    """(smallest key, first shard, shards) of each run of keys; sized: key (no nulls), bytes. Running sums cut the keys
+    into bins of a part of shard_bytes, which are joined up to shard_bytes; the records of a key over it are dealt over
+    shards by digest. The driver gets BINS rows a shard."""
+    upto = running(sized.groupBy("key").agg(F.sum("bytes").alias("bytes")), [F.col("key")], {"upto": F.col("bytes")})
+    at = F.floor((F.col("upto") - F.col("bytes")) / max(1, shard_bytes // BINS))
+    bins = upto.groupBy(at.alias("bin"), (F.col("bytes") > shard_bytes).alias("over")).agg(F.min("key").alias("low"), F.sum("bytes").alias("bytes"))
     out, shard, held = [], -1, shard_bytes
-    for start, size in sorted(bins):
+    for start, size in sorted((r["low"], r["bytes"]) for r in bins.select("low", "bytes").collect()):
         parts = max(1, round(size / shard_bytes))
         if parts > 1:
             out.append((start, shard + 1, parts))
