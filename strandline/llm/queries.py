@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, chroma, mincut, mixing, packing, quality, rollup, secrets, simhash, warc
+from strandline.llm import chat, chroma, infill, merkle, mincut, mixing, packing, quality, rollup, secrets, simhash, vector_packing, warc
 from strandline.session import materialize, read_table, scratch_folder
 
 
@@ -85,6 +85,26 @@ def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.restored(infill.transform(read_table(spark, sf_dir, "documents")))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row or so claims a text whose capitals were lowered."""
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    text = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    claimed = merkle.leaf_digest([text if c == "text" else F.col(c) for c in merkle.FIELDS])
+    manifest = merkle.build(docs, carry={"claimed": claimed})
+    found = merkle.proofs(manifest).withColumn("root", F.lit(manifest.root).cast("string")).withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_warc": op2_warc,
@@ -96,10 +116,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_html_mincut": op10_html_mincut,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_packing": op12_vector_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op5_chat_prefix_tree": chat.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op11_fill_in_middle": infill.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
