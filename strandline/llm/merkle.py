@@ -29,6 +29,10 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 BROADCAST_BLOCKS = 1000
 #: The tree above the sources.
 TOP = -1
+#: Rows of small tables, whose number is known before they are written, that a task writes: no file for a few rows.
+ROWS_A_TASK = 2000
+#: Up to so many sources are numbered by one task, more by ranges of them.
+SOURCES_AT_ONCE = 10_000
 
 
 def leaf_digest(values: Sequence[Column]) -> Column:
@@ -54,6 +58,19 @@ def _over(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
+def _written(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """A table of at most so many rows, written by as many tasks as they need."""
+    return materialize(df.coalesce(max(1, -(-rows // ROWS_A_TASK))), name)
+
+
+def _numbered(sizes: DataFrame, sources: int) -> DataFrame:
+    """tree, source, size: sources in order, numbered from 0."""
+    if sources <= SOURCES_AT_ONCE:
+        place = F.row_number().over(Window.orderBy(F.asc_nulls_first("source")))
+        return sizes.withColumn("place", place).select((F.col("place") - 1).cast("long").alias("tree"), "source", "size")
+    return running(sizes, [F.asc_nulls_first("source")], {}).select((F.col("place") - 1).cast("long").alias("tree"), "source", "size")
+
+
 @dataclass(frozen=True)
 class Manifest:
     """leaves: tree, size (leaves of the tree), idx, leaf and the columns carried along. nodes: tree, size,
@@ -64,6 +81,7 @@ class Manifest:
     nodes: DataFrame
     trees: DataFrame
     root: str | None
+    rows: int
     sources: int
     deepest: int
     blocks: int
@@ -85,9 +103,10 @@ def build(table: DataFrame, fields: Sequence[str] = FIELDS, tree_by: str = "sour
     # `row` only divides the copies of a row that is repeated very often over ranges
     ranged = digests.repartitionByRange(F.asc_nulls_first("source"), F.asc_nulls_first("key"), F.asc("c_leaf"), F.asc("row"))
     ranged = materialize(ranged.withColumn("range", F.spark_partition_id()), "ranges")
-    parts = materialize(ranged.groupBy("source", "range").agg(F.count("*").alias("n")), "range-sizes")
-    sizes = parts.groupBy("source").agg(F.sum("n").alias("size"))
-    trees = materialize(running(sizes, [F.asc_nulls_first("source")], {}).select((F.col("place") - 1).cast("long").alias("tree"), "source", "size"), "trees")
+    parts = ranged.groupBy("source", "range").agg(F.count("*").alias("n"))
+    sizes = ranged.groupBy("source").agg(F.count("*").alias("size"))
+    sources = sizes.count()
+    trees = _written(_numbered(sizes, sources), "trees", sources)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     starts = starts.join(trees, F.col("s").eqNullSafe(F.col("source"))).select("s", "r", "first", "tree", "size")
@@ -95,28 +114,30 @@ def build(table: DataFrame, fields: Sequence[str] = FIELDS, tree_by: str = "sour
     placed = ranged.withColumn("nth", F.row_number().over(within)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     leaves = materialize(placed.select("tree", "size", (F.col("first") + F.col("nth") - 1).alias("idx"), F.col("key").alias(order_by), F.col("source").alias(tree_by), *[F.col(f"c_{k}").alias(k) for k in values]), "leaves")
     block = fanout**block_levels
-    counted = trees.agg(F.count("*"), F.max("size"), F.sum(_over(F.col("size") - 1, block) + 1)).first()
-    sources, largest, blocks = (int(x or 0) for x in counted)
+    counted = trees.agg(F.max("size"), F.sum("size"), F.sum(_over(F.col("size") - 1, block) + 1)).first()
+    largest, rows, blocks = (int(x or 0) for x in counted)
     levels = [leaves.select("tree", "size", F.lit(0).alias("level"), "idx", F.col("leaf").alias("digest"))]
-    levels += _levels(levels[0], largest, fanout)
+    levels += _levels(levels[0], largest, fanout, rows, sources)
     tops = reduce(DataFrame.unionByName, levels).where(F.col("level") == tree_depth(F.col("size"), fanout))
-    trees = materialize(trees.join(tops.select("tree", F.col("digest").alias("subroot")), "tree"), "subroots")
+    trees = _written(trees.join(tops.select("tree", F.col("digest").alias("subroot")), "tree"), "subroots", sources)
     first = trees.select(F.lit(TOP).cast("long").alias("tree"), F.lit(sources).cast("long").alias("size"), F.lit(0).alias("level"), F.col("tree").alias("idx"), F.col("subroot").alias("digest"))
-    above = [first, *_levels(first, sources, fanout)]
+    above = [first, *_levels(first, sources, fanout, sources, 1)]
     last = above[-1].select("digest").first()
     nodes = reduce(DataFrame.unionByName, levels + above)
     deepest = sum(largest > p for p in _powers(fanout))
-    return Manifest(leaves, nodes, trees.withColumnRenamed("source", tree_by), last and last[0], sources, deepest, blocks, fanout, block_levels)
+    return Manifest(leaves, nodes, trees.withColumnRenamed("source", tree_by), last and last[0], rows, sources, deepest, blocks, fanout, block_levels)
 
 
-def _levels(leaves: DataFrame, largest: int, fanout: int) -> list[DataFrame]:
-    """The levels above, each written: runs of `fanout` nodes of a tree that has several become their digest."""
+def _levels(leaves: DataFrame, largest: int, fanout: int, rows: int, trees: int) -> list[DataFrame]:
+    """The levels above, each written: runs of `fanout` nodes of a tree that has several become their digest. A level of
+    so many rows in so many trees has at most rows / fanout + trees above it."""
     out, nodes, width = [], leaves, 1
     while largest > width:
         more = nodes.where(F.col("size") > width)  # several nodes at this level
         runs = more.groupBy("tree", "size", _over(F.col("idx"), fanout).alias("run")).agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("members"))
         digest = F.sha2(F.array_join(F.col("members.digest"), ""), 256)
-        nodes = materialize(runs.select("tree", "size", F.lit(len(out) + 1).alias("level"), F.col("run").alias("idx"), digest.alias("digest")), "nodes")
+        rows = rows // fanout + trees
+        nodes = _written(runs.select("tree", "size", F.lit(len(out) + 1).alias("level"), F.col("run").alias("idx"), digest.alias("digest")), "nodes", rows)
         out.append(nodes)
         width *= fanout
     return out
@@ -179,11 +200,11 @@ def proofs(m: Manifest, asked: DataFrame | None = None) -> DataFrame:
     tails = blocks.join(found.select(F.col("_tree").alias("tree"), F.col("_block").alias("block"), "found"), ["tree", "block"], "left")
     tails = tails.withColumn("found", F.coalesce("found", F.expr("array()").cast("array<struct<step:int,idx:bigint,digest:string>>")))
     tails = tails.select("tree", "block", "subroot", _path([(n > f**level, _step(F.col("found"), step, own)) for step, _, n, own, level in above]).alias("tail"))
-    tails = materialize(tails, "paths")
+    tails = _written(tails, "paths", m.blocks)
 
     # within blocks: a run's own leaves, then the siblings of the nodes above it
     runs = asked.groupBy("tree", "size", _over(F.col("idx"), f).alias("run")).agg(F.collect_list(F.struct(*own_columns)).alias("members"))
-    runs = materialize(runs, "runs")
+    runs = _written(runs, "runs", m.rows // f + m.sources)
     low = [(k, _over(F.col("run"), f ** (k - 1))) for k in range(1, min(high, m.deepest))]
     wanted = [_siblings(F.col("tree"), size, F.col("run") * f, 0, 0, f, True), *[_siblings(F.col("tree"), size, own, k, k, f, False) for k, own in low]]
     met = _looked_up(runs, ["tree", "run"], wanted, m.nodes).select(F.col("_tree").alias("tree"), F.col("_run").alias("run"), "found")
