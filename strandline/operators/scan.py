@@ -180,10 +180,10 @@ def pieces(parts: list[bytes], overlap: int, size: int = PIECE) -> Iterator[tupl
         yield made()
 
 
-def scan(seqs: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame:
-    """All occurrences (OCCURRENCES) of all motifs in seqs (seq_id, seq); ends are exclusive, positions forward, the score
-    of a pattern is 1. A palindrome has one row a strand. Null and empty sequences have none."""
-    ship_package(seqs.sparkSession)
+def _occurrences(source: DataFrame, motifs: MotifSet, automaton: bool) -> DataFrame:
+    """OCCURRENCES of source (seq_id, seq_len, begin, owned, seq in bytes): stretches of sequences whose first `owned` bases
+    own the hits that begin there."""
+    ship_package(source.sparkSession)
     wanted = list(motifs)
     names = [f.split()[0] for f in OCCURRENCES.split(", ")]
     overlap = max(0, motifs.max_len - 1)
@@ -192,23 +192,38 @@ def scan(seqs: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame
         from strandline.operators.scan import _motif_hits, pieces
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = [b or b"" for b in batch.column(1).to_pylist()]
-            length = np.fromiter(map(len, parts), np.int64, len(parts))
+            ids, length, place, mine = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            parts = [b or b"" for b in batch.column(4).to_pylist()]
             for text, row, first, begin, owned, held in pieces(parts, overlap):
                 columns: list[list[np.ndarray]] = [[] for _ in names]
                 for motif, reverse, at, scores in _motif_hits(text, wanted, automaton):
                     stretch = np.searchsorted(first, at, side="right") - 1
                     start = at - first[stretch] + begin[stretch]
-                    inside = (start < owned[stretch]) & (start + len(motif) <= held[stretch])
+                    inside = (start < owned[stretch]) & (start + len(motif) <= held[stretch]) & (start < mine[row[stretch]])
                     r, start = row[stretch[inside]], start[inside]
                     n = len(r)
+                    start = start + place[r]
                     for column, value in zip(columns, (ids[r], length[r], np.full(n, motif.motif_id, np.int32), np.full(n, reverse), start, start + len(motif), np.ones(n) if scores is None else scores[inside])):
                         column.append(value)
                 if any(map(len, columns[0])):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
 
-    return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("seq").cast("binary").alias("seq")).mapInArrow(work, OCCURRENCES)
+    return source.mapInArrow(work, OCCURRENCES)
+
+
+def scan(seqs: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame:
+    """All occurrences (OCCURRENCES) of all motifs in seqs (seq_id, seq); ends are exclusive, positions forward, the score
+    of a pattern is 1. A palindrome has one row a strand. Null and empty sequences have none."""
+    seq = F.col("seq").cast("binary")
+    length = F.coalesce(F.octet_length(seq), F.lit(0)).cast("long")
+    return _occurrences(seqs.select(F.col("seq_id").cast("long").alias("seq_id"), length.alias("seq_len"), F.lit(0).cast("long").alias("begin"), length.alias("owned"), seq.alias("seq")), motifs, automaton)
+
+
+def scan_stretches(stretches: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame:
+    """scan() of sequences that come in stretches (seq_id, len, begin, owned, seq), as read_stretches gives them with an
+    overlap of max_len - 1 bases or more: no task holds a whole sequence."""
+    columns = [F.col("seq_id").cast("long").alias("seq_id"), F.col("len").cast("long").alias("seq_len"), F.col("begin").cast("long").alias("begin"), F.col("owned").cast("long").alias("owned"), F.col("seq").cast("binary").alias("seq")]
+    return _occurrences(stretches.select(*columns), motifs, automaton)
 
 
 def scan_regex(seqs: DataFrame, motifs: MotifSet) -> DataFrame:
