@@ -39,15 +39,31 @@ def hellinger(pos_left: np.ndarray, neg_left: np.ndarray, pos: int, neg: int) ->
     return np.sqrt((np.sqrt(a) - np.sqrt(b)) ** 2 + (np.sqrt(1 - a) - np.sqrt(1 - b)) ** 2)
 
 
-def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = 0, min_node: int = MIN_NODE) -> tuple[Tree, np.ndarray]:
+def mixed(a: int, b: int) -> int:
+    """A 64-bit mark from two numbers."""
+    z = (a * 0x9E3779B97F4A7C15 + b + 1) & 0xFFFFFFFFFFFFFFFF
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = ((z ^ z >> shift) * factor) & 0xFFFFFFFFFFFFFFFF
+    return z ^ z >> 31
+
+
+def tried(mark: int, features: int) -> np.ndarray:
+    """Which features the node of a mark tries, in order."""
+    return np.random.default_rng(mark).choice(features, max(1, int(np.sqrt(features))), replace=False)
+
+
+def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None, depth: int = 0, min_node: int = MIN_NODE, rows: np.ndarray | None = None, mark: int = 0) -> tuple[Tree, np.ndarray]:
     """A tree on a bootstrap sample, trying floor(sqrt(features)) features a node, and the rows that it has not seen.
-    Splits lie midway between values; a node of at most min_node rows, of one class, or at the depth (0: any) is a leaf."""
-    rows = rng.integers(0, len(x), len(x))
+    Splits lie midway between values; a node of at most min_node rows, of one class, or at the depth (0: any) is a leaf.
+
+    Without rng the sample is `rows`, and a node's features follow from its mark: the root's is given, a child's is
+    mixed from its parent's and its side, so that it doesn't matter who grows which part of a tree."""
+    rows = rng.integers(0, len(x), len(x)) if rng else rows
     tries = max(1, int(np.sqrt(x.shape[1])))
     feature, split, left, right, share = [], [], [], [], []
-    work = [(rows, 0, -1, False)]
+    work = [(rows, 0, -1, False, mark)]
     while work:
-        own, level, parent, is_right = work.pop()
+        own, level, parent, is_right, mark = work.pop()
         node = len(feature)
         if parent >= 0:
             (right if is_right else left)[parent] = node
@@ -59,7 +75,7 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = 0,
         if len(own) <= min_node or not pos or not neg or (depth and level >= depth):
             continue
         best = (0.0, -1, 0.0)
-        for f in rng.choice(x.shape[1], tries, replace=False):
+        for f in rng.choice(x.shape[1], tries, replace=False) if rng else tried(mark, x.shape[1]):
             order = np.argsort(x[own, f], kind="stable")
             v, lab = x[own, f][order], labels[order]
             cut = np.flatnonzero(v[1:] != v[:-1])
@@ -73,7 +89,8 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = 0,
             continue
         feature[node], split[node] = best[1], best[2]
         low = x[own, best[1]] <= best[2]
-        work += [(own[~low], level + 1, node, True), (own[low], level + 1, node, False)]
+        sides = (0, 0) if rng else (mixed(mark, 1), mixed(mark, 0))
+        work += [(own[~low], level + 1, node, True, sides[0]), (own[low], level + 1, node, False, sides[1])]
     unseen = np.setdiff1d(np.arange(len(x)), rows)
     return Tree(np.array(feature), np.array(split), np.array(left), np.array(right), np.array(share)), unseen
 

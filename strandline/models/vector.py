@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import Settings
+from strandline.models.binned_forest import train_forest_all_rows
 from strandline.models.forest import train_forest_distributed
-from strandline.models.linear import train_lda, train_perceptron
+from strandline.models.linear import train_perceptron
+from strandline.models.moments import train_lda_all_rows, train_perceptron_all_rows
 from strandline.models.svm import Vote, train_svm
 from strandline.session import ship_package
 
+#: Rounds over all rows at most; each is a Spark job.
+MIXED_ROUNDS = 200
+
 
 def min_max(samples: DataFrame, column: str = "features") -> DataFrame:
     """samples with scaled: each place of the array to [-1, 1] by its range over all rows; a constant one to 0. The
@@ -44,8 +49,16 @@ def gather(samples: DataFrame, label: str, order: str, rows: int) -> tuple[np.nd
 
 
 def fit(samples: DataFrame, kind: str, settings: Settings, order: str, label: str = "flag"):
-    """A classifier of `kind`: svm, vote, forest, lda or perceptron. A forest's trees are grown by tasks."""
+    """A classifier of `kind`: svm, vote, forest, lda or perceptron. Discriminants take all rows; so do forests and
+    perceptrons, whose rows are gathered only if they are no more than Settings.training_rows. Support vector machines
+    train on that many at most."""
     s = settings
+    if kind == "lda":
+        return train_lda_all_rows(samples, label)
+    if kind in ("forest", "perceptron") and samples.select(order).limit(s.training_rows + 1).count() > s.training_rows:
+        if kind == "forest":
+            return train_forest_all_rows(samples, order, label, s.trees, s.depth, s.seed)
+        return train_perceptron_all_rows(samples, order, label, min(s.perceptron_rounds, MIXED_ROUNDS))
     x, y = gather(samples, label, order, s.training_rows)
     if kind == "svm":
         return train_svm(x, np.where(y.astype(bool), 1.0, -1.0), s.svm_type, s.kernel, s.cost, s.nu, s.p, s.c0, s.gamma)
@@ -53,7 +66,7 @@ def fit(samples: DataFrame, kind: str, settings: Settings, order: str, label: st
         return Vote.train(x, y.astype(np.float64), svm_type=s.svm_type, kernel=s.kernel, cost=s.cost, nu=s.nu, c0=s.c0, gamma=s.gamma)
     if kind == "forest":
         return train_forest_distributed(samples.sparkSession, x, y.astype(bool), s.trees, s.depth, s.seed)
-    return train_lda(x, y.astype(bool)) if kind == "lda" else train_perceptron(x, y.astype(bool), s.perceptron_rounds)
+    return train_perceptron(x, y.astype(bool), s.perceptron_rounds)
 
 
 def decide(rows: DataFrame, machine, column: str = "features", out: str = "score") -> DataFrame:
