@@ -45,21 +45,43 @@ def kernel_matrix(a: np.ndarray, b: np.ndarray, kernel: Kernel, gamma: float, c0
 
 
 class KernelRows:
-    """Rows of the kernel of z with itself, the last used ones kept."""
+    """Rows of the kernel of z with its own rows `columns` (all at first), the last used ones kept; entries counts what was
+    worked out."""
 
     def __init__(self, z: np.ndarray, kernel: Kernel, gamma: float, c0: float, cache: int = CACHE):
-        self.z, self.options, self.most = z, (kernel, gamma, c0), max(2, cache // (8 * max(1, len(z))))
+        self.z, self.options, self.cache = z, (kernel, gamma, c0), cache
         self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.entries = 0
+        self.columns, self.part = np.arange(len(z)), z
+
+    def over(self, columns: np.ndarray) -> None:
+        """Rows are over these columns from now on; kept rows lose the others, or go if there are new ones."""
+        place = np.searchsorted(self.columns, columns)
+        if len(columns) <= len(self.columns) and np.array_equal(self.columns[np.minimum(place, len(self.columns) - 1)], columns):
+            self.kept = OrderedDict((i, row[place]) for i, row in self.kept.items())
+        else:
+            self.kept.clear()
+        self.columns, self.part = columns, self.z[columns]
 
     def __getitem__(self, i: int) -> np.ndarray:
         if i in self.kept:
             self.kept.move_to_end(i)
         else:
-            self.kept[i] = kernel_matrix(self.z[i : i + 1], self.z, *self.options)[0]
+            self.kept[i] = self.row(i, self.part)
             if len(self.kept) > self.most:
                 self.kept.popitem(last=False)
         return self.kept[i]
 
+    @property
+    def most(self) -> int:
+        """Rows that are kept; more of them as they get shorter."""
+        return max(2, self.cache // (8 * max(1, len(self.columns))))
+
+    def row(self, i: int, part: np.ndarray) -> np.ndarray:
+        """A row with any vectors, not kept."""
+        self.entries += len(part)
+        return kernel_matrix(self.z[i : i + 1], part, *self.options)[0]
+
     def diagonal(self) -> np.ndarray:
         kernel, gamma, c0 = self.options
         if kernel is Kernel.RBF:
@@ -68,44 +90,110 @@ class KernelRows:
         return dot if kernel is Kernel.LINEAR else (gamma * dot + c0) ** (2 if kernel is Kernel.QUADRATIC else 3)
 
 
-def minimize(q, diagonal: np.ndarray, linear: np.ndarray, y: np.ndarray, upper: np.ndarray, alpha: np.ndarray, by_label: bool = False, tolerance: float = TOLERANCE, rounds: int = 10_000_000) -> tuple[np.ndarray, float, float]:
+class Signed:
+    """Q of a problem whose variable i is vector at[i] with sign[i]: sign_i sign_j K(at_i, at_j), over the active variables."""
+
+    def __init__(self, k: KernelRows, sign: np.ndarray, at: np.ndarray):
+        self.k, self.sign, self.at = k, sign, at
+        self.diagonal = k.diagonal()[at]
+        self.activate(np.arange(len(at)))
+
+    def activate(self, active: np.ndarray) -> None:
+        self.active = active
+        vectors, self.inside = np.unique(self.at[active], return_inverse=True)
+        self.k.over(vectors)
+
+    def row(self, i: int) -> np.ndarray:
+        return self.sign[i] * self.sign[self.active] * self.k[self.at[i]][self.inside]
+
+    def beyond(self, i: int, others: np.ndarray) -> np.ndarray:
+        return self.sign[i] * self.sign[others] * self.k.row(int(self.at[i]), self.k.z[self.at[others]])
+
+
+def shrinkable(value: np.ndarray, up: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Variables at a bound that no pair would move from it: they can only go up and lie below all that can go down, or the
+    other way round."""
+    if not up.any() or not low.any():
+        return np.zeros(len(value), bool)
+    return (low & ~up & (value > value[up].max())) | (up & ~low & (value < value[low].min()))
+
+
+def minimize(q: Signed, linear: np.ndarray, y: np.ndarray, upper: np.ndarray, alpha: np.ndarray, by_label: bool = False, tolerance: float = TOLERANCE, rounds: int = 10_000_000, shrink: bool = True) -> tuple[np.ndarray, float, float]:
     """(alpha, rho, r) of min 1/2 a'Qa + linear'a with y'a kept and 0 <= a <= upper, by pairs of largest gain.
 
-    q(i) is row i of Q, labels in it. by_label keeps the sums of both labels (nu forms); r is then their common offset."""
+    by_label keeps the sums of both labels (nu forms); r is then their common offset. With shrink, variables that seem
+    settled at a bound leave the active ones now and then, so that rows get shorter; when the active ones are done, the
+    gradient of the others is made again from the support and all are active once more, until none is violated."""
     alpha = alpha.astype(np.float64).copy()
     gradient = linear.astype(np.float64).copy()
     for i in np.flatnonzero(alpha):
-        gradient += alpha[i] * q(int(i))
-    positive = y > 0
+        gradient += alpha[i] * q.row(int(i))
+    every = np.arange(len(y))
+    active, positive, near = every, y > 0, False
+    period = min(len(y), 1000)
+    wait = period
+
+    def reactivate() -> None:
+        nonlocal active
+        others = np.setdiff1d(every, active, assume_unique=True)
+        gradient[others] = linear[others]
+        for i in np.flatnonzero(alpha):
+            gradient[others] += alpha[i] * q.beyond(int(i), others)
+        active = every
+        q.activate(active)
+
     for _ in range(rounds):
-        up = np.where(positive, alpha < upper, alpha > 0)
-        low = np.where(positive, alpha > 0, alpha < upper)
-        value = -y * gradient
+        a, up_to, ya, pos = alpha[active], upper[active], y[active], positive[active]
+        up = np.where(pos, a < up_to, a > 0)
+        low = np.where(pos, a > 0, a < up_to)
+        value = -ya * gradient[active]
+        groups = (pos, ~pos) if by_label else (np.ones(len(active), bool),)
+        wait -= 1
+        if shrink and not wait:
+            wait = period
+            gap = max((value[up & g].max() - value[low & g].min() for g in groups if (up & g).any() and (low & g).any()), default=0.0)
+            if not near and gap <= 10 * tolerance and len(active) < len(every):
+                near = True
+                reactivate()
+                continue
+            gone = np.zeros(len(active), bool)
+            for g in groups:
+                gone |= g & shrinkable(value, up & g, low & g)
+            if gone.any() and not gone.all():
+                active = active[~gone]
+                q.activate(active)
+                continue
         best = None
-        for group in ((positive, ~positive) if by_label else (np.ones(len(y), bool),)):
+        for group in groups:
             can_up, can_low = up & group, low & group
             if not can_up.any() or not can_low.any():
                 continue
             i = int(np.flatnonzero(can_up)[np.argmax(value[can_up])])
             if value[i] - value[can_low].min() < tolerance:
                 continue
-            row = q(i)
+            row = q.row(int(active[i]))
             gain = value[i] - value
-            curve = np.maximum(diagonal[i] + diagonal - 2 * y[i] * y * row, TAU)
+            curve = np.maximum(q.diagonal[active[i]] + q.diagonal[active] - 2 * ya[i] * ya * row, TAU)
             drop = np.where(can_low & (gain > 0), gain * gain / curve, -1.0)
             j = int(np.argmax(drop))
             if best is None or drop[j] > best[0]:
                 best = (drop[j], i, j, row, gain[j] / curve[j])
         if best is None:
-            break
+            if len(active) == len(every):
+                break
+            reactivate()
+            wait = period
+            continue
         _, i, j, row, step = best
-        most_i = upper[i] - alpha[i] if y[i] > 0 else alpha[i]
-        most_j = alpha[j] if y[j] > 0 else upper[j] - alpha[j]
+        most_i = up_to[i] - a[i] if ya[i] > 0 else a[i]
+        most_j = a[j] if ya[j] > 0 else up_to[j] - a[j]
         step = min(step, most_i, most_j)
-        di, dj = y[i] * step, -y[j] * step
-        alpha[i] = min(max(alpha[i] + di, 0.0), upper[i])
-        alpha[j] = min(max(alpha[j] + dj, 0.0), upper[j])
-        gradient += di * row + dj * q(j)
+        di, dj = ya[i] * step, -ya[j] * step
+        alpha[active[i]] = min(max(a[i] + di, 0.0), up_to[i])
+        alpha[active[j]] = min(max(a[j] + dj, 0.0), up_to[j])
+        gradient[active] += di * row + dj * q.row(int(active[j]))
+    if len(active) < len(every):
+        reactivate()
 
     def offset(part: np.ndarray) -> float:
         g = (y * gradient)[part] if not by_label else gradient[part]
@@ -165,7 +253,7 @@ class Svm:
         return pairs, single, float(self.coefficients @ shift**2) - self.rho
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, kernel: Kernel = Kernel.LINEAR, cost: float = 1.0, nu: float = 0.5, p: float = 0.995, c0: float = 0.0, gamma: float | None = None) -> Svm:
+def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, kernel: Kernel = Kernel.LINEAR, cost: float = 1.0, nu: float = 0.5, p: float = 0.995, c0: float = 0.0, gamma: float | None = None, shrink: bool = True) -> Svm:
     """x: samples by features; y: 1 or -1. gamma is 1 / features unless stated. One-class machines see positives alone."""
     x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
     gamma = 1.0 / x.shape[1] if gamma is None else gamma
@@ -174,8 +262,9 @@ def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, k
         x, y = x[y > 0], y[y > 0]
     z, n = scaler(x), len(x)
     k = KernelRows(z, kernel, gamma, c0)
+    one, own = np.ones(n), np.arange(n)
     if svm_type is SvmType.C_SVC:
-        a, rho, _ = minimize(lambda i: y[i] * y * k[i], k.diagonal(), -np.ones(n), y, np.full(n, cost), np.zeros(n))
+        a, rho, _ = minimize(Signed(k, y, own), -one, y, np.full(n, cost), np.zeros(n), shrink=shrink)
         coefficients = a * y
     elif svm_type is SvmType.NU_SVC:
         start = np.zeros(n)
@@ -184,27 +273,25 @@ def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, k
             for i in np.flatnonzero(y == sign):
                 start[i] = min(1.0, left)
                 left -= start[i]
-        a, rho, r = minimize(lambda i: y[i] * y * k[i], k.diagonal(), np.zeros(n), y, np.ones(n), start, by_label=True)
+        a, rho, r = minimize(Signed(k, y, own), np.zeros(n), y, one, start, by_label=True, shrink=shrink)
         coefficients, rho = a * y / r, rho / r
     elif svm_type is SvmType.ONE_CLASS:
         start, left = np.zeros(n), nu * n
         for i in range(n):
             start[i] = min(1.0, left)
             left -= start[i]
-        coefficients, rho, _ = minimize(lambda i: k[i], k.diagonal(), np.zeros(n), np.ones(n), np.ones(n), start)
+        coefficients, rho, _ = minimize(Signed(k, one, own), np.zeros(n), one, one, start, shrink=shrink)
     else:  # regression: each sample twice, for errors over and under
-        sign = np.r_[np.ones(n), -np.ones(n)]
-        at = np.r_[np.arange(n), np.arange(n)]
-        row = lambda i: sign[i] * sign * k[at[i]][at]
-        diagonal = k.diagonal()[at]
+        sign = np.r_[one, -one]
+        q = Signed(k, sign, np.r_[own, own])
         if svm_type is SvmType.EPSILON_SVR:
-            a, rho, _ = minimize(row, diagonal, np.r_[p - y, p + y], sign, np.full(2 * n, cost), np.zeros(2 * n))
+            a, rho, _ = minimize(q, np.r_[p - y, p + y], sign, np.full(2 * n, cost), np.zeros(2 * n), shrink=shrink)
         else:
             start, left = np.zeros(n), cost * nu * n / 2
             for i in range(n):
                 start[i] = min(cost, left)
                 left -= start[i]
-            a, rho, _ = minimize(row, diagonal, np.r_[-y, y], sign, np.full(2 * n, cost), np.r_[start, start], by_label=True)
+            a, rho, _ = minimize(q, np.r_[-y, y], sign, np.full(2 * n, cost), np.r_[start, start], by_label=True, shrink=shrink)
         coefficients = a[:n] - a[n:]
     used = np.flatnonzero(coefficients)
     return Svm(scaler, z[used], coefficients[used], rho, kernel, gamma, c0)
