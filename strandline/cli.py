@@ -157,21 +157,24 @@ def predict_genome(spark: SparkSession, model: SequenceModel, path: str, gff: st
     seqs = read_fasta(spark, path).withColumn("chrom", F.split_part("name", F.lit(" "), F.lit(1)))
     names = seqs.select("seq_id", "chrom")
     w = model.windows(seqs, model.scan_motifs())
-    scored = materialize(model.scored(w), "scores")
+    scored = track = materialize(model.scored(w), "scores")
+    slack = s.window_step if s.core_mode is CoreMode.NONE else 0
     if s.core_mode is CoreMode.NONE or not isinstance(model, Hierarchical):
-        found, slack = intervals.predicted_windows(scored, s.threshold), s.window_step
+        found = intervals.predicted_windows(scored, s.threshold)
         placed = found.withColumns({"win_start": F.col("start"), "win_end": F.col("end")})
     else:
         hits = model.positive_occurrences(w)
-        cores = intervals.core_predictions(hits.select("seq_id", "win", "start", "end", "weight"), scored, s.threshold, s.core_mode, s.window_size)
-        placed = cores.join(scored.select("seq_id", "win", "win_start", (F.col("win_start") + F.col("win_len")).alias("win_end")), ["seq_id", "win"])
-        slack = 0
+        cores = intervals.core_predictions(hits.select("seq_id", "win", "start", "end", "weight"), scored, s.threshold, s.core_mode, s.window_size, numbered=True)
+        cores = materialize(intervals.gated_cores(cores, s.threshold), "cores")
+        placed = cores.where("kept").join(scored.select("seq_id", "win", "win_start", (F.col("win_start") + F.col("win_len")).alias("win_end")), ["seq_id", "win"])
+        track = intervals.core_track(scored, cores, sinks.NONE_PREDICTED)
     placed = placed.join(names, "seq_id")
     merged = intervals.merge(intervals.best_of_overlapping(placed) if s.core_max else placed.select("chrom", "start", "end", "score"), slack, spread=True)
     if gff:
         sinks.write_lines(sinks.gff_rows(merged), gff)
     if wig:
-        rows = sinks.wig_rows(scored.join(names, "seq_id"), s.window_step, s.window_step, s.threshold)
+        threshold = s.threshold if track is scored else None  # a core's score is shown whatever it is
+        rows = sinks.wig_rows(track.join(names, "seq_id"), s.window_step, s.window_size, threshold)
         sinks.write_lines(rows, wig, ["chrom", "place"])
     return merged
 

@@ -119,9 +119,10 @@ def _densest(start: np.ndarray, end: np.ndarray, weight: np.ndarray, left: np.nd
     return [best[1:]] if best else []
 
 
-def core_predictions(hits: DataFrame, windows: DataFrame, threshold: float, mode: CoreMode, size: int) -> DataFrame:
-    """seq_id, win, start, end, score of the cores of windows (seq_id, win, win_start, win_len, score) at or over the
-    threshold, from positive occurrences by window (seq_id, win, start, end, weight). One group is one window."""
+def core_predictions(hits: DataFrame, windows: DataFrame, threshold: float, mode: CoreMode, size: int, numbered: bool = False) -> DataFrame:
+    """seq_id, win[, nth], start, end, score of the cores of windows (seq_id, win, win_start, win_len, score) at or over the
+    threshold, from positive occurrences by window (seq_id, win, start, end, weight). One group is one window; nth: a
+    core's place among its window's."""
     ship_package(hits.sparkSession)
     told = hits.groupBy("seq_id", "win").agg(F.collect_list(F.struct("start", "end", "weight")).alias("hits"))
     met = windows.where(F.col("score") >= threshold).join(told, ["seq_id", "win"])
@@ -133,4 +134,18 @@ def core_predictions(hits: DataFrame, windows: DataFrame, threshold: float, mode
         out = [window_cores([(h["start"], h["end"], h["weight"]) for h in hs], int(a), int(a + n), threshold, mode, size) for hs, a, n in zip(found, win_start, win_len)]
         return pd.Series([[{"start": s, "end": e, "score": w} for s, e, w in x] for x in out])
 
-    return met.select("seq_id", "win", F.explode(cores("hits", "win_start", "win_len")).alias("c")).select("seq_id", "win", "c.*")
+    each = met.select("seq_id", "win", F.posexplode(cores("hits", "win_start", "win_len")).alias("nth", "c"))
+    return each.select("seq_id", "win", *(["nth"] if numbered else []), "c.*")
+
+
+def gated_cores(cores: DataFrame, threshold: float) -> DataFrame:
+    """Numbered cores with last (the score of their window's last core) and kept: a genome's prediction takes all cores of
+    a window, those below the threshold too, if its last one is at or over it, and none otherwise."""
+    line = Window.partitionBy("seq_id", "win")  # the cores of one window
+    return cores.withColumn("last", F.max_by("score", "nth").over(line)).withColumn("kept", F.col("last") >= threshold)
+
+
+def core_track(windows: DataFrame, cores: DataFrame, nothing: float) -> DataFrame:
+    """windows with, as score, that of their last gated core; `nothing` for windows without cores."""
+    last = cores.groupBy("seq_id", "win").agg(F.first("last").alias("last"))
+    return windows.drop("score").join(last, ["seq_id", "win"], "left").withColumn("score", F.coalesce("last", F.lit(float(nothing)))).drop("last")

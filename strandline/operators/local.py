@@ -16,6 +16,8 @@ from strandline.session import ship_package
 from strandline.sources.motifs import MotifSet
 
 REACH = 250
+#: Bases of a sequence that one row holds.
+SLICE = 1 << 16
 
 
 def dinucleotide_names() -> list[str]:
@@ -34,11 +36,16 @@ def local_composition(placed: DataFrame, seqs: DataFrame, size: int, step: int)
     + 250, cut at the window's ends. Each adjacent pair of bases counts for itself and its reverse complement, per
     adjacent place of the stretch; other symbols break pairs and count in the length.
 
-    Occurrences of a sequence meet its bases in one row, so bases aren't copied by occurrence."""
+    Occurrences meet the bases of their slice of the sequence in one row: SLICE bases, and what a stretch that begins there
+    can reach beyond. So bases aren't copied by occurrence, and a row doesn't grow with the sequence."""
     ship_package(placed.sparkSession)
     columns = [c for c in placed.columns if c not in ("seq_id", "seq_len")]
-    rows = placed.groupBy("seq_id", "seq_len").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    met = rows.join(seqs.select("seq_id", F.col("seq").cast("binary").alias("seq")), "seq_id").select("seq_id", "seq_len", "seq", "rows")
+    first = F.greatest(F.col("start") + F.expr("(end - start) div 2") - REACH, F.lit(0))
+    sliced = placed.withColumn("_slice", F.floor(first / SLICE))
+    rows = sliced.groupBy("seq_id", "seq_len", "_slice").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 1) / SLICE)))
+    slices = seqs.where(F.length("seq") > 0).select("seq_id", "seq", each.alias("_slice")).select("seq_id", "_slice", F.expr(f"substring(seq, int(_slice * {SLICE}) + 1, {SLICE + 2 * REACH + 1})").cast("binary").alias("seq"))
+    met = rows.join(slices, ["seq_id", "_slice"]).select("seq_id", "seq_len", "seq", "rows", (F.col("_slice") * SLICE).alias("begin"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name in columns)
     out = f"seq_id long, seq_len long, {fields}, gc double, dnt array<double>"
 
@@ -46,12 +53,13 @@ def local_composition(placed: DataFrame, seqs: DataFrame, size: int, step: int)
         from strandline.operators.local import composition
 
         for b in batches:
-            for seq_id, seq_len, seq, rows in zip(*(b.column(i) for i in range(4))):
+            for seq_id, seq_len, seq, rows, begin in zip(*(b.column(i) for i in range(5))):
                 items = rows.values
                 n = len(items)
                 column = {c: items.field(c) for c in columns}
                 start, end, win = (column[c].to_numpy(zero_copy_only=False) for c in ("start", "end", "win"))
-                gc, dnt = composition(np.frombuffer(seq.as_py(), np.uint8), start, end, win * step, np.minimum(win * step + size, seq_len.as_py()))
+                at = begin.as_py()
+                gc, dnt = composition(np.frombuffer(seq.as_py(), np.uint8), start - at, end - at, win * step - at, np.minimum(win * step + size, seq_len.as_py()) - at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq_id.as_py())), pa.array(np.full(n, seq_len.as_py())), *column.values(), pa.array(gc), pa.array(list(dnt), pa.list_(pa.float64()))], names=["seq_id", "seq_len", *columns, "gc", "dnt"])
 
     return met.mapInArrow(work, out)

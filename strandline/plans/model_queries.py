@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from strandline import sinks
 from strandline.config import CoreMode, Kernel, Settings, SvmType, WeightMode
 from strandline.models import logodds, vector
+from strandline.models.binned_forest import train_forest_all_rows
 from strandline.models.forest import Forest, Tree
+from strandline.models.moments import class_moments, train_perceptron_all_rows
 from strandline.models.sequence import FeatureModel, Hierarchical, PairLogOdds, PairSum
 from strandline.models.svm import Scaler, Svm
 from strandline.operators import intervals, metrics, windows
 from strandline.operators.features import Feature, feature_values, instantiate
-from strandline.operators.scan import scan
+from strandline.operators.scan import scan, scan_stretches
 from strandline.plans import sqltext as S
-from strandline.plans.motif_queries import PAIRED, SIZE, STEP, motif_set, placed, sequences
+from strandline.plans.motif_queries import EXACT, PAIRED, SIZE, STEP, motif_set, placed, sequences
 from strandline.session import read_table, scratch_folder
+from strandline.sources.byteranges import read_stretches, records
 from strandline.sources.fasta import Classes, clone_rows, read_fasta, read_flat, total_length, with_class
 from strandline.sources.motifs import MotifSet
 
@@ -277,6 +280,52 @@ _machine("lda_score", "lda", Settings())
 _machine("perceptron_score", "perceptron", Settings(perceptron_rounds=200))
 
 
+@query(
+    "lda_moments",
+    """WITH v AS (SELECT vec_id, label < 5 AS flag, embedding[i + 1]::DOUBLE AS x, i::INT AS i FROM embeddings, range(64) t(i) WHERE i < len(embedding)),
+m AS (SELECT flag, i, avg(x) AS mean, count(*) AS n FROM v GROUP BY ALL)
+SELECT a.flag, a.i, b.i AS j, any_value(ma.n) AS n, round(any_value(ma.mean), 9) + 0.0::DOUBLE AS mean, round(sum((a.x - ma.mean) * (b.x - mb.mean)), 7) + 0.0::DOUBLE AS product
+FROM v a JOIN v b USING (vec_id) JOIN m ma ON ma.flag = a.flag AND ma.i = a.i JOIN m mb ON mb.flag = b.flag AND mb.i = b.i GROUP BY a.flag, a.i, b.i""",
+)
+def lda_moments(spark, sf_dir):
+    """What a discriminant is made from: means and centred products of all features by class."""
+    found = class_moments(vectors(spark, sf_dir))
+    rows = [(flag, i, j, m.n, float(m.mean[i]), float(m.products[i, j])) for flag, m in found.items() for i in range(len(m.mean)) for j in range(len(m.mean))]
+    df = spark.createDataFrame(rows, "flag boolean, i int, j int, n long, mean double, product double")  # as many rows as the features' square
+    return df.withColumn("mean", F.round("mean", 9) + F.lit(0.0)).withColumn("product", F.round("product", 7) + F.lit(0.0))
+
+
+#: A discriminant of two features in closed form: the inverse of a matrix of two rows.
+_PLANE = """WITH v AS (SELECT vec_id, label < 5 AS flag, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+m AS (SELECT flag, avg(x) AS mx, avg(y) AS my FROM v GROUP BY flag),
+c AS (SELECT sum((x - mx) ** 2) / (count(*) - 2) AS xx, sum((y - my) ** 2) / (count(*) - 2) AS yy, sum((x - mx) * (y - my)) / (count(*) - 2) AS xy FROM v JOIN m USING (flag)),
+r AS (SELECT (1 - 1e-4) * xx + 1e-4 * (xx + yy) / 2 AS xx, (1 - 1e-4) * yy + 1e-4 * (xx + yy) / 2 AS yy, (1 - 1e-4) * xy AS xy FROM c),
+w AS (SELECT (yy * (p.mx - n.mx) - xy * (p.my - n.my)) / (xx * yy - xy * xy) AS a, (xx * (p.my - n.my) - xy * (p.mx - n.mx)) / (xx * yy - xy * xy) AS b, (p.mx + n.mx) / 2 AS cx, (p.my + n.my) / 2 AS cy
+  FROM r, (SELECT * FROM m WHERE flag) p, (SELECT * FROM m WHERE NOT flag) n)
+SELECT vec_id, round(a * (x - cx) + b * (y - cy), 6) + 0.0::DOUBLE AS score FROM v, w"""
+
+
+@query("lda_plane_score", _PLANE)
+def lda_plane_score(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
+    return _rounded(vector.decide(rows, vector.fit(rows, "lda", Settings(), "vec_id")).select("vec_id", "score"))
+
+
+@query("forest_all_rows_score")
+def forest_all_rows_score(spark, sf_dir):
+    """A forest grown over partitions, no table gathered: splits of nodes of over 256 rows are counted by Spark."""
+    rows = vectors(spark, sf_dir)
+    forest = train_forest_all_rows(rows, "vec_id", trees=50, seed=1, local_rows=256)
+    return vector.decide(rows, forest).select("vec_id", "flag", "score", F.lit(forest.oob_error).alias("oob_error"))
+
+
+@query("perceptron_mixed_score")
+def perceptron_mixed_score(spark, sf_dir):
+    """A perceptron mixed over partitions, on vectors that one feature separates."""
+    rows = vectors(spark, sf_dir).withColumn("flag", F.col("features")[0] > 0).where(F.abs(F.col("features")[0]) > 0.02)
+    return vector.decide(rows, train_perceptron_all_rows(rows, "vec_id")).select("vec_id", "flag", "score")
+
+
 def _feature_machine(name: str, kind: str, settings: Settings) -> None:
     def run(spark, sf_dir):
         model = FeatureModel(PAIRED, settings, features=(*SCORE_FEATURES, Feature("GC"), Feature("MDP")), kind=kind)
@@ -338,6 +387,44 @@ def core_motifs(spark, sf_dir):
     return _cores(spark, sf_dir, CoreMode.MOTIFS)
 
 
+def _gated(spark, sf_dir, mode: CoreMode) -> tuple[DataFrame, DataFrame]:
+    """Windows, and their cores as a genome's prediction gates them: as _cores, windows from one occurrence on."""
+    w = placed(spark, sf_dir, RARE)
+    w.stored()
+    hits = w.occurrences.select("seq_id", "win", "start", "end", F.lit(1.0).alias("weight"))
+    n = hits.groupBy("seq_id", "win").agg(F.sum("weight").alias("score"))
+    found = w.windows.join(n, ["seq_id", "win"], "left").fillna(0.0, ["score"])
+    return found, intervals.gated_cores(intervals.core_predictions(hits, found, 2.0, mode, SIZE, numbered=True), 2.0)
+
+
+#: Cores of _FLAT by window in order, and the last one's score.
+_GATED = ", gated AS (SELECT *, arg_max(score, start_pos) OVER (PARTITION BY seq_id, win) AS last FROM core)"
+
+
+@query(
+    "genome_core_gff",
+    "WITH core AS (" + ORACLE["core_motifs"] + ")" + _GATED + ", " + _merge_sql("SELECT seq_id, start_pos AS s, end_pos AS e, score FROM gated WHERE last >= 2", 0, "seq_id")
+    + " SELECT seq_id || chr(9) || 'strandline' || chr(9) || 'Prediction' || chr(9) || start_pos || chr(9) || end_pos || chr(9) || score::BIGINT || chr(9) || '.' || chr(9) || '.' || chr(9) || '1' AS line FROM merged",
+)
+def genome_core_gff(spark, sf_dir):
+    """Cores of windows whose last core reaches the threshold, merged where they touch."""
+    _, cores = _gated(spark, sf_dir, CoreMode.MOTIFS)
+    merged = intervals.merge(cores.where("kept").select(F.col("seq_id").alias("chrom"), "start", "end", "score"), 0, spread=True)
+    return sinks.gff_rows(merged)
+
+
+@query(
+    "genome_core_wig",
+    "WITH core AS (" + ORACLE["core_motifs"] + ")" + _GATED + ", shown AS (SELECT seq_id, win, any_value(last) AS last FROM gated GROUP BY ALL), every AS (" + S.located(RARE) + " SELECT seq_id, i FROM win)"
+    + " SELECT every.seq_id AS chrom, i AS place, CASE WHEN last IS NULL THEN '-9999999999' ELSE last::BIGINT::VARCHAR END AS line FROM every LEFT JOIN shown ON shown.seq_id = every.seq_id AND win = i UNION ALL SELECT DISTINCT seq_id, -1, 'fixedStep chrom=' || seq_id || ' start=1 step=100 span=500' FROM every",
+)
+def genome_core_wig(spark, sf_dir):
+    """The track of the same prediction: a window shows its last core."""
+    found, cores = _gated(spark, sf_dir, CoreMode.MOTIFS)
+    track = intervals.core_track(found, cores, sinks.NONE_PREDICTED)
+    return sinks.wig_rows(track.withColumnRenamed("seq_id", "chrom"), STEP, SIZE)
+
+
 @query("core_motifs_strong", _SITES + _STRONG + " SELECT seq_id, i AS win, greatest(lo, 0) AS start_pos, least(hi, we) AS end_pos, total::DOUBLE AS score FROM weighed WHERE total >= 2")
 def core_motifs_strong(spark, sf_dir):
     return _cores(spark, sf_dir, CoreMode.MOTIFS_STRONG)
@@ -436,6 +523,23 @@ def fasta_flat(spark, sf_dir):
     return flat.select(F.col("len").cast("long").alias("len"), F.length(F.replace("seq", F.lit("A"), F.lit(""))).cast("long").alias("others"))
 
 
+@query("fasta_stretches", f"WITH {S.SEQS} SELECT 'doc ' || seq_id AS name, len, md5(seq) AS seq_md5 FROM lens")
+def fasta_stretches(spark, sf_dir):
+    """Records read by ranges of 10,000 bytes and put together again."""
+    parts = read_stretches(spark, _fasta(spark, sf_dir), chunk=10_000)
+    own = F.struct("begin", F.expr("substring(seq, 1, int(owned))").alias("seq"))
+    whole = parts.groupBy("seq_id", "name", "len").agg(F.sort_array(F.collect_list(own)).alias("p"))
+    return whole.select("name", "len", F.md5(F.array_join(F.col("p.seq"), "")).alias("seq_md5"))
+
+
+@query("fasta_stretches_scan", "WITH " + S.occurrences(EXACT) + " SELECT 'doc ' || seq_id AS name, m AS motif_id, r AS reverse, s AS start_pos, e AS end_pos FROM occ")
+def fasta_stretches_scan(spark, sf_dir):
+    """Hits of records read by ranges of 10,000 bytes, those across ranges too."""
+    parts = read_stretches(spark, _fasta(spark, sf_dir), overlap=EXACT.max_len - 1, chunk=10_000)
+    names = records(parts).select("seq_id", "name")
+    return scan_stretches(parts, EXACT).join(names, "seq_id").select("name", "motif_id", "reverse", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
 @query("fasta_classes", f"WITH {S.SEQS} SELECT 'doc ' || seq_id AS name, 2.0::DOUBLE AS class_value, 'win' AS train_mode, 'enhancer' AS class_name, true AS flag FROM lens")
 def fasta_classes(spark, sf_dir):
     classes = Classes()
@@ -444,25 +548,45 @@ def fasta_classes(spark, sf_dir):
     return seqs.join(F.broadcast(classes.to_df(spark)), "class_value").select("name", "class_value", "train_mode", "class_name", "flag")  # a row a class
 
 
-def _file(spark, name: str, text: str) -> str:
+def _file(spark, name: str, lines: DataFrame, head: str = "", foot: str = "") -> str:
+    """A text file of lines (at, line) in order: motif files are small and read whole."""
     path = f"{scratch_folder(spark, name)}/data"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    ends = spark.createDataFrame([(-1, head), (2**62, foot)], "at long, line string").where("line != ''")
+    lines.unionByName(ends).repartitionByRange(1, "at").sortWithinPartitions("at").select("line").write.text(path)
     return path
 
 
-@query("motif_xml_read", "SELECT * FROM (VALUES (0, 'GAF', 'GAGAG', 0), (1, 'G10', 'GAGAGAGAGA', 1), (2, 'Z', 'YGAGYG', 0)) t(motif_id, name, pattern, mismatches)")
+#: A pattern of each supplier: the digits of its key as letters, some the reverse complements of others.
+_SPELLED = "translate(lpad((s_suppkey * 7 % 1000)::VARCHAR, 5, '0'), '0123456789', 'ACGTRYSWKM')"
+
+
+@query(
+    "motif_xml_read",
+    f"WITH p AS (SELECT s_suppkey, {_SPELLED} AS pattern FROM supplier WHERE s_suppkey % 5 != 4), r AS (SELECT *, reverse(translate(pattern, 'ACGTRYSWKM', 'TGCAYRSWMK')) AS rc FROM p),"
+    " k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY least(pattern, rc) ORDER BY s_suppkey) = 1) SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS motif_id, 's' || s_suppkey AS name, pattern, (s_suppkey % 2)::INT AS mismatches FROM k",
+)
 def motif_xml_read(spark, sf_dir):
-    """Children without all three attributes, and a reverse complement of an earlier pattern, are left out."""
+    """A motif of each supplier, written as XML and read. Children without all three attributes, and a reverse complement of
+    an earlier pattern, are left out."""
+    key = F.col("s_suppkey")
+    spelled = F.translate(F.lpad((key * 7 % 1000).cast("string"), 5, "0"), "0123456789", "ACGTRYSWKM")
+    misses = F.when(key % 5 != 4, F.format_string(' misses="%d"', key % 2)).otherwise("")
+    line = F.concat(F.lit('<motif name="s'), key.cast("string"), F.lit('" seq="'), spelled, F.lit('"'), misses, F.lit("/>"))
     out = MotifSet()
-    out.add_xml(spark, _file(spark, "xml", '<motifs><motif name="GAF" seq="GAGAG" misses="0"/><m name="G10" seq="GAGAGAGAGA" misses="1"/><motif name="x" seq="GG"/><motif name="RC" seq="CTCTC" misses="0"/><motif name="Z" seq="YGAGYG" misses="0"/></motifs>'))
+    out.add_xml(spark, _file(spark, "xml", read_table(spark, sf_dir, "supplier").select(key.alias("at"), line.alias("line")), "<motifs>", "</motifs>"))
     return out.to_df(spark).select("motif_id", "name", "pattern", "mismatches")
 
 
-@query("pwm_table_read", "SELECT * FROM (VALUES (0, 'w', 3, 0, 1.0::DOUBLE), (0, 'w', 3, 1, -1.0), (0, 'w', 3, 2, 1.5), (1, 'v', 1, 0, 0.25)) t(motif_id, name, len, place, weight)")
+@query(
+    "pwm_table_read",
+    "SELECT (dense_rank() OVER (ORDER BY s_suppkey) - 1)::INT AS motif_id, 's' || s_suppkey AS name, 2 AS len, c::INT AS place, CASE c WHEN 0 THEN s_acctbal ELSE s_nationkey / 4 END AS weight FROM supplier, range(2) t(c)",
+)
 def pwm_table_read(spark, sf_dir):
-    """The weights of A in two matrices."""
+    """A matrix of each supplier, written as a table and read: the weights of A."""
+    key, first, second = F.col("s_suppkey"), F.col("s_acctbal").cast("string"), (F.col("s_nationkey") / 4).cast("string")
+    row = F.concat(F.lit(">s"), key.cast("string"), F.lit("\nA |\t"), first, F.lit("\t"), second, F.lit("\t\nC |\t0\t1\nG |\t-1\t0.5\nT |\t"), second, F.lit("\t"), first)
     out = MotifSet()
-    out.add_pwm_table(spark, _file(spark, "pwm", ">w\nA |\t1\t-1\t1.5\nC |\t-1\t-1\t-1\t\nG |\t-1\t1\t-1\nT |\t-1\t-1\t-1\n>v\nA |\t0.25\nC |\t0\nG |\t0\nT |\t0\n"))
+    out.add_pwm_table(spark, _file(spark, "pwm", read_table(spark, sf_dir, "supplier").select(key.alias("at"), row.alias("line"))))
     return out.to_df(spark).select("motif_id", "name", "len", F.posexplode(F.element_at("pwm", 1)).alias("place", "weight"))
 
 

@@ -149,17 +149,24 @@ def revcomp(spark, sf_dir):
     return sequences(spark, sf_dir).select("seq_id", F.md5(reverse_complement_column(F.col("seq"))).alias("rc_md5"))
 
 
-@query("kmer_generate", "SELECT i::INT AS motif_id, 'ACGT'[(i % 4) + 1] || 'ACGT'[(i // 4 % 4) + 1] || 'ACGT'[(i // 16 % 4) + 1] || 'ACGT'[(i // 64 % 4) + 1] AS pattern FROM range(256) t(i)")
+_KMERS = "SELECT i::INT AS motif_id, 'ACGT'[(i % 4) + 1] || 'ACGT'[(i // 4 % 4) + 1] || 'ACGT'[(i // 16 % 4) + 1] || 'ACGT'[(i // 64 % 4) + 1] AS pattern FROM range(256) t(i)"
+
+
+@query("kmer_generate", f"WITH {S.SEQS},\n{S.words(4)}, p AS ({_KMERS}), c AS (SELECT k, count(*) AS n FROM km WHERE length(k) = 4 GROUP BY k) SELECT motif_id, pattern, coalesce(n, 0)::BIGINT AS n FROM p LEFT JOIN c ON k = pattern")
 def kmer_generate(spark, sf_dir):
-    return kmers(spark, 4)
+    """All patterns of four bases, with how often the sequences hold them."""
+    counts = scan.kmer_counts(sequences(spark, sf_dir), 4)
+    patterns = kmers(spark, 4)
+    return patterns.join(counts, patterns["pattern"] == counts["kmer"], "left").select("motif_id", "pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query(
     "motif_dedupe_rc",
-    "WITH p AS (SELECT i::INT AS motif_id, 'ACGT'[(i % 4) + 1] || 'ACGT'[(i // 4 % 4) + 1] || 'ACGT'[(i // 16 % 4) + 1] AS pattern FROM range(64) t(i)) SELECT motif_id, pattern FROM p QUALIFY row_number() OVER (PARTITION BY least(pattern, reverse(translate(pattern, 'ACGT', 'TGCA'))) ORDER BY motif_id) = 1",
+    f"WITH {S.SEQS}, p AS (SELECT seq_id AS motif_id, substr(seq, 1, 4) AS pattern FROM lens WHERE len >= 4) SELECT motif_id, pattern FROM p QUALIFY row_number() OVER (PARTITION BY least(pattern, reverse(translate(pattern, 'ACGT', 'TGCA'))) ORDER BY motif_id) = 1",
 )
 def motif_dedupe_rc(spark, sf_dir):
-    return distinct_patterns(kmers(spark, 3))
+    """Of the first four bases of each sequence, those that no earlier sequence has on either strand."""
+    return distinct_patterns(sequences(spark, sf_dir).where("len >= 4").select(F.col("seq_id").alias("motif_id"), F.substring("seq", 1, 4).alias("pattern")))
 
 
 @query("kmer_spectrum", f"WITH {S.SEQS},\n{S.words(4)} SELECT k AS kmer, count(*) AS n FROM km WHERE length(k) = 4 GROUP BY 1")
@@ -257,10 +264,19 @@ _feature("feat_mdda", [Feature("MDDA")], _neighbour_sql("max", S.GAP, f"{S.GAP}
 _feature("feat_gc", [Feature("GC")], "SELECT w.seq_id, w.i AS win, -1 AS a, -1 AS b, 0 AS axis, round(avg((c IN ('G', 'C'))::INT), 6) AS value FROM win w JOIN bases b ON b.seq_id = w.seq_id AND b.pos >= ws AND b.pos < ws + wl GROUP BY w.seq_id, w.i")
 
 
-@query("feature_instantiate", "WITH m AS (SELECT unnest([0, 1, 2]) AS x), n AS (SELECT unnest(['Z', 'CG', 'PAL']) AS name, unnest([0, 1, 2]) AS x) SELECT 'nOcc  ' || name AS feature FROM n UNION ALL SELECT 'nPair(60)  ' || a.name || ', ' || b.name FROM n a JOIN n b ON b.x <= a.x UNION ALL SELECT 'MDP  ' || a.name || ', ' || b.name FROM n a, n b UNION ALL SELECT 'GC'")
+@query(
+    "feature_instantiate",
+    S.located(PAIRED)
+    + ", n AS (SELECT unnest(['Z', 'CG', 'PAL']) AS name, unnest([0, 1, 2]) AS x), v AS (SELECT m AS a, -1 AS b, seq_id, i FROM ow UNION SELECT x.m, y.m, x.seq_id, x.i FROM ow x JOIN ow y ON "
+    + f"{S.SAME_WINDOW} AND y.m <= x.m AND {S.OTHER} WHERE (y.m < x.m OR {S.LATER}) AND {S.GAP} <= 60), c AS (SELECT a, b, count(*) AS n FROM v GROUP BY ALL),"
+    + " f AS (SELECT 'nOcc  ' || name AS feature, x AS a, -1 AS b FROM n UNION ALL SELECT 'nPair(60)  ' || p.name || ', ' || q.name, p.x, q.x FROM n p JOIN n q ON q.x <= p.x) SELECT feature, coalesce(c.n, 0)::BIGINT AS n_windows FROM f LEFT JOIN c ON c.a = f.a AND c.b = f.b",
+)
 def feature_instantiate(spark, sf_dir):
-    instances = instantiate([Feature("nOcc"), Feature("nPair", 60), Feature("MDP"), Feature("GC")], PAIRED)
-    return spark.createDataFrame([(i.name(PAIRED),) for i in instances], "feature string")
+    """The features that come of a specification, with the windows in which they are found."""
+    instances = instantiate([Feature("nOcc"), Feature("nPair", 60)], PAIRED)
+    found = feature_values(placed(spark, sf_dir, PAIRED), instances).where("value != 0").groupBy("feature_id").agg(F.count("*").alias("n"))
+    names = spark.createDataFrame([(i.feature_id, i.name(PAIRED)) for i in instances], "feature_id int, feature string")
+    return names.join(found, "feature_id", "left").select("feature", F.coalesce("n", F.lit(0)).cast("long").alias("n_windows"))
 
 
 def _pair_count_sql(near: str) -> str:
@@ -352,11 +368,15 @@ def markov_generate(spark, sf_dir):
     return background.generate_markov(spark, background.train_markov(sequences(spark, sf_dir), 4), 50, 1000, seed=7)
 
 
-@query("random_motifs")
+RANDOM = MotifSet()
+RANDOM.add_random(12, 5, seed=3)
+
+
+@query("random_motifs", "WITH " + S.occurrences(RANDOM) + ", p AS (SELECT unnest(" + repr([m.motif_id for m in RANDOM]) + ") AS motif_id, unnest(" + repr([m.pattern for m in RANDOM]) + ") AS pattern) SELECT motif_id::INT AS motif_id, pattern, count(m)::BIGINT AS n FROM p LEFT JOIN occ ON m = motif_id GROUP BY ALL")
 def random_motifs(spark, sf_dir):
-    out = MotifSet()
-    out.add_random(20, 8, seed=3)
-    return out.to_df(spark).select("motif_id", "name", "pattern")
+    """Patterns drawn at random, with how often the sequences hold them on both strands."""
+    found = scan.scan(sequences(spark, sf_dir), RANDOM).groupBy("motif_id").agg(F.count("*").alias("n"))
+    return RANDOM.to_df(spark).join(found, "motif_id", "left").select("motif_id", "pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("class_alias_lookup", "SELECT o_orderkey, CASE a WHEN 'N' THEN 0 WHEN '+' THEN 1 WHEN '-' THEN -1 WHEN '++' THEN 2 WHEN '--' THEN -2 ELSE TRY_CAST(a AS DOUBLE) END::DOUBLE AS class_value FROM (SELECT o_orderkey, ['N', '+', '-', '++', '--', '3.5', 'x'][(o_orderkey % 7 + 1)::INT] AS a FROM orders)")

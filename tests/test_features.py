@@ -157,3 +157,11 @@ def test_local_features(spark):
 def test_other_symbols_break_dinucleotides():
     share, profile = local.composition(np.frombuffer(b"ACGTNACGT", np.uint8), np.array([4]), np.array([5]), np.array([0]), np.array([9]))
     assert share[0] == pytest.approx(4 / 9) and profile[0].sum() == pytest.approx(2 * 6 / 8)
+
+
+def test_slices_of_long_sequences_give_the_same(spark, monkeypatch):
+    _, _, w = setup(spark, 5)
+    show = lambda: sorted((r.seq_id, r.win, r.motif_id, r.reverse, r.start, r.gc, tuple(r.dnt)) for r in local.local_composition(w.occurrences, w.seqs, SIZE, STEP).collect())
+    whole = show()
+    monkeypatch.setattr(local, "SLICE", 37)
+    assert show() == whole != []
