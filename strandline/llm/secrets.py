@@ -18,6 +18,7 @@ import lzma
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -74,6 +75,9 @@ class Layer:
 
 #: Bytes of unpacked data that are held at once, and of the end of a piece that the next one repeats.
 PIECE, LAP = 1 << 20, 1 << 14
+_STEP = 1 << 16
+#: Pieces that are looked at before their turn, at most.
+MOST_AHEAD = 8
 #: Of an xz stream's dictionary.
 XZ_MEMORY = 1 << 26
 _B_ASSIGN = re.compile(ASSIGN.pattern.encode())  # of lower-cased bytes
@@ -113,12 +117,52 @@ def _decompressor(head: bytes, raw: bool):
 
 
 def _from(source: Source, at: int) -> Iterator[bytes]:
+    """A source's bytes from a place on; what is needed of a long piece is copied by and by."""
     for piece in source():
-        if at < len(piece):
-            yield piece[at:]
+        for first in range(at, len(piece), _STEP):
+            yield piece[first : first + _STEP]
         at = max(0, at - len(piece))
 
 
+class Ahead:
+    """The pieces of a source in order, of which some may be looked at before their turn."""
+
+    def __init__(self, source: Source):
+        self.source, self.rest, self.seen = source, source(), deque()
+
+    def peek(self, i: int) -> bytes | None:
+        """The piece that comes after i others, None after the last."""
+        while len(self.seen) <= i:
+            piece = next(self.rest, None)
+            if piece is None:
+                return None
+            self.seen.append(piece)
+        return self.seen[i]
+
+    def take(self) -> bytes | None:
+        piece = self.peek(0)
+        if piece is not None:
+            self.seen.popleft()
+        return piece
+
+    def following(self, held: bytes, at: int) -> Source:
+        """A source of held, which ends at the place `at` of the whole, and all after it: from the pieces that are near, so
+        that short data needs no other pass over the whole, and then from the whole made anew."""
+
+        def near() -> Iterator[bytes]:
+            yield held
+            place = at
+            for i in range(MOST_AHEAD):
+                piece = self.peek(i)
+                if piece is None:
+                    return
+                yield piece
+                place += len(piece)
+            yield from _from(self.source, place)
+
+        return near
+
+
 class Unpacked:
     """Source of what the compressed data from place `at` of a source on unpacks to; gzip data may have more members.
     After a call is used up, `used` is the length of the whole members, 0 if not even one is whole."""
@@ -220,7 +264,9 @@ def _settled(source: Source, seen: set[bytes]) -> Source | None:
 def kinds_in(source: Source, seen: set[bytes]) -> set[str]:
     """Kinds of which unpacked data, or any layer inside it, has a match. Pieces are searched with the end of the one
     before; runs of spaces, which may have any length inside a match, count as 64. A layer that is longer than a piece is
-    made anew from its source for each pass, so memory is a few pieces for each level, whatever data unpacks to."""
+    made anew from its source for each pass, so memory is some pieces for each level, whatever data unpacks to. Packed
+    data inside it is read from the pieces of the same pass, so time grows with the layer, not with that times what is
+    packed in it; only what is itself longer than MOST_AHEAD pieces is read again from the layer's start."""
     found: set[str] = set()
     work = [source]
     while work and len(found) < len(KINDS):
@@ -228,11 +274,9 @@ def kinds_in(source: Source, seen: set[bytes]) -> set[str]:
         inner: list[Source] = []
         percent = escapes = False
         carry, near, base, run, packed_to, last_end = b"", b"", 0, None, 0, False
-        pieces = layer()
-        piece = next(pieces, None)
-        while piece is not None:
-            following = next(pieces, None)
-            last_end = following is None
+        pieces = Ahead(layer)
+        while (piece := pieces.take()) is not None:
+            last_end = pieces.peek(0) is None
             buf = carry + piece
             near = _SPACES.sub(b" " * 64, near[-LAP:] + piece)
             found |= _byte_kinds(near, found)
@@ -254,10 +298,12 @@ def kinds_in(source: Source, seen: set[bytes]) -> set[str]:
             while m := PACKED.search(buf, at):
                 at = m.start() + 1
                 packed_to = base + at
-                unpacked = Unpacked(layer, base + m.start())
                 if _fails_at_once(buf[m.start() : m.start() + 512]):
                     continue
+                unpacked = Unpacked(pieces.following(buf[m.start() :], base + len(buf)), 0)
                 settled = _settled(unpacked, seen)
+                if settled is unpacked:  # long: it is made again later, when these pieces have gone
+                    settled = Unpacked(layer, base + m.start())
                 if unpacked.used:
                     at = m.start() + unpacked.used
                     packed_to = base + at
@@ -266,7 +312,6 @@ def kinds_in(source: Source, seen: set[bytes]) -> set[str]:
             packed_to = max(packed_to, base + len(buf) - LAP)
             carry = buf[-LAP:]
             base += len(buf) - len(carry)
-            piece = following
         if percent:
             inner.append(Replaced(layer, _B_PERCENT, b"%", _percent_value))
         if escapes:
@@ -468,8 +513,9 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text; others are not read): doc_id, base counts by kind, base and found spans in
-    code points of the text, end exclusive. Null and empty texts have none; repeated rows and null ids stay. Memory grows
-    with the largest text, not with what it unpacks to."""
+    code points of the text, end exclusive. Null and empty texts have none; repeated rows and null ids stay; malformed UTF-8
+    is read with replacement characters. Memory grows with the largest text, not with what it unpacks to. UTF-16 inside
+    base64, and base32, are not decoded."""
     ship_package(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +527,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             spans = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in f[i]] for f in found], _SPANS) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, *spans], names=["doc_id", "n_assign", "n_access", "n_hex", "base", "found"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")), work, SCHEMA)
 
 
 def joined(spans: Column) -> Column:
@@ -502,7 +548,9 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets found in text replaced by mark, and n_chars, if there, counted anew. All rows and columns stay."""
+    """docs with the secrets found in text replaced by mark, and n_chars, if there, counted anew. All rows and columns stay:
+    null and empty texts as they are, repeated rows, null ids, further columns of any name. Very long texts are read whole,
+    malformed UTF-8 becomes replacement characters, an empty table stays empty."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -513,5 +561,5 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         release_memory()
         return out
 
-    out = docs.withColumn("text", clean("text"))
+    out = docs.withColumn("text", clean(F.make_valid_utf8(F.col("text").cast("string"))))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

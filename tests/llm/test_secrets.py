@@ -6,6 +6,7 @@ import lzma
 import re
 import subprocess
 import sys
+import time
 import urllib.parse
 import zlib
 from pathlib import Path
@@ -194,3 +195,40 @@ def test_query_against_brute_force(spark, sf, tmp_path):
     docs = spark.createDataFrame([(1, SECRET, 9), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secrets.redacted(docs).orderBy("doc_id").collect()] == [(1, "[SECRET]", 8), (2, None, None), (3, "clean", 5)]
     assert secrets.find_secrets(docs.where("false")).count() == 0
+
+
+def members(n, size=1 << 24, at=-1):
+    """Text that unpacks to `size` bytes in which n packed members stand apart; one of them holds a secret."""
+    gap = b"~" * (size // n)
+    layer = b"".join(gap + gzip.compress(SECRET.encode() if i == at else b"member %d" % i, mtime=0) for i in range(n)) + gap
+    return "see " + b64(gzip.compress(layer, mtime=0)) + " here"
+
+
+def test_time_grows_with_the_layer_not_with_its_members():
+    found = secrets.scan(members(400, at=399))[1]
+    assert [s[0] for s in found] == ["assign"]
+    took = {}
+    for n in (100, 400):
+        text = members(n)
+        began = time.process_time()
+        assert secrets.scan(text)[1] == []
+        took[n] = time.process_time() - began
+    assert took[400] < 4 * took[100] + 1 and took[400] < 10
+
+
+def test_members_longer_than_the_pieces_at_hand(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_AHEAD", 1)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    monkeypatch.setattr(secrets, "LAP", 1 << 10)
+    noise = bytes(x * 7919 % 251 ^ x % 13 for x in range(40_000))
+    inner = b"~" * 9000 + gzip.compress(noise + SECRET.encode() + noise, mtime=0) + b"~" * 9000 + gzip.compress(b"x" + SECRET.encode(), mtime=0)
+    assert {s[0] for s in secrets.scan("a " + b64(gzip.compress(inner)) + " b")[1]} == {"assign"}
+
+
+def test_malformed_text_is_replaced(spark):
+    raw = bytearray(b"caf\xe9 " + SECRET.encode() + b" \xff\xc3")
+    docs = spark.createDataFrame([(1, raw, 9), (2, None, 0)], "doc_id long, text binary, n_chars int").selectExpr("doc_id", "cast(text as string) text", "n_chars")
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert found[1].n_assign == 1 and found[1].base[0].start == 5 and found[2].n_assign == 0
+    clean = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert clean[1].text == "caf� [SECRET] ��" and clean[1].n_chars == len(clean[1].text) and clean[2].text is None
