@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import map_arrow, ship_package
+from strandline.session import map_arrow, materialize, ship_package
 
 #: Fixed control strings of common chat templates; those of this one first.
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -156,12 +157,14 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
 
     Turns are ordered by turn (nulls first), then role and text; repeated rows are turns of their own; null roles and
     texts are empty; rows with a null conv_id are one conversation. A conversation is held whole by one task, as its
-    sequence is; conversations with equal turns share all nodes and have a leaf each. An empty table has no blocks."""
+    sequence is; conversations with equal turns share all nodes and have a leaf each. Malformed UTF-8 is read with replacement
+    characters, other columns are not read. An empty table has no blocks. Turns are gathered and digested once and
+    written, as ranging them by path reads them twice."""
     ship_package(rows.sparkSession)
     path = path or tokenizer_path()
     roles = frozenset(loss_roles)
     empty = F.lit("")
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.make_valid_utf8(F.col(c).cast("string")), empty).alias(c) for c in ("role", "text")])
     whole = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,8 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary())], names=["conv_id", "turns", "path"])
 
     turns_ddl = "turns array<struct<turn:bigint,role:string,text:string>>"
-    sorted_ = map_arrow(whole, paths, f"conv_id long, {turns_ddl}, path binary").repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    digested = materialize(map_arrow(whole, paths, f"conv_id long, {turns_ddl}, path binary"), "conversations")
+    sorted_ = digested.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandline.llm.chat import BLOCKS, MAX_LEAVES, Block
@@ -200,7 +204,9 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
 
 def read_back(blocks: DataFrame, path: str | None = None) -> DataFrame:
     """One row per leaf of the blocks: conv_id, formatted, turns (role, text), loss (all text under the loss mask,
-    unescaped), read from tokens, attention intervals and loss ranges alone."""
+    unescaped), read from tokens, attention intervals and loss ranges alone. A leaf reads the nodes whose tokens it attends to,
+    found by their starts. Null conv_ids and repeated leaves stay, blocks without leaves have no rows, very long
+    conversations are read whole, further columns are not read, and no blocks give no rows."""
     ship_package(blocks.sparkSession)
     path = path or tokenizer_path()
 
@@ -213,12 +219,13 @@ def read_back(blocks: DataFrame, path: str | None = None) -> DataFrame:
             rows = []
             for ids, nodes, leaves in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 tokens, known, said = ids.values.to_numpy().tolist(), {}, {}
+                starts = [x["start"] for x in nodes]  # ascending, as nodes stand depth first
                 for leaf in leaves:
                     node = nodes[leaf["node"]]
                     if leaf["node"] not in known:
                         spans = [*node["attends"], node]
                         formatted = decode([t for s in spans for t in tokens[s["start"] : s["end"]]], skip_special_tokens=False)
-                        inside = [i for i, x in enumerate(nodes) if any(s["start"] <= x["start"] and x["end"] <= s["end"] for s in spans)]  # in order of their starts
+                        inside = [i for s in spans for i in range(bisect_left(starts, s["start"]), bisect_left(starts, s["end"]))]
                         for i in inside:
                             if i not in said:
                                 said[i] = unescape(decode(tokens[nodes[i]["loss_start"] : nodes[i]["loss_end"]], skip_special_tokens=False))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandline.llm import chat, queries
 from strandline.session import read_table
@@ -76,3 +77,11 @@ def test_trees(spark, sf):
     copies = [b for b in blocks if sum(10_000 <= (x.conv_id or 0) < 10_300 for x in b.leaves) > 1]
     assert sum(len(b.nodes) for b in copies) < 300  # 300 conversations of up to 5 turns
     assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_malformed_text_is_replaced_and_blocks_read_in_part(spark):
+    raw = [(1, 0, "user", b"caf\xe9 \xff"), (1, 1, "assistant", b"ok \xc3"), (2, 0, "usér", b"plain")]
+    rows = spark.createDataFrame([(c, t, r, bytearray(b)) for c, t, r, b in raw], "conv_id long, turn long, role string, t binary").selectExpr("conv_id", "turn", "role", "cast(t as string) as text")
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(rows).withColumn("extra", F.lit(1))).collect()}
+    assert back[1].turns[0].text.startswith("caf�") and back[1].loss == "ok �"
+    assert back[2].turns[0].role == "usér" and back[2].loss == ""
