@@ -460,7 +460,8 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html; others are not read). A null or empty page
-    has an empty text; null ids, null urls and repeated rows stay; a page is held whole, whatever its length."""
+    has an empty text; null ids, null urls and repeated rows stay; malformed UTF-8 is read with replacement characters; a
+    page is held whole, whatever its length."""
     ship_package(pages.sparkSession)
     weights = fitted()
 
@@ -471,5 +472,5 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(p.as_py(), weights) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.make_valid_utf8(F.col("html").cast("string")).alias("html"))
     return map_arrow(chosen, work, "page_id long, url string, text string, n_chars long")

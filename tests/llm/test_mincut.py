@@ -108,3 +108,10 @@ def test_query_keeps_articles_and_drops_the_rest(spark, sf, tmp_path):
     out = queries.op10_html_mincut(spark, str(tmp_path))
     assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in out.collect()) == sorted(want)
     assert mincut.extract(read_table(spark, sf, "pages").where("false")).count() == 0
+
+
+def test_malformed_pages_are_read(spark):
+    page = b"<html><body><nav><a>caf\xe9</a></nav><article><p>" + b"The council of the town met on Monday to decide about the old bridge over the river. " * 3 + b"\xff</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "u", bytearray(page))], "page_id long, url string, html binary").selectExpr("page_id", "url", "cast(html as string) html")
+    row = mincut.extract(pages).first()
+    assert "council" in row.text and row.n_chars == len(row.text)
