@@ -3,7 +3,8 @@
 1. Targets: sources in code point order, null last, share `share` times all words by repeating weights; a target stops
    at `cap` times its source's words and the excess is shared again by weight (one sorted pass finds the water level).
 2. Quotas: all words of the mix are cut into blocks of `block` words; the blocks go to sources by highest quotients
-   target / (2 k + 1), and a source's blocks go to its shards in the same way, by the shards' words.
+   target / (2 k + 1), and the words of a source's blocks go to its shards in the same way, by the shards' words. So a
+   source is within half a block of its target, and shards of few words lose nothing to blocks that don't fit them.
 3. Selection: a shard's documents stand in the order of a seeded hash. The shard's quota takes whole passes over that
    line and, for the rest, a run of blocks from a seeded block on, round the end; a document's share follows from its
    place on the line, without listing blocks.
@@ -56,13 +57,17 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = (3, 1, 2), share
 def sainte_lague(parties: DataFrame, group: Sequence[str], party: str, weight: str, seats: str, quota: str) -> DataFrame:
     """parties with the column quota: `seats` (one number per group) dealt by the highest quotients weight / (2 k + 1),
     ties to the smaller party. Rounding weight * seats / total is right but for a few seats, at most half the number of
-    parties; only those seats' quotients are listed and ranked."""
+    parties, and a party's part in them is about its share of the weight: only so many of its quotients are listed and
+    ranked, some four a party in all."""
     of_group = Window.partitionBy(*group)
     total = F.sum(weight).over(of_group)
     near = F.when((F.col(weight) > 0) & (F.col(seats) > 0), F.floor(F.col(weight) * F.col(seats) / F.col("_total") + 0.5)).otherwise(F.lit(0))
     base = parties.withColumn("_total", total).withColumn("_near", near.cast("long")).withColumn("_diff", F.col(seats) - F.sum("_near").over(of_group))
-    more = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_diff")), lambda j: F.col(weight) / (2 * (F.col("_near") + j) - 1))
-    fewer = F.transform(F.sequence(F.lit(1).cast("long"), F.least(-F.col("_diff"), F.col("_near"))), lambda j: F.col(weight) / (2 * (F.col("_near") - j) + 1))
+    # with n parties, seats rise from the rounded ones by share * (diff + n) + 1 at most, and fall by no more
+    part = F.when(F.col(weight) > 0, F.floor(F.col(weight) / F.col("_total") * (F.abs("_diff") + F.count("*").over(of_group))) + 2).otherwise(F.lit(0))
+    base = base.withColumn("_most", F.least(F.abs("_diff"), part).cast("long"))
+    more = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_most")), lambda j: F.col(weight) / (2 * (F.col("_near") + j) - 1))
+    fewer = F.transform(F.sequence(F.lit(1).cast("long"), F.least("_most", "_near")), lambda j: F.col(weight) / (2 * (F.col("_near") - j) + 1))
     listed = F.when((F.col("_diff") > 0) & (F.col(weight) > 0), more).when((F.col("_diff") < 0) & (F.col("_near") > 0), fewer)
     rows = base.withColumn("_quotient", F.explode_outer(listed))
     up = Window.partitionBy(*group).orderBy(F.desc_nulls_last("_quotient"), party)
@@ -89,14 +94,15 @@ def cell_quotas(sized: DataFrame, weights: Sequence[int], share: float, cap: flo
     source_key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     targets = targets.withColumn("one", F.lit(1)).withColumn("blocks", F.round(F.col("total") / block).cast("long"))
     targets = sainte_lague(targets.withColumn("source_key", source_key), ["one"], "source_key", "target", "blocks", "source_blocks").drop("one", "source")
-    cells = sainte_lague(cells.drop("source").join(targets, "source_key"), ["source_key"], "shard", "cell_size", "source_blocks", "cell_blocks")
-    words = F.least(F.col("cell_blocks") * block, F.floor(F.col("cell_size") * cap))
+    targets = targets.withColumn("source_words", F.least(F.col("source_blocks") * block, F.floor(F.col("source_size") * cap)).cast("long"))
+    cells = sainte_lague(cells.drop("source").join(targets, "source_key"), ["source_key"], "shard", "cell_size", "source_words", "cell_words")
+    words = F.least(F.col("cell_words"), F.floor(F.col("cell_size") * cap))
     cells = cells.withColumn("words", words.cast("long"))
     cells = cells.withColumn("passes", F.when(F.col("cell_size") > 0, F.floor(F.col("words") / F.col("cell_size"))).otherwise(F.lit(0)).cast("long"))
     cells = cells.withColumn("rest", F.col("words") - F.col("passes") * F.col("cell_size"))
     seeded = _number(F.concat(F.lit(f"{seed}|"), "source_key", F.lit("|"), F.col("shard").cast("string")))
     cells = cells.withColumn("run_from", block * (seeded % F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block))))
-    return cells.drop("total", "blocks", "source_blocks", "cell_blocks", "words")
+    return cells.drop("total", "blocks", "source_blocks", "source_words", "cell_words", "words")
 
 
 def _place(sized: DataFrame, cells: DataFrame) -> DataFrame:
@@ -174,12 +180,12 @@ targets AS (
 q1 AS (SELECT source_key, target / (2 * k - 1) AS quotient, blocks FROM (SELECT *, unnest(range(1, (target / {BLOCK_WORDS})::BIGINT + 20)) AS k FROM targets) WHERE target > 0),
 q2 AS (SELECT source_key FROM q1 QUALIFY row_number() OVER (ORDER BY quotient DESC, encode(source_key)) <= blocks),
 seats AS (SELECT source_key, count(*) AS source_blocks FROM q2 GROUP BY 1),
-c1 AS (SELECT source_key, shard, cell_size, source_size, target, coalesce(source_blocks, 0) AS source_blocks FROM cells JOIN targets USING (source_key) LEFT JOIN seats USING (source_key)),
-p1 AS (SELECT source_key, shard, cell_size / (2 * k - 1) AS quotient, source_blocks FROM (SELECT *, unnest(range(1, ceil(cell_size * source_blocks / source_size)::BIGINT + 200)) AS k FROM c1 WHERE cell_size > 0)),
-p2 AS (SELECT source_key, shard FROM p1 QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY quotient DESC, shard) <= source_blocks),
-quota AS (SELECT source_key, shard, count(*) AS cell_blocks FROM p2 GROUP BY ALL),
+c1 AS (SELECT source_key, shard, cell_size, source_size, target, least(coalesce(source_blocks, 0) * {BLOCK_WORDS}, 2 * source_size) AS source_words FROM cells JOIN targets USING (source_key) LEFT JOIN seats USING (source_key)),
+p1 AS (SELECT source_key, shard, cell_size / (2 * k - 1) AS quotient, source_words FROM (SELECT *, unnest(range(1, ceil(cell_size * source_words / source_size)::BIGINT + 200)) AS k FROM c1 WHERE cell_size > 0)),
+p2 AS (SELECT source_key, shard FROM p1 QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY quotient DESC, shard) <= source_words),
+quota AS (SELECT source_key, shard, count(*) AS cell_words FROM p2 GROUP BY ALL),
 c2 AS (
-  SELECT c1.*, least(coalesce(cell_blocks, 0) * {BLOCK_WORDS}, 2 * cell_size) AS words,
+  SELECT c1.*, least(coalesce(cell_words, 0), 2 * cell_size) AS words,
     {BLOCK_WORDS} * (('0x' || md5('{SEED}|' || source_key || '|' || shard::VARCHAR)[1:6])::BIGINT % greatest(1, ceil(cell_size / {BLOCK_WORDS})::BIGINT)) AS run_from
   FROM c1 LEFT JOIN quota USING (source_key, shard)),
 c3 AS (SELECT *, CASE WHEN cell_size > 0 THEN words // cell_size ELSE 0 END AS passes, CASE WHEN cell_size > 0 THEN words % cell_size ELSE 0 END AS rest FROM c2),

@@ -63,3 +63,27 @@ def test_mix_runs_no_python_and_takes_an_empty_table(spark, sf):
     plan = mixing.mix(read_table(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_quotas_of_many_parties(spark):
+    rng = __import__("random").Random(8)
+    weights = {f"{i:03}": float(rng.choice([0, 1, 2, 3, 50, 1000])) for i in range(400)}
+    for seats in (3, 150, 1777):
+        df = spark.createDataFrame([(1, k, v, seats) for k, v in weights.items()], "g int, p string, w double, n long")
+        got = {r.p: r.q for r in mixing.sainte_lague(df, ["g"], "p", "w", "n", "q").collect()}
+        best = sorted(((-v / (2 * k + 1), p) for p, v in weights.items() if v for k in range(seats)))[:seats]
+        want = Counter(p for _, p in best)
+        assert got == {p: want[p] for p in weights}, seats
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_short_documents_meet_their_targets(spark, longest):
+    rows = [(i, " ".join(["w"] * (1 + i % longest)), f"s{i % 3 % 2}") for i in range(1800)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 0.01 * t, (s, taken[s], t)
