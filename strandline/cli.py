@@ -18,6 +18,7 @@ from strandline.operators import intervals, metrics, scan, windows
 from strandline.operators.features import Feature, Windows
 from strandline.session import materialize
 from strandline.sources import background
+from strandline.sources.byteranges import read_stretches, records
 from strandline.sources.fasta import Classes, read_fasta
 from strandline.sources.motifs import MotifSet
 
@@ -152,11 +153,12 @@ def model_of(a: argparse.Namespace, motifs: MotifSet, settings: Settings, positi
 
 
 def predict_genome(spark: SparkSession, model: SequenceModel, path: str, gff: str | None, wig: str | None) -> DataFrame:
-    """Merged predictions of a genome; a chromosome's name is its header up to the first space."""
+    """Merged predictions of a genome; a chromosome's name is its header up to the first space. Chromosomes are read in
+    stretches, so they may be longer than a row."""
     s = model.settings
-    seqs = read_fasta(spark, path).withColumn("chrom", F.split_part("name", F.lit(" "), F.lit(1)))
-    names = seqs.select("seq_id", "chrom")
-    w = model.windows(seqs, model.scan_motifs())
+    stretches = read_stretches(spark, path, overlap=model.reach())
+    names = materialize(records(stretches).select("seq_id", F.split_part("name", F.lit(" "), F.lit(1)).alias("chrom")), "chromosomes")
+    w = model.windows_of_stretches(stretches, model.scan_motifs())
     scored = track = materialize(model.scored(w), "scores")
     slack = s.window_step if s.core_mode is CoreMode.NONE else 0
     if s.core_mode is CoreMode.NONE or not isinstance(model, Hierarchical):

@@ -83,6 +83,16 @@ class SequenceModel:
         seqs = with_len(seqs)
         return Windows(seqs, scan(seqs, motifs or self.motifs, s.automaton), s.window_size, s.window_step, self.motifs.max_len)
 
+    def windows_of_stretches(self, stretches: DataFrame, motifs: MotifSet | None = None) -> Windows:
+        """windows() of sequences that come in stretches with an overlap of reach() or more: no task holds a sequence."""
+        s = self.settings
+        lengths = materialize(stretches.where("begin = 0").select("seq_id", "len"), "lengths")
+        return Windows(stretches, scan(stretches, motifs or self.motifs, s.automaton), s.window_size, s.window_step, self.motifs.max_len, known={"lengths": lengths})
+
+    def reach(self) -> int:
+        """Bases beyond a place that scoring may look at."""
+        return max(self.motifs.max_len, self.settings.window_size, 2 * local.REACH + 1)
+
     def whole(self, pieces: DataFrame, motifs: MotifSet | None = None) -> Windows:
         """Pieces as one window each, whatever their length."""
         longest = pieces.agg(F.max("len")).first()[0] or 1

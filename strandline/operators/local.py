@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.config import LOCAL_FEATURES
 from strandline.functions.iupac import BASES, reverse_complement
 from strandline.operators import pairs as P
+from strandline.operators.windows import as_stretches
 from strandline.session import ship_package
 from strandline.sources.motifs import MotifSet
 
@@ -36,16 +37,19 @@ def local_composition(placed: DataFrame, seqs: DataFrame, size: int, step: int)
     + 250, cut at the window's ends. Each adjacent pair of bases counts for itself and its reverse complement, per
     adjacent place of the stretch; other symbols break pairs and count in the length.
 
-    Occurrences meet the bases of their slice of the sequence in one row: SLICE bases, and what a stretch that begins there
-    can reach beyond. So bases aren't copied by occurrence, and a row doesn't grow with the sequence."""
+    Occurrences meet the bases of their slice of the sequence in one row: those of SLICE bases, and what a stretch that
+    begins there can reach beyond. So bases aren't copied by occurrence, and a row doesn't grow with the sequence. Sequences
+    may come in stretches with an overlap of 2 * REACH + 1 bases or more."""
     ship_package(placed.sparkSession)
     columns = [c for c in placed.columns if c not in ("seq_id", "seq_len")]
     first = F.greatest(F.col("start") + F.expr("(end - start) div 2") - REACH, F.lit(0))
     sliced = placed.withColumn("_slice", F.floor(first / SLICE))
     rows = sliced.groupBy("seq_id", "seq_len", "_slice").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 1) / SLICE)))
-    slices = seqs.where(F.length("seq") > 0).select("seq_id", "seq", each.alias("_slice")).select("seq_id", "_slice", F.expr(f"substring(seq, int(_slice * {SLICE}) + 1, {SLICE + 2 * REACH + 1})").cast("binary").alias("seq"))
-    met = rows.join(slices, ["seq_id", "_slice"]).select("seq_id", "seq_len", "seq", "rows", (F.col("_slice") * SLICE).alias("begin"))
+    each = F.explode(F.sequence(F.expr(f"begin div {SLICE}"), F.expr(f"(begin + owned - 1) div {SLICE}")))
+    parts = as_stretches(seqs).where("owned > 0").select("seq_id", "begin", "seq", each.alias("_slice")).withColumn("from", F.greatest(F.col("_slice") * SLICE, "begin"))
+    bases = F.expr(f"substring(seq, int(from - begin) + 1, int((_slice + 1) * {SLICE} - from) + {2 * REACH + 1})")
+    slices = parts.select("seq_id", "_slice", F.struct("from", bases.alias("seq")).alias("part")).groupBy("seq_id", "_slice").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    met = rows.join(slices, ["seq_id", "_slice"]).select("seq_id", "seq_len", "parts", "rows")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name in columns)
     out = f"seq_id long, seq_len long, {fields}, gc double, dnt array<double>"
 
@@ -53,13 +57,19 @@ def local_composition(placed: DataFrame, seqs: DataFrame, size: int, step: int)
         from strandline.operators.local import composition
 
         for b in batches:
-            for seq_id, seq_len, seq, rows, begin in zip(*(b.column(i) for i in range(5))):
-                items = rows.values
+            for seq_id, seq_len, parts, rows in zip(*(b.column(i) for i in range(4))):
+                items, parts = rows.values, parts.as_py()
                 n = len(items)
                 column = {c: items.field(c) for c in columns}
                 start, end, win = (column[c].to_numpy(zero_copy_only=False) for c in ("start", "end", "win"))
-                at = begin.as_py()
-                gc, dnt = composition(np.frombuffer(seq.as_py(), np.uint8), start - at, end - at, win * step - at, np.minimum(win * step + size, seq_len.as_py()) - at)
+                begins = np.array([p["from"] for p in parts])
+                part = np.searchsorted(begins, np.maximum(start + (end - start) // 2 - REACH, 0), side="right") - 1
+                gc, dnt = np.zeros(n), np.zeros((n, 16))
+                for i, p in enumerate(parts):
+                    own, at = part == i, p["from"]
+                    if own.any():
+                        low, high = win[own] * step, np.minimum(win[own] * step + size, seq_len.as_py())
+                        gc[own], dnt[own] = composition(np.frombuffer(p["seq"], np.uint8), start[own] - at, end[own] - at, low - at, high - at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seq_id.as_py())), pa.array(np.full(n, seq_len.as_py())), *column.values(), pa.array(gc), pa.array(list(dnt), pa.list_(pa.float64()))], names=["seq_id", "seq_len", *columns, "gc", "dnt"])
 
     return met.mapInArrow(work, out)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.iupac import BASES, CODES, pattern_regex, reverse_complement
+from strandline.operators.windows import as_stretches
 from strandline.session import ship_package
 from strandline.sources.motifs import Motif, MotifSet
 
@@ -214,16 +215,13 @@ def _occurrences(source: DataFrame, motifs: MotifSet, automaton: bool) -> DataFr
 def scan(seqs: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame:
     """All occurrences (OCCURRENCES) of all motifs in seqs (seq_id, seq); ends are exclusive, positions forward, the score
     of a pattern is 1. A palindrome has one row a strand. Null and empty sequences have none."""
-    seq = F.col("seq").cast("binary")
-    length = F.coalesce(F.octet_length(seq), F.lit(0)).cast("long")
-    return _occurrences(seqs.select(F.col("seq_id").cast("long").alias("seq_id"), length.alias("seq_len"), F.lit(0).cast("long").alias("begin"), length.alias("owned"), seq.alias("seq")), motifs, automaton)
+    return _occurrences(as_stretches(seqs), motifs, automaton)
 
 
 def scan_stretches(stretches: DataFrame, motifs: MotifSet, automaton: bool = True) -> DataFrame:
     """scan() of sequences that come in stretches (seq_id, len, begin, owned, seq), as read_stretches gives them with an
     overlap of max_len - 1 bases or more: no task holds a whole sequence."""
-    columns = [F.col("seq_id").cast("long").alias("seq_id"), F.col("len").cast("long").alias("seq_len"), F.col("begin").cast("long").alias("begin"), F.col("owned").cast("long").alias("owned"), F.col("seq").cast("binary").alias("seq")]
-    return _occurrences(stretches.select(*columns), motifs, automaton)
+    return _occurrences(as_stretches(stretches), motifs, automaton)
 
 
 def scan_regex(seqs: DataFrame, motifs: MotifSet) -> DataFrame:

@@ -39,28 +39,40 @@ def sliding(seqs: DataFrame, size: int, step: int, length: str = "len", keep: tu
     return each.select(*keep, "win", window_start(F.col("win"), step).alias("win_start"), window_length(F.col("win"), F.col("_len"), size, step).alias("win_len"))
 
 
+def as_stretches(seqs: DataFrame) -> DataFrame:
+    """seq_id, seq_len, begin, owned, seq (binary) of sequences (seq_id, seq), each one stretch, or of stretches (with len,
+    begin and owned), as they are."""
+    seq = F.col("seq").cast("binary")
+    length = F.coalesce(F.octet_length(seq), F.lit(0)).cast("long")
+    parts = (F.col("len"), F.col("begin"), F.col("owned")) if "begin" in seqs.columns else (length, F.lit(0), length)
+    return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), *[c.cast("long").alias(n) for c, n in zip(parts, ("seq_len", "begin", "owned"))], seq.alias("seq"))
+
+
 def window_gc(seqs: DataFrame, size: int, step: int) -> DataFrame:
     """seq_id, win, gc of each window of seqs (seq_id, seq): the share of G and C, other symbols in the length. One pass
-    with running counts, so a sequence is not copied by window."""
+    with running counts, so a sequence is not copied by window. Sequences may come in stretches with an overlap of a
+    window's size or more; a window belongs to the stretch that owns its start."""
     if not 0 < step < size:
         raise ValueError("a window's step must be over 0 and below its size")
     ship_package(seqs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for seq_id, seq in zip(ids, batch.column(1)):
-                text = np.frombuffer(seq.as_py() or b"", np.uint8)
-                n, k = len(text), size - step
+            ids, lengths, begins, owned = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for seq_id, n, begin, own, seq in zip(ids, lengths, begins, owned, batch.column(4)):
+                text, k = np.frombuffer(seq.as_py() or b"", np.uint8), size - step
                 count = 0 if not n or n == k else 1 if n < k else -(-(n - k) // step)
-                if not count:
+                win = np.arange(-(-begin // step), min(count, -(-(begin + own) // step)), dtype=np.int64)
+                if not len(win):
                     continue
                 sums = np.r_[0, np.cumsum((text == ord("G")) | (text == ord("C")), dtype=np.int64)]
-                start = np.arange(count, dtype=np.int64) * step
-                end = np.minimum(start + size, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, seq_id, np.int64)), pa.array(start // step), pa.array((sums[end] - sums[start]) / (end - start))], names=["seq_id", "win", "gc"])
+                start = win * step - begin
+                end = np.minimum(start + size, n - begin)
+                if end.max() > len(text):
+                    raise ValueError("stretches overlap by less than a window")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(win), seq_id, np.int64)), pa.array(win), pa.array((sums[end] - sums[start]) / (end - start))], names=["seq_id", "win", "gc"])
 
-    return seqs.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("seq").cast("binary").alias("seq")).mapInArrow(work, "seq_id long, win long, gc double")
+    return as_stretches(seqs).mapInArrow(work, "seq_id long, win long, gc double")
 
 
 def window_range(start: Column, end: Column, length: Column, size: int, step: int) -> tuple[Column, Column]:

@@ -1,7 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.config import Settings, SvmType
+from strandline.models.sequence import FeatureModel, Hierarchical
+from strandline.operators.features import Feature
 from strandline.operators.scan import scan, scan_stretches
+from strandline.operators.windows import window_gc
 from strandline.plans.motif_queries import motif_set
 from strandline.sources.byteranges import build_index, read_stretches, records
 from strandline.sources.fasta import read_fasta
@@ -76,3 +82,29 @@ def test_compressed_files_and_endless_headers_are_refused(spark, tmp_path):
     (tmp_path / "h.fa").write_text(">" + "x" * 200_000 + "\nACGT")
     with pytest.raises(Exception, match="header is longer"):
         build_index(spark, str(tmp_path / "h.fa"))
+
+
+@pytest.mark.parametrize("kind", ["sum", "svm", "forest"])
+def test_models_score_stretches_as_whole_sequences(spark, tmp_path, kind):
+    rng = random.Random(3)
+    text = "".join(f">c{i}\n" + "".join(rng.choice("ACGTGAGAG") for _ in range(n)) + "\n" for i, n in enumerate([2600, 90, 1301]))
+    (tmp_path / "g.fa").write_text(text)
+    seqs = read_fasta(spark, str(tmp_path / "g.fa"))
+    settings = Settings(window_size=200, window_step=50, train_step=100, svm_type=SvmType.C_SVC, trees=5)
+    if kind == "sum":
+        model = FeatureModel(MOTIFS, settings, features=(Feature("nOcc"), Feature("GC")))
+    else:
+        train = seqs.withColumn("class_value", F.when(F.col("name") == "c0", 1.0).otherwise(-1.0)).withColumn("train_mode", F.lit("win"))
+        model = Hierarchical(MOTIFS, settings, kind=kind).fit(train)
+    whole = model.score_windows(seqs).join(seqs.select("seq_id", "name"), "seq_id")
+    stretches = read_stretches(spark, str(tmp_path / "g.fa"), overlap=model.reach(), chunk=137)
+    w = model.windows_of_stretches(stretches, model.scan_motifs())
+    cut = model.scored(w).join(records(stretches).select("seq_id", "name"), "seq_id")
+    show = lambda df: sorted((r.name, r.win, r.win_start, r.win_len, round(r.score, 9)) for r in df.collect())
+    assert show(cut) == show(whole) and len(show(cut)) > 60
+
+
+def test_gc_needs_windows_to_be_whole(spark, tmp_path):
+    (tmp_path / "g.fa").write_text(">x\n" + "ACGT" * 200)
+    with pytest.raises(Exception, match="overlap by less"):
+        window_gc(read_stretches(spark, str(tmp_path / "g.fa"), overlap=10, chunk=100), 200, 50).collect()
