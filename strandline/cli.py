@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-homo", action="store_true")
     p.add_argument("--no-hetero", action="store_true")
     p.add_argument("--feature", nargs="+", metavar="TYPE", help="TYPE [DISTANCE [PERIOD [PHASE]]]", **many)
+    p.add_argument("--both-cosines", action="store_true", help="nPair2D without its sine, as older models have it")
     p.add_argument("--model", choices=MODELS, default="hierarchical-svm")
     p.add_argument("--weights", choices=[m.value for m in WeightMode], default="predictor")
     p.add_argument("--beta", type=float, default=1e-8)
@@ -141,7 +142,7 @@ def sequences_of(spark: SparkSession, a: argparse.Namespace, role: str, classes:
 
 
 def model_of(a: argparse.Namespace, motifs: MotifSet, settings: Settings, positives: frozenset[float]) -> SequenceModel:
-    features = tuple(Feature(f[0], *map(float, f[1:])) for f in a.feature) or (Feature("nOcc"),)
+    features = tuple(Feature(f[0], *map(float, f[1:]), cosines=a.both_cosines) for f in a.feature) or (Feature("nOcc"),)
     base = {"motifs": motifs, "settings": settings, "positives": positives}
     if a.model == "pair-sum":
         return PairSum(**base)

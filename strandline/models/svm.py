@@ -255,9 +255,14 @@ class Svm:
 
 def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, kernel: Kernel = Kernel.LINEAR, cost: float = 1.0, nu: float = 0.5, p: float = 0.995, c0: float = 0.0, gamma: float | None = None, shrink: bool = True) -> Svm:
     """x: samples by features; y: 1 or -1. gamma is 1 / features unless stated. One-class machines see positives alone."""
+    return solved(x, y, svm_type, kernel, cost, nu, p, c0, gamma, shrink)[0]
+
+
+def solved(x: np.ndarray, y: np.ndarray, svm_type: SvmType, kernel: Kernel, cost: float, nu: float, p: float, c0: float, gamma: float | None, shrink: bool = True, scaler: Scaler | None = None) -> tuple[Svm, np.ndarray]:
+    """train_svm()'s machine and the places of its support vectors; features are scaled as given, or by their ranges."""
     x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
     gamma = 1.0 / x.shape[1] if gamma is None else gamma
-    scaler = Scaler.fit(x)
+    scaler = scaler or Scaler.fit(x)
     if svm_type is SvmType.ONE_CLASS:
         x, y = x[y > 0], y[y > 0]
     z, n = scaler(x), len(x)
@@ -294,7 +299,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, svm_type: SvmType = SvmType.C_SVC, k
             a, rho, _ = minimize(q, np.r_[-y, y], sign, np.full(2 * n, cost), np.r_[start, start], by_label=True, shrink=shrink)
         coefficients = a[:n] - a[n:]
     used = np.flatnonzero(coefficients)
-    return Svm(scaler, z[used], coefficients[used], rho, kernel, gamma, c0)
+    return Svm(scaler, z[used], coefficients[used], rho, kernel, gamma, c0), used
 
 
 @dataclass(frozen=True)

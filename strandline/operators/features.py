@@ -21,7 +21,8 @@ KINDS = {"nOcc": 1, "GC": 0, "nPair": "reflexive", "nOccPair": 2, "nPair2D": "re
 @dataclass(frozen=True)
 class Feature:
     """type and parameters: distance (nPair, nOccPair, nPair2D, nPairDH, PEDI), period (nPair2D, PEDI), phase (PEDI);
-    motifs that are None mean all."""
+    motifs that are None mean all. cosines: both instances of nPair2D are cosines, as in models whose second axis never
+    was a sine; their names stay."""
 
     type: str
     distance: float = 0
@@ -29,6 +30,7 @@ class Feature:
     phase: float = 0
     a: int | None = None
     b: int | None = None
+    cosines: bool = False
 
 
 @dataclass(frozen=True)
@@ -163,7 +165,8 @@ def _n_pair_2d(w: Windows, instances: list[Instance]) -> DataFrame:
     signed, reverse = _oriented(near)
     same = F.col("fa") == F.col("fb")
     phase = F.when(same, P.pair_centers()).otherwise(F.when(reverse, -signed).otherwise(signed)) / F.lit(float(f.period)) * F.lit(PI) * F.lit(2.0)
-    return _sum(near, F.when(F.col("axis") == 1, F.sin(phase)).otherwise(F.cos(phase)))
+    sine = F.lit(False) if f.cosines else F.col("axis") == 1
+    return _sum(near, F.when(sine, F.sin(phase)).otherwise(F.cos(phase)))
 
 
 def _n_pair_dh(w: Windows, instances: list[Instance]) -> DataFrame:

@@ -19,8 +19,8 @@ from strandline.operators.features import Feature, feature_values, instantiate
 from strandline.operators.scan import scan, scan_stretches
 from strandline.plans import sqltext as S
 from strandline.plans.motif_queries import EXACT, PAIRED, SIZE, STEP, motif_set, placed, sequences
-from strandline.session import read_table, scratch_folder
-from strandline.sources.byteranges import read_stretches, records
+from strandline.session import materialize, read_table, scratch_folder
+from strandline.sources.byteranges import flat_stretches, read_stretches, records
 from strandline.sources.fasta import Classes, clone_rows, read_fasta, read_flat, total_length, with_class
 from strandline.sources.motifs import MotifSet
 
@@ -498,12 +498,13 @@ def forest_apply(spark, sf_dir):
 # ---- files ----
 
 
-def _fasta(spark, sf_dir) -> str:
-    """A file of the sequences, their bases over lines of 65, under names of two words."""
+def _fasta(spark, sf_dir, ordered: bool = False) -> str:
+    """A file of the sequences, their bases over lines of 65, under names of two words; in the order of their ids, if asked."""
     path = f"{scratch_folder(spark, 'fasta')}/sequences.fa"
     lines = F.regexp_replace("seq", "(.{65})", "$1\n")
-    rows = sequences(spark, sf_dir).select(F.concat(F.lit(">doc "), F.col("seq_id").cast("string"), F.lit("\n"), lines).alias("value"))
-    rows.write.text(path)
+    rows = sequences(spark, sf_dir)
+    rows = rows.repartitionByRange("seq_id").sortWithinPartitions("seq_id") if ordered else rows
+    rows.select(F.concat(F.lit(">doc "), F.col("seq_id").cast("string"), F.lit("\n"), lines).alias("value")).write.text(path)
     return path
 
 
@@ -540,6 +541,19 @@ def fasta_stretches_scan(spark, sf_dir):
     return scan_stretches(parts, EXACT).join(names, "seq_id").select("name", "motif_id", "reverse", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
+@query(
+    "fasta_flat_scan",
+    f"WITH {S.SEQS}, flat AS (SELECT string_agg(seq, '' ORDER BY seq_id) AS s FROM lens), cut AS (SELECT s, unnest(range(0, length(s), 20000)) AS start_pos FROM flat)"
+    " SELECT start_pos, length(s)::BIGINT AS len, md5(substr(s, start_pos + 1, 20000)) AS seq_md5, (len(string_split(substr(s, start_pos + 1, 20003), 'GATC')) - 1)::BIGINT AS hits FROM cut",
+)
+def fasta_flat_scan(spark, sf_dir):
+    """All records as one sequence, in stretches of 20,000 bases, with a motif's hits, those across borders too."""
+    motif = motif_set(("PAL", "GATC", 0))
+    parts = materialize(flat_stretches(spark, _fasta(spark, sf_dir, ordered=True), motif.max_len - 1, 20_000), "flat")
+    hits = scan_stretches(parts, motif).where("NOT reverse").groupBy(F.expr("start div 20000 * 20000").alias("begin")).agg(F.count("*").alias("n"))
+    return parts.join(hits, "begin", "left").select(F.col("begin").alias("start_pos"), "len", F.md5(F.expr("substring(seq, 1, int(owned))")).alias("seq_md5"), F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
+
+
 @query("fasta_classes", f"WITH {S.SEQS} SELECT 'doc ' || seq_id AS name, 2.0::DOUBLE AS class_value, 'win' AS train_mode, 'enhancer' AS class_name, true AS flag FROM lens")
 def fasta_classes(spark, sf_dir):
     classes = Classes()

@@ -242,6 +242,7 @@ _feature("feat_npair", [Feature("nPair", 60)], _pair_sql("1", f"{S.GAP} <= 60"))
 _feature("feat_noccpair_semi", [Feature("nOccPair", 60)], f"SELECT x.seq_id, x.i AS win, x.m AS a, t.m AS b, 0 AS axis, round(count(*) / max(x.wl), 6) AS value FROM ow x CROSS JOIN (SELECT unnest([0, 1, 2]) AS m) t WHERE EXISTS (SELECT 1 FROM ow y WHERE {S.SAME_WINDOW} AND y.m = t.m AND {S.OTHER} AND {S.CENTERS} <= 60) GROUP BY x.seq_id, x.i, x.m, t.m")
 _PHASE = f"(CASE WHEN x.m = y.m THEN {S.CENTERS} WHEN x.r THEN -{S.SIGNED} ELSE {S.SIGNED} END / 10.0 {_TURN})"
 _feature("feat_npair2d", [Feature("nPair2D", 60, 10)], _pair_sql(f"cos({_PHASE})", f"{S.CENTERS} <= 60") + " UNION ALL " + _pair_sql(f"sin({_PHASE})", f"{S.CENTERS} <= 60", "1"))
+_feature("feat_npair2d_cosines", [Feature("nPair2D", 60, 10, cosines=True)], _pair_sql(f"cos({_PHASE})", f"{S.CENTERS} <= 60") + " UNION ALL " + _pair_sql(f"cos({_PHASE})", f"{S.CENTERS} <= 60", "1"))
 _feature("feat_npairdh", [Feature("nPairDH", 60)], _pair_sql(f"(cos(({S.CENTERS} + CASE WHEN x.r != y.r THEN 5.25 ELSE 0 END) / 10.5 {_TURN}) + 1.0) / 2.0", f"{S.CENTERS} <= 60"))
 _feature(
     "feat_pedi",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.config import Kernel, Settings, SvmType
 from strandline.models import store, validation, vector
 from strandline.models.binned_forest import permutation_importance, quantile_bins, train_forest_all_rows
+from strandline.models.cascade import train_cascade
 from strandline.plans.model_queries import vectors
 from strandline.session import scratch_folder
 
@@ -68,6 +69,15 @@ def svm_cross_validation(spark, sf_dir):
     return validation.cross_validated(vectors(spark, sf_dir).select("vec_id", "features", "flag"), points, "vec_id")
 
 
+@query("svm_cascade_score")
+def svm_cascade_score(spark, sf_dir):
+    """A machine of all vectors, trained in parts of 200 whose support vectors are merged."""
+    rows = vectors(spark, sf_dir)
+    samples = rows.select(F.lit(0).alias("g"), F.col("vec_id").alias("id"), "features", F.when(F.col("flag"), 1.0).otherwise(-1.0).alias("y"))
+    machine = train_cascade(samples, Settings(svm_type=SvmType.C_SVC, kernel=Kernel.RBF), ["g"], 200)[0,]
+    return vector.decide(rows, machine).select("vec_id", "flag", "score")
+
+
 @query("forest_importance")
 def forest_importance(spark, sf_dir):
     rows = vectors(spark, sf_dir)

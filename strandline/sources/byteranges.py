@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.files import open_file, resolved
-from strandline.session import scratch_folder, ship_package
+from strandline.operators.ordered import running
+from strandline.session import materialize, scratch_folder, ship_package
 
 CHUNK = 1 << 24
 #: A longer header is an error, not cut: ranges keep the headers that cross their borders.
@@ -271,3 +272,20 @@ def read_stretches(spark: SparkSession, path: str | None = None, overlap: int =
 def records(stretches: DataFrame) -> DataFrame:
     """seq_id, name, len of each record that has bases."""
     return stretches.where("begin = 0").select("seq_id", "name", "len")
+
+
+def flat_stretches(spark: SparkSession, path: str, overlap: int = 0, size: int = CHUNK) -> DataFrame:
+    """All records of the files end to end as one sequence, headers left out, in stretches of `size` bases: STRETCHES with
+    seq_id 0 and the path as name. Records lie where the lengths of those before them add up to; each stretch gathers the
+    parts of records that it and its overlap cover, however short they are."""
+    parts = materialize(read_stretches(spark, path), "stretches")
+    lengths = running(records(parts).select("seq_id", "len"), [F.col("seq_id")], {"upto": F.col("len")})
+    lengths = materialize(lengths.select("seq_id", (F.col("upto") - F.col("len")).alias("offset"), "upto"), "offsets")
+    total = lengths.agg(F.max("upto")).first()[0] or 0
+    placed = parts.join(lengths.select("seq_id", "offset"), "seq_id").select((F.col("offset") + F.col("begin")).alias("at"), "owned", "seq")
+    cut = placed.select("*", F.explode(F.sequence(F.expr(f"greatest(at - {overlap}, 0) div {size}"), F.expr(f"(at + owned - 1) div {size}"))).alias("k"))
+    cut = cut.withColumn("low", F.greatest("at", F.col("k") * size)).withColumn("high", F.least(F.col("at") + F.col("owned"), (F.col("k") + 1) * size + overlap)).where("high > low")
+    part = F.struct("low", F.expr("substring(seq, int(low - at) + 1, int(high - low))").alias("seq"))
+    whole = cut.select("k", part.alias("p")).groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    begin = F.col("k") * size
+    return whole.select(F.lit(0).cast("long").alias("seq_id"), F.lit(path).alias("name"), F.lit(total).cast("long").alias("len"), begin.alias("begin"), F.least(F.lit(size), F.lit(total) - begin).cast("long").alias("owned"), F.array_join("p.seq", "").alias("seq"))

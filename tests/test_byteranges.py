@@ -9,8 +9,8 @@ from strandline.operators.features import Feature
 from strandline.operators.scan import scan, scan_stretches
 from strandline.operators.windows import window_gc
 from strandline.plans.motif_queries import motif_set
-from strandline.sources.byteranges import build_index, read_stretches, records
-from strandline.sources.fasta import read_fasta
+from strandline.sources.byteranges import build_index, flat_stretches, read_stretches, records
+from strandline.sources.fasta import read_fasta, read_flat
 
 MOTIFS = motif_set(("GAF", "GAGAG", 0), ("PAL", "GATC", 0), ("G8", "GAGAGAGA", 1))
 
@@ -108,3 +108,13 @@ def test_gc_needs_windows_to_be_whole(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">x\n" + "ACGT" * 200)
     with pytest.raises(Exception, match="overlap by less"):
         window_gc(read_stretches(spark, str(tmp_path / "g.fa"), overlap=10, chunk=100), 200, 50).collect()
+
+
+@pytest.mark.parametrize("size,overlap", [(7, 3), (50, 0), (13, 40), (10_000, 5)])
+def test_flat_stretches_are_the_flat_reader_cut(spark, tmp_path, size, overlap):
+    (tmp_path / "a.fa").write_text(">a\nGATCGA\n>b\nG\n>none\n>c\n" + "GAGA\nTC\n" * 20)
+    (tmp_path / "b.fa").write_text(">d\nTTTTA")
+    want = read_flat(spark, str(tmp_path)).first().seq
+    rows = sorted(flat_stretches(spark, str(tmp_path), overlap, size).collect(), key=lambda r: r.begin)
+    assert [(r.begin, r.owned) for r in rows] == [(i, min(size, len(want) - i)) for i in range(0, len(want), size)]
+    assert all(r.len == len(want) and r.seq == want[r.begin : r.begin + r.owned + overlap] for r in rows)

@@ -1,14 +1,18 @@
 import itertools
+import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.config import Kernel, Settings, SvmType
-from strandline.models import binned_forest, store, svm, validation, vector
+from strandline.models import binned_forest, cascade, store, svm, validation, vector
 from strandline.models.forest import train_forest
 from strandline.models.linear import Linear
+from strandline.models.sequence import Hierarchical
 from strandline.models.svm import Vote, train_svm
+from strandline.sources.motifs import MotifSet
 
 
 def table(spark, x, y):
@@ -162,3 +166,48 @@ def test_importance_finds_what_decides(spark):
     order = sorted(rows, key=lambda f: -rows[f].importance)
     assert set(order[:2]) == {1, 3}
     assert min(rows[1].importance, rows[3].importance) > 10 * max(abs(rows[f].importance) for f in (0, 2, 4))
+
+
+def test_cascade_reaches_the_objective_of_one_machine(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for g, n in (("many", 1800), ("few", 150), ("one sign", 40)):
+        x = rng.normal(size=(n, 4)) * [1, 5, 0.2, 1]
+        y = np.where(x[:, 0] + 0.3 * x[:, 1] + rng.normal(0, 0.5, n) > 0, 1.0, -1.0) if g != "one sign" else np.ones(n)
+        rows += [(g, i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+        want[g] = (x, y)
+    data = spark.createDataFrame(rows, "g string, id long, features array<double>, y double").repartition(5)
+    s = Settings(svm_type=SvmType.C_SVC, kernel=Kernel.RBF, cost=2.0)
+    found = cascade.train_cascade(data, s, ["g"], part_rows=500)
+    assert set(found) == {("many",), ("few",), ("one sign",)}
+    assert (found["one sign",].decide(want["one sign"][0]) > 0).all()
+    for g in ("many", "few"):
+        one = train_svm(*want[g], SvmType.C_SVC, Kernel.RBF, 2.0)
+        assert cascade.objective(found[g,]) == pytest.approx(cascade.objective(one), rel=1e-3)
+        assert np.mean((found[g,].decide(want[g][0]) > 0) == (one.decide(want[g][0]) > 0)) > 0.995
+    left = {r.g: r for r in cascade.violations(data, found, ["g"], 2.0).collect()}
+    assert left["many"].n == 1800 and left["many"].wrong <= 9 and left["few"].wrong == 0
+    with pytest.raises(ValueError):
+        cascade.train_cascade(data, Settings(svm_type=SvmType.NU_SVC), ["g"], 100)
+
+
+@pytest.mark.parametrize("kind", ["svm", "forest"])
+def test_motifs_with_many_samples_are_trained_on_all(spark, kind):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ACGT") if i % 2 else rng.choice("AACCGT") for _ in range(400)), float(i % 3), "full") for i in range(90)]
+    seqs = spark.createDataFrame(rows, "seq_id long, seq string, class_value double, train_mode string")
+    motifs = MotifSet()
+    motifs.add_iupac("CG", "CG")
+    motifs.add_iupac("G6", "GAGACC")
+    base = Settings(svm_type=SvmType.C_SVC, trees=15, cost=0.5, local_features=("GC", "nOcc"))
+    whole = Hierarchical(motifs, base, kind=kind).fit(seqs)
+    parts = Hierarchical(motifs, replace(base, training_rows=700), kind=kind).fit(seqs)
+    assert set(parts.machines) == set(whole.machines)
+    a, b = whole.machines[0], parts.machines[0]
+    x = np.array([[v, w, g] for v in (0.0, 5.0, 20.0, 40.0) for w in (0.0, 1.0) for g in (0.3, 0.5, 0.7)])
+    if kind == "svm":
+        assert a.classes == b.classes
+        for m, n in zip(a.machines, b.machines):
+            assert cascade.objective(n) == pytest.approx(cascade.objective(m), rel=2e-3)
+    else:
+        assert np.abs(a.decide(x) - b.decide(x)).mean() < 0.25
