@@ -21,6 +21,7 @@ from strandline.sources import background
 from strandline.sources.byteranges import read_stretches, records
 from strandline.sources.fasta import Classes, read_fasta
 from strandline.sources.motifs import MotifSet
+from strandline.sources.readers import read_sequences
 
 ROLES = ("train", "validate", "calibrate")
 MODELS = ("pair-sum", "pair-logodds", "sum", "logodds", "svm", "forest", "lda", "perceptron", "hierarchical-svm", "hierarchical-forest")
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandline", description=__doc__)
     many = {"action": "append", "default": []}
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--format", default="fasta", help="of the sequences that train, calibrate and validate: fasta, or a reader that was registered")
     p.add_argument("--class", dest="classes", nargs=3, metavar=("NAME", "VALUE", "FLAG"), help="FLAG is + or -", **many)
     p.add_argument("--motif-iupac", nargs=3, metavar=("NAME", "PATTERN", "MISMATCHES"), **many)
     p.add_argument("--motif-xml", **many)
@@ -124,7 +126,7 @@ def sequences_of(spark: SparkSession, a: argparse.Namespace, role: str, classes:
             path, *rest = values
             mode = rest.pop() if role == "train" else "full"
             value = classes.value(rest.pop())
-            seqs = read_fasta(spark, path, "error" if kind == "fasta" else "drop")
+            seqs = read_sequences(spark, path, "error" if kind == "fasta" else "drop", a.format)
             if kind == "fasta" and a.auto and path == a.auto[0]:  # a part of its own for each role
                 seqs = seqs.where(F.pmod(F.xxhash64("name"), F.lit(len(ROLES))) == ROLES.index(role))
             if kind != "fasta":

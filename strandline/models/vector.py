@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,7 @@ from strandline.models.moments import train_lda_all_rows, train_perceptron_all_r
 from strandline.models.svm import Vote, train_svm
 from strandline.session import ship_package
 
+OWN_KINDS = ("svm", "vote", "forest", "lda", "perceptron")
 #: Rounds over all rows at most; each is a Spark job.
 MIXED_ROUNDS = 200
 
@@ -48,11 +51,38 @@ def gather(samples: DataFrame, label: str, order: str, rows: int) -> tuple[np.nd
     return np.array(found["features"].tolist(), dtype=np.float64), found[label].to_numpy()
 
 
+class VectorMachine(Protocol):
+    """What scores vectors: decide() gives a number a row. A machine with choose() gives a class a row instead. It is sent to
+    the executors, so it must be picklable."""
+
+    def decide(self, x: np.ndarray) -> np.ndarray: ...
+
+
+class Trainer(Protocol):
+    """Makes a machine from samples (features, a label and the columns to order by)."""
+
+    def __call__(self, samples: DataFrame, settings: Settings, order: str, label: str) -> VectorMachine: ...
+
+
+_TRAINERS: dict[str, Trainer] = {}
+
+
+def register(kind: str, trainer: Trainer) -> None:
+    """Let fit(), and so feature models, know a kind of classifier of one's own; names of its own kinds are taken."""
+    if kind in OWN_KINDS or kind in _TRAINERS:
+        raise ValueError(f"there is a classifier called {kind}")
+    _TRAINERS[kind] = trainer
+
+
 def fit(samples: DataFrame, kind: str, settings: Settings, order: str, label: str = "flag"):
     """A classifier of `kind`: svm, vote, forest, lda or perceptron. Discriminants take all rows; so do forests and
     perceptrons, whose rows are gathered only if they are no more than Settings.training_rows. Support vector machines
-    train on that many at most."""
+    train on that many at most. Other kinds are those that were registered."""
     s = settings
+    if kind in _TRAINERS:
+        return _TRAINERS[kind](samples, settings, order, label)
+    if kind not in OWN_KINDS:
+        raise ValueError(f"no classifier is called {kind}")
     if kind == "lda":
         return train_lda_all_rows(samples, label)
     if kind in ("forest", "perceptron") and samples.select(order).limit(s.training_rows + 1).count() > s.training_rows:

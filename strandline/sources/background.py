@@ -67,24 +67,50 @@ def sequence_seed(seed: int, stream: str, i: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{stream}|{i}".encode(), digest_size=8).digest(), "big")
 
 
+#: Random numbers of sequences that are made together.
+DRAWS = 1 << 22
+
+
 def _generated(spark: SparkSession, n: int, length: int, seed: int, stream: str, name: str, make) -> DataFrame:
+    """make(generators, length) gives a sequence for each generator."""
     ship_package(spark)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_once = max(1, DRAWS // max(1, length))
         for frame in frames:
             seeds = [sequence_seed(seed, stream, int(i)) for i in frame["id"]]
-            yield pd.DataFrame({"seq_id": frame["id"], "name": [f"{name} {i} seed {s}" for i, s in zip(frame["id"], seeds)], "seq": [make(np.random.default_rng(s), length) for s in seeds], "len": length})
+            seqs: list[str] = []
+            for first in range(0, len(seeds), at_once):
+                seqs += make([np.random.default_rng(s) for s in seeds[first : first + at_once]], length)
+            yield pd.DataFrame({"seq_id": frame["id"], "name": [f"{name} {i} seed {s}" for i, s in zip(frame["id"], seeds)], "seq": seqs, "len": length})
 
     return spark.range(n).mapInPandas(work, "seq_id long, name string, seq string, len int")
 
 
+def markov_sequences(rngs: list[np.random.Generator], length: int, order: int, totals: np.ndarray, steps: np.ndarray) -> list[str]:
+    """A sequence of a chain from each generator, all of them a base further at a time. totals: running totals of the
+    contexts; steps: running shares of the bases after each context."""
+    state = np.searchsorted(totals, np.array([rng.random() for rng in rngs]) * totals[-1], side="right")
+    bases = np.empty((max(length, order), len(rngs)), np.uint8)
+    for j in range(order):
+        bases[j] = state >> 2 * (order - 1 - j) & 3
+    draws = np.stack([rng.random(max(0, length - order)) for rng in rngs], axis=1)
+    for j, x in enumerate(draws, order):
+        base = np.minimum(3, (steps[state] <= x[:, None]).sum(axis=1))
+        bases[j] = base
+        state = (state << 2 | base) & (4**order - 1)
+    letters = np.frombuffer(BASES.encode(), np.uint8)[bases[:length].T]
+    return [row.tobytes().decode() for row in letters]
+
+
 def generate_iid(spark: SparkSession, n: int, length: int, p: dict[str, float] | None = None, seed: int = 0, stream: str = "") -> DataFrame:
     """n sequences, each from a seed of its own, by seed, stream and number, that its name states."""
     weights = np.array([(p or {}).get(b, 0.25) for b in BASES])
     weights = weights / weights.sum()
 
-    def make(rng: np.random.Generator, length: int) -> str:
-        return np.frombuffer(BASES.encode(), np.uint8)[rng.choice(4, length, p=weights)].tobytes().decode()
+    def make(rngs: list[np.random.Generator], length: int) -> list[str]:
+        letters = np.frombuffer(BASES.encode(), np.uint8)
+        return [letters[rng.choice(4, length, p=weights)].tobytes().decode() for rng in rngs]
 
     return _generated(spark, n, length, seed, stream, "iid", make)
 
@@ -96,16 +122,10 @@ def generate_markov(spark: SparkSession, model: DataFrame, n: int, length: int,
     totals = np.cumsum([r["total"] for r in rows], dtype=np.float64)
     steps = np.cumsum([[r[f"n{b}"] for b in BASES] for r in rows], axis=1) / np.array([[r["total"]] for r in rows])
 
-    def make(rng: np.random.Generator, length: int) -> str:
-        state = int(np.searchsorted(totals, rng.random() * totals[-1], side="right"))
-        out = [state >> 2 * (order - 1 - j) & 3 for j in range(order)][:length]
-        draws = rng.random(max(0, length - order))
-        mask = 4**order - 1
-        for x in draws:
-            base = min(3, int(np.searchsorted(steps[state], x, side="right")))
-            out.append(base)
-            state = (state << 2 | base) & mask
-        return "".join(BASES[b] for b in out)
+    def make(rngs: list[np.random.Generator], length: int) -> list[str]:
+        from strandline.sources.background import markov_sequences
+
+        return markov_sequences(rngs, length, order, totals, steps)
 
     return _generated(spark, n, length, seed, stream, "markov", make)
 

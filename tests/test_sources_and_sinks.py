@@ -6,7 +6,7 @@ import pytest
 from strandline import sinks
 from strandline.functions.iupac import sequence_of_text
 from strandline.operators import scan
-from strandline.sources import background, fasta
+from strandline.sources import background, fasta, readers
 from strandline.sources.motifs import MotifSet, distinct_patterns, kmers
 from strandline.streaming.scan import stream_fasta, stream_merge, stream_scan
 from pyspark.sql import functions as F
@@ -149,3 +149,38 @@ def test_a_cluster_needs_a_shared_folder():
     cluster.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(cluster)
+
+
+def test_chains_side_by_side_are_those_one_by_one():
+    rng = np.random.default_rng(0)
+    order, counts = 2, rng.integers(1, 50, (16, 4)).astype(float)
+    totals, steps = np.cumsum(counts.sum(axis=1)), np.cumsum(counts, axis=1) / counts.sum(axis=1)[:, None]
+
+    def plain(seed, length):
+        r = np.random.default_rng(seed)
+        state = int(np.searchsorted(totals, r.random() * totals[-1], side="right"))
+        out = [state >> 2 & 3, state & 3][:length]
+        for x in r.random(max(0, length - order)):
+            base = min(3, int(np.searchsorted(steps[state], x, side="right")))
+            out.append(base)
+            state = (state << 2 | base) & 15
+        return "".join("ACGT"[b] for b in out)
+
+    for length in (0, 1, 2, 3, 500):
+        got = background.markov_sequences([np.random.default_rng(s) for s in range(7)], length, order, totals, steps)
+        assert got == [plain(s, length) for s in range(7)]
+
+
+def test_readers_of_others(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("a\tACGT\nb\tGG\n")
+
+    def table(spark, path, on_empty="drop"):
+        cut = F.split("value", "\t")
+        return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq_id"), cut[0].alias("name"), cut[1].alias("seq"), F.length(cut[1]).alias("len"))
+
+    readers.register("tabs", table)
+    assert sorted((r.name, r.seq, r.len) for r in readers.read_sequences(spark, str(tmp_path / "x.txt"), name="tabs").collect()) == [("a", "ACGT", 4), ("b", "GG", 2)]
+    assert readers.names() == ["fasta", "tabs"]
+    for bad in (lambda: readers.register("tabs", table), lambda: readers.read_sequences(spark, "x", name="none")):
+        with pytest.raises(ValueError):
+            bad()

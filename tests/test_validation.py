@@ -211,3 +211,29 @@ def test_motifs_with_many_samples_are_trained_on_all(spark, kind):
             assert cascade.objective(n) == pytest.approx(cascade.objective(m), rel=2e-3)
     else:
         assert np.abs(a.decide(x) - b.decide(x)).mean() < 0.25
+
+
+class Nearest:
+    """Decides by the nearer class mean."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+
+    def decide(self, x):
+        return ((x - self.b) ** 2).sum(axis=1) - ((x - self.a) ** 2).sum(axis=1)
+
+
+def test_classifiers_of_others(spark):
+    x, y = made(80)
+
+    def train(samples, settings, order, label):
+        means = {r[label]: np.array(r["m"]) for r in samples.groupBy(label).agg(F.array(*[F.avg(F.col("features")[i]) for i in range(3)]).alias("m")).collect()}
+        return Nearest(means[True], means[False])
+
+    vector.register("nearest", train)
+    rows = table(spark, x, y)
+    machine = vector.fit(rows, "nearest", Settings(), "id")
+    assert np.mean((machine.decide(x) > 0) == y) > 0.6
+    for bad in (lambda: vector.register("nearest", train), lambda: vector.register("svm", train), lambda: vector.fit(rows, "none", Settings(), "id")):
+        with pytest.raises(ValueError):
+            bad()
