@@ -267,6 +267,8 @@ def train_forest_all_rows(samples: DataFrame, key: str, label: str = "flag", tre
     estimates: give the bins themselves where reruns over other partitions must agree."""
     found = bins if isinstance(bins, Bins) else quantile_bins(samples, bins=bins)
     table = binned(samples, found, key, label)
+    if table.select("flag").distinct().count() != 2:
+        raise ValueError("a forest needs rows of exactly two classes")
     done: list[Tree] = []
     for first in range(0, trees, TREES_AT_ONCE):
         marks = [mixed(mixed(seed, 0), t) for t in range(first, min(trees, first + TREES_AT_ONCE))]
@@ -281,8 +283,6 @@ def train_forest_all_rows(samples: DataFrame, key: str, label: str = "flag", tre
 
         for t, (pos, neg) in enumerate(_root_counts(table, marks)):
             sort_in(t, growing[t].add(marks[t], 0, pos, neg))
-        if first == 0 and any(not g.pos[0] or not g.neg[0] for g in growing):
-            raise ValueError("a forest needs rows of exactly two classes")
         at_once = max(1, CELLS // (len(tried(0, len(found.values))) * max(map(len, found.values))))
         while level:
             now, level = level, []

@@ -19,6 +19,8 @@ TOLERANCE = 1e-3
 TAU = 1e-12
 #: Bytes of kernel rows that a training holds.
 CACHE = 1 << 28
+#: Of how many variables a row is kept where shrinking begins to pay.
+SPARSE = 4
 
 
 @dataclass(frozen=True)
@@ -82,6 +84,11 @@ class KernelRows:
         self.entries += len(part)
         return kernel_matrix(self.z[i : i + 1], part, *self.options)[0]
 
+    def times(self, a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The kernel of a with b, times weights."""
+        self.entries += len(a) * len(b)
+        return kernel_matrix(a, b, *self.options) @ weights
+
     def diagonal(self) -> np.ndarray:
         kernel, gamma, c0 = self.options
         if kernel is Kernel.RBF:
@@ -106,8 +113,15 @@ class Signed:
     def row(self, i: int) -> np.ndarray:
         return self.sign[i] * self.sign[self.active] * self.k[self.at[i]][self.inside]
 
-    def beyond(self, i: int, others: np.ndarray) -> np.ndarray:
-        return self.sign[i] * self.sign[others] * self.k.row(int(self.at[i]), self.k.z[self.at[others]])
+    def products(self, alpha: np.ndarray, others: np.ndarray, block: int = 1024) -> np.ndarray:
+        """Q alpha at other variables, by blocks of the kernel of them with the support."""
+        support = np.flatnonzero(alpha)
+        weights, z = (alpha * self.sign)[support], self.k.z[self.at[support]]
+        out = np.zeros(len(others))
+        for i in range(0, len(others), block):
+            part = others[i : i + block]
+            out[i : i + block] = self.sign[part] * self.k.times(self.k.z[self.at[part]], z, weights)
+        return out
 
 
 def shrinkable(value: np.ndarray, up: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -123,22 +137,22 @@ def minimize(q: Signed, linear: np.ndarray, y: np.ndarray, upper: np.ndarray, al
 
     by_label keeps the sums of both labels (nu forms); r is then their common offset. With shrink, variables that seem
     settled at a bound leave the active ones now and then, so that rows get shorter; when the active ones are done, the
-    gradient of the others is made again from the support and all are active once more, until none is violated."""
+    gradient of the others is made again from the support, in blocks, and all are active once more, until none is violated.
+    That pays where few of the rows are kept, so it waits for SPARSE times as many variables as rows that are kept."""
     alpha = alpha.astype(np.float64).copy()
     gradient = linear.astype(np.float64).copy()
     for i in np.flatnonzero(alpha):
         gradient += alpha[i] * q.row(int(i))
     every = np.arange(len(y))
-    active, positive, near = every, y > 0, False
+    active, positive = every, y > 0
+    shrink = shrink and len(y) > SPARSE * q.k.most
     period = min(len(y), 1000)
     wait = period
 
     def reactivate() -> None:
         nonlocal active
         others = np.setdiff1d(every, active, assume_unique=True)
-        gradient[others] = linear[others]
-        for i in np.flatnonzero(alpha):
-            gradient[others] += alpha[i] * q.beyond(int(i), others)
+        gradient[others] = linear[others] + q.products(alpha, others)
         active = every
         q.activate(active)
 
@@ -151,11 +165,6 @@ def minimize(q: Signed, linear: np.ndarray, y: np.ndarray, upper: np.ndarray, al
         wait -= 1
         if shrink and not wait:
             wait = period
-            gap = max((value[up & g].max() - value[low & g].min() for g in groups if (up & g).any() and (low & g).any()), default=0.0)
-            if not near and gap <= 10 * tolerance and len(active) < len(every):
-                near = True
-                reactivate()
-                continue
             gone = np.zeros(len(active), bool)
             for g in groups:
                 gone |= g & shrinkable(value, up & g, low & g)

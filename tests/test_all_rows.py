@@ -68,6 +68,10 @@ def test_forests_refuse_what_they_cannot_learn(spark):
     x, y = made(50, 3, 5)
     with pytest.raises(ValueError, match="two classes"):
         B.train_forest_all_rows(table(spark, x, np.ones(50)), "id", trees=2)
+    with pytest.raises(ValueError, match="two classes"):
+        B.train_forest_all_rows(table(spark, x, y).limit(0), "id", trees=2)
+    rare = B.train_forest_all_rows(table(spark, x, np.arange(50) == 7), "id", trees=6)  # samples without the rare row are leaves
+    assert min(len(t.feature) for t in rare.trees) == 1 and len(rare.trees) == 6
     x[3, 1] = np.nan
     with pytest.raises(Exception, match="must be numbers"):
         B.train_forest_all_rows(table(spark, x, y), "id", trees=2)
