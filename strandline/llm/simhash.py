@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.graph import connected_components
+from strandline.llm.graph import connected_components, written
 from strandline.session import map_arrow, materialize, release_memory, ship_package
 
 BITS = 64
@@ -331,9 +331,9 @@ def similar_pairs(nodes: DataFrame, cell: int = WIDE_CELL, batch_rows: int = 1 <
     spark = nodes.sparkSession
     ship_package(spark)
     keyed = nodes.select("node", "w0", "w1", F.posexplode("bands").alias("t", "key"))
-    many = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    many = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", BANDS * nodes.count() // 2, BUCKETS_A_TASK)
     keyed = keyed.join(checked_broadcast(many.select("t", "key")), ["t", "key"], "left_semi")
-    hot = materialize(many.where(F.col("n") > cell), "hot-buckets")
+    hot = written(many.where(F.col("n") > cell), "hot-buckets", many.count())
     dealt = keyed.join(checked_broadcast(hot), ["t", "key"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
@@ -414,8 +414,9 @@ def similar_edges(sets: list[np.ndarray], root: np.ndarray, similarity: float) -
     return out
 
 
-def open_links(rejected: DataFrame, stars: DataFrame, texts: DataFrame, similarity: float, shingle: int, cell: int = OPEN_CELL) -> DataFrame | None:
-    """Links (a, b) that a spanning forest of near pairs has missed; None if it can't have missed any.
+def open_links(rejected: DataFrame, stars: DataFrame, texts: DataFrame, similarity: float, shingle: int, n: int, cell: int = OPEN_CELL) -> DataFrame | None:
+    """Links (a, b) that a spanning forest of near pairs has missed; None if it can't have missed any. texts has n rows at
+    most, and so have the tables of groups and members.
 
     A rejected edge of the forest stood for all near pairs across it, so the groups of verified links (stars: node, root)
     at its ends stay open: those that rejected edges connect are a field, and inside a field every pair of texts
@@ -423,19 +424,19 @@ def open_links(rejected: DataFrame, stars: DataFrame, texts: DataFrame, similari
     meet in a cell of their own, other than those of one group."""
     roots = stars.select("node", "root")
     ends = rejected.select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-    across = materialize(ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x != y").distinct(), "open-pairs")
+    across = written(ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x != y").distinct(), "open-pairs", n)
     if across.isEmpty():
         return None
-    fields = materialize(connected_components(across, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("field")), "fields")
+    fields = written(connected_components(across, "x", "y", n).select(F.col("node").alias("root"), F.col("root").alias("field")), "fields", n)
     members = texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(fields, "root")
-    members = materialize(members, "open-members")
-    groups = materialize(members.groupBy("field", "root").agg(F.count("*").alias("n")), "open-groups")
+    members = written(members, "open-members", n)
+    groups = written(members.groupBy("field", "root").agg(F.count("*").alias("n")), "open-groups", n)
     small = groups.where(F.col("n") <= cell).groupBy("field").agg(F.ceil(F.sum("n") / cell).alias("shared"))
     own = groups.where(F.col("n") > cell).select("root", F.ceil(F.col("n") / cell).alias("own"))
     placed = members.join(own, "root", "left").join(small, "field", "left")
     slot = F.pmod(F.xxhash64("node"), F.coalesce("own", "shared"))
-    placed = materialize(placed.select("node", "root", "field", F.when(F.col("own").isNotNull(), F.col("root")).alias("whose"), slot.alias("slot")), "open-places")
-    parts = materialize(placed.select("field", "whose", "slot").distinct().withColumn("part", F.concat_ws(":", F.coalesce("whose", F.lit("")), "slot")), "open-parts")
+    placed = written(placed.select("node", "root", "field", F.when(F.col("own").isNotNull(), F.col("root")).alias("whose"), slot.alias("slot")), "open-places", n)
+    parts = written(placed.select("field", "whose", "slot").distinct().withColumn("part", F.concat_ws(":", F.coalesce("whose", F.lit("")), "slot")), "open-parts", n)
     p, q = parts.alias("p"), parts.alias("q")
     pairs = p.join(q, "field").where("p.part <= q.part AND (p.whose IS NULL OR q.whose IS NULL OR p.whose != q.whose)")
     pairs = pairs.select("field", F.xxhash64("field", "p.part", "q.part").alias("home"), F.array_distinct(F.array("p.part", "q.part")).alias("part"))
@@ -468,6 +469,8 @@ def open_links(rejected: DataFrame, stars: DataFrame, texts: DataFrame, similari
     return materialize(found.distinct(), "open-links")
 
 
+#: Whole texts, nodes and buckets that a task writes at least, where there are so many.
+TEXTS_A_TASK, NODES_A_TASK, BUCKETS_A_TASK = 500, 10_000, 100_000
 #: Rows of two short columns that a broadcast may have; tables over it are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -510,11 +513,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     chosen = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marked = materialize(map_arrow(chosen, work, "row string, doc_id long, node string, w0 long, w1 long, bands array<long>"), "wide-fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.first("bands").alias("bands")), "nodes")
+    rows = marked.count()
+    nodes = written(marked.groupBy("node").agg(F.min(rank).alias("first"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.first("bands").alias("bands")), "nodes", rows, NODES_A_TASK)
     pairs = materialize(similar_pairs(nodes.select("node", "w0", "w1", "bands")), "similar-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(nodes.join(ends, "node").select("node", F.col("first.row").alias(row)), "texts-wanted")
-    texts = materialize(keyed.select(row, "text").join(checked_broadcast(wanted), row).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    n = pairs.count()
+    wanted = written(nodes.join(ends, "node").select("node", F.col("first.row").alias(row)), "texts-wanted", 2 * n)
+    texts = written(keyed.select(row, "text").join(checked_broadcast(wanted), row).groupBy("node").agg(F.first("text").alias("text")), "texts", 2 * n, TEXTS_A_TASK)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
     @F.pandas_udf("double")
@@ -528,19 +533,19 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         release_memory()
         return out
 
-    tested = materialize(both.select("a", "b", measured("left", "right").alias("j")), "tested-pairs")
+    tested = written(both.select("a", "b", measured("left", "right").alias("j")), "tested-pairs", n, TEXTS_A_TASK)
     links = tested.where(F.col("j") >= similarity).select("a", "b")
-    stars = materialize(connected_components(links, "a", "b"), "stars")
-    more = open_links(tested.where(F.col("j") < similarity), stars, texts, similarity, shingle)
+    stars = written(connected_components(links, "a", "b", n), "stars", 2 * n)
+    more = open_links(tested.where(F.col("j") < similarity), stars, texts, similarity, shingle, 2 * n)
     if more is not None:
-        stars = materialize(connected_components(links.unionByName(more), "a", "b"), "stars")
+        stars = written(connected_components(links.unionByName(more), "a", "b", n + more.count()), "stars", 2 * n)
     members = nodes.select("node", "first").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("kept"))
     # rows that go, and those that stand more than once; all others stay where they are
     aside = marked.groupBy("row").agg(F.count("*").alias("n")).join(kept, "row", "left").where("kept IS NULL OR n > 1")
-    aside = materialize(aside.select(F.col("row").alias(row), F.col("kept").isNotNull().alias("kept")), "rows-aside")
+    aside = written(aside.select(F.col("row").alias(row), F.col("kept").isNotNull().alias("kept")), "rows-aside", rows, NODES_A_TASK)
     single = keyed.join(checked_broadcast(aside.select(row)), row, "left_anti")
-    repeated = materialize(aside.where("kept").select(row), "rows-repeated")
+    repeated = written(aside.where("kept").select(row), "rows-repeated", aside.count())
     if not repeated.isEmpty():
         again = keyed.join(checked_broadcast(repeated), row, "left_semi")
         single = single.unionByName(again.groupBy(row).agg(*[F.first(f"`{c}`").alias(c) for c in columns]).select(*[f"`{c}`" for c in keyed.columns]))
