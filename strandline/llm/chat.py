@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import map_arrow, materialize, ship_package
+from strandline.llm.graph import written
+from strandline.session import map_arrow, ship_package
 
 #: Fixed control strings of common chat templates; those of this one first.
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -175,7 +176,7 @@ def format_conversations(rows: DataFrame, max_tokens: int = MAX_TOKENS, loss_rol
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary())], names=["conv_id", "turns", "path"])
 
     turns_ddl = "turns array<struct<turn:bigint,role:string,text:string>>"
-    digested = materialize(map_arrow(whole, paths, f"conv_id long, {turns_ddl}, path binary"), "conversations")
+    digested = written(map_arrow(whole, paths, f"conv_id long, {turns_ddl}, path binary"), "conversations", rows.count())  # a row is a turn at least
     sorted_ = digested.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
