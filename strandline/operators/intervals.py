@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import CoreMode
-from strandline.session import materialize, ship_package
+from strandline.session import join_large, materialize, ship_package
 
 
 #: Positions of a stretch of a chromosome that one task merges.
@@ -22,7 +22,7 @@ def _carried(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     tops = df.groupBy(key, "_stretch").agg(F.max(value).alias("_top")).select(key, "_stretch", F.max("_top").over(before).alias("_from"))
     inside = F.max(value).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_inside", inside).join(tops, [key, "_stretch"]).withColumn(name, F.greatest("_inside", "_from")).drop("_inside", "_from")
+    return join_large(df.withColumn("_inside", inside), tops, [key, "_stretch"]).withColumn(name, F.greatest("_inside", "_from")).drop("_inside", "_from")
 
 
 def merge(intervals: DataFrame, slack: int = 0, key: str = "chrom", spread: bool = False) -> DataFrame:
@@ -61,7 +61,7 @@ def best_of_overlapping(predictions: DataFrame, key: str = "chrom") -> DataFrame
     marked = materialize(marked.withColumn("_first", F.when(F.col("_last").isNull() | (F.col("_last.end") < F.col("start")), F.col("start"))).drop("_last"), "marked-windows")
     runs = _carried(marked, key, F.col("_first"), "_before").select(key, F.col("start").alias("win_start"), F.col("end").alias("win_end"), F.coalesce("_first", "_before").alias("_run"))
     first = F.min_by(F.struct("start", "end", "score"), F.struct((-F.col("score")).alias("s"), "win_start", "win_end", "start", "end"))
-    return rows.join(runs, [key, "win_start", "win_end"]).groupBy(key, "_run").agg(first.alias("b")).select(key, "b.*")
+    return join_large(rows, runs, [key, "win_start", "win_end"]).groupBy(key, "_run").agg(first.alias("b")).select(key, "b.*")
 
 
 Hit = tuple[int, int, float]  # motif start, motif end, weight
@@ -125,7 +125,7 @@ def core_predictions(hits: DataFrame, windows: DataFrame, threshold: float, mode
     core's place among its window's."""
     ship_package(hits.sparkSession)
     told = hits.groupBy("seq_id", "win").agg(F.collect_list(F.struct("start", "end", "weight")).alias("hits"))
-    met = windows.where(F.col("score") >= threshold).join(told, ["seq_id", "win"])
+    met = join_large(windows.where(F.col("score") >= threshold), told, ["seq_id", "win"])
 
     @F.pandas_udf("array<struct<start:bigint,end:bigint,score:double>>")
     def cores(found: pd.Series, win_start: pd.Series, win_len: pd.Series) -> pd.Series:
@@ -148,4 +148,4 @@ def gated_cores(cores: DataFrame, threshold: float) -> DataFrame:
 def core_track(windows: DataFrame, cores: DataFrame, nothing: float) -> DataFrame:
     """windows with, as score, that of their last gated core; `nothing` for windows without cores."""
     last = cores.groupBy("seq_id", "win").agg(F.first("last").alias("last"))
-    return windows.drop("score").join(last, ["seq_id", "win"], "left").withColumn("score", F.coalesce("last", F.lit(float(nothing)))).drop("last")
+    return join_large(windows.drop("score"), last, ["seq_id", "win"], "left").withColumn("score", F.coalesce("last", F.lit(float(nothing)))).drop("last")

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.files import open_file, resolved
 from strandline.operators.ordered import running
-from strandline.session import materialize, scratch_folder, ship_package
+from strandline.session import join_large, materialize, scratch_folder, ship_package
 
 CHUNK = 1 << 24
 #: A longer header is an error, not cut: ranges keep the headers that cross their borders.
@@ -282,7 +282,7 @@ def flat_stretches(spark: SparkSession, path: str, overlap: int = 0, size: int =
     lengths = running(records(parts).select("seq_id", "len"), [F.col("seq_id")], {"upto": F.col("len")})
     lengths = materialize(lengths.select("seq_id", (F.col("upto") - F.col("len")).alias("offset"), "upto"), "offsets")
     total = lengths.agg(F.max("upto")).first()[0] or 0
-    placed = parts.join(lengths.select("seq_id", "offset"), "seq_id").select((F.col("offset") + F.col("begin")).alias("at"), "owned", "seq")
+    placed = join_large(parts, lengths.select("seq_id", "offset"), "seq_id").select((F.col("offset") + F.col("begin")).alias("at"), "owned", "seq")
     cut = placed.select("*", F.explode(F.sequence(F.expr(f"greatest(at - {overlap}, 0) div {size}"), F.expr(f"(at + owned - 1) div {size}"))).alias("k"))
     cut = cut.withColumn("low", F.greatest("at", F.col("k") * size)).withColumn("high", F.least(F.col("at") + F.col("owned"), (F.col("k") + 1) * size + overlap)).where("high > low")
     part = F.struct("low", F.expr("substring(seq, int(low - at) + 1, int(high - low))").alias("seq"))
