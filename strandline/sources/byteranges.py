@@ -5,7 +5,7 @@ the last, and the same should the range begin inside a header. Put together in o
 range the state it begins in: the record it continues, that record's name and length, and how many of its bases came
 before. That is the offset index, a small Parquet table that can be kept. The data source `fasta` then reads each range in
 a task of its own: from its state on, up to its end and `overlap` bases of the same record beyond it, so that whatever lies
-across the border is whole in one task.
+across the border is whole in one task. Ranges far smaller than a task's worth are read several to a task.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CHUNK = 1 << 24
 LONGEST_HEADER = 1 << 16
 #: Tasks of the first pass; each takes several ranges beyond that.
 MOST_TASKS = 20_000
+#: Bytes of neighbouring ranges that a task takes at least; of long inputs a share of about one in so many, up to CHUNK.
+TASK_BYTES, SHARES = 1 << 18, 256
 _BLOCK = 1 << 16
 _COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy", ".deflate")
 _NOT_BASES = b"\r\n"
@@ -125,8 +127,9 @@ def build_index(spark: SparkSession, path: str, folder: str | None = None, chunk
     if wrong:
         raise ValueError(f"{wrong[0]} is compressed; read it with read_fasta")
     cut = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(chunk).cast("long"))).alias("start"))
-    n = files.agg(F.sum(F.ceil(F.col("size") / chunk))).first()[0] or 1
-    ranges = cut.select("path", "size", "start", F.least(F.col("start") + chunk, "size").alias("stop")).repartition(min(int(n), MOST_TASKS))
+    n, size = files.agg(F.sum(F.ceil(F.col("size") / chunk)), F.sum("size")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, (size or 0) // _task_bytes(size or 0))
+    ranges = cut.select("path", "size", "start", F.least(F.col("start") + chunk, "size").alias("stop")).repartition(min(int(n or 1), int(tasks), MOST_TASKS))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strandline.sources.byteranges import summarize
@@ -157,7 +160,7 @@ def _regex(suffix: str) -> str:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     path: str
     file_no: int
     start: int
@@ -171,6 +174,31 @@ class ByteRange(InputPartition):
     last_len: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """What a task reads: its rows of INDEX."""
+
+    ranges: list[ByteRange]
+
+
+def _task_bytes(total: int) -> int:
+    return max(TASK_BYTES, min(CHUNK, total // SHARES))
+
+
+def _tasks(ranges: list[ByteRange]) -> list[list[ByteRange]]:
+    """Ranges in order, in runs of a task's bytes; one that is longer is a run of its own."""
+    most = _task_bytes(sum(r.stop - r.start for r in ranges))
+    out: list[list[ByteRange]] = []
+    held = 0
+    for r in ranges:
+        if not out or held + r.stop - r.start > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += r.stop - r.start
+    return out
+
+
 def _beyond(f, at: int, wanted: int) -> bytes:
     """The next bases of the record that is open at a byte, as many as wanted or as there are."""
     f.seek(at)
@@ -229,15 +257,15 @@ class FastaReader(DataSourceReader):
             raise ValueError("state the option index, a folder that build_index wrote")
         self.index, self.overlap = options["index"], int(options.get("overlap", 0))
 
-    def partitions(self) -> list[ByteRange]:
-        """One a range, as for Spark's own files."""
+    def partitions(self) -> list[ByteRanges]:
+        """Runs of ranges, as for Spark's own files."""
         import pyarrow.parquet as pq
 
         system, path = resolved(self.index)
         rows = pq.read_table(path, filesystem=system).sort_by([("file_no", "ascending"), ("start", "ascending")]).to_pylist()
-        return [ByteRange(**row) for row in rows]
+        return [ByteRanges(run) for run in _tasks([ByteRange(**row) for row in rows])]
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no ranges
             return
         held: list[list] = [[] for _ in range(6)]
@@ -247,13 +275,14 @@ class FastaReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds)], names=["seq_id", "name", "len", "begin", "owned", "seq"])
 
         size = 0
-        for record, name, length, begin, owned, bases in stretches_of(partition, self.overlap):
-            for column, value in zip(held, (partition.file_no << 40 | record, name, length, begin, owned, bases.decode("utf-8", "replace"))):
-                column.append(value)
-            size += len(bases)
-            if size >= 1 << 22 or len(held[0]) >= 2000:
-                yield made()
-                held, size = [[] for _ in range(6)], 0
+        for part in partition.ranges:
+            for record, name, length, begin, owned, bases in stretches_of(part, self.overlap):
+                for column, value in zip(held, (part.file_no << 40 | record, name, length, begin, owned, bases.decode("utf-8", "replace"))):
+                    column.append(value)
+                size += len(bases)
+                if size >= 1 << 22 or len(held[0]) >= 2000:
+                    yield made()
+                    held, size = [[] for _ in range(6)], 0
         if held[0]:
             yield made()
 

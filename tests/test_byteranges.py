@@ -118,3 +118,12 @@ def test_flat_stretches_are_the_flat_reader_cut(spark, tmp_path, size, overlap):
     rows = sorted(flat_stretches(spark, str(tmp_path), overlap, size).collect(), key=lambda r: r.begin)
     assert [(r.begin, r.owned) for r in rows] == [(i, min(size, len(want) - i)) for i in range(0, len(want), size)]
     assert all(r.len == len(want) and r.seq == want[r.begin : r.begin + r.owned + overlap] for r in rows)
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Thousands of ranges are no thousands of tasks, and all their bases are read."""
+    path = tmp_path / "many.fa"
+    path.write_text("".join(f">r{i}\n{'ACGT' * 25}\n" for i in range(2000)))
+    parts = read_stretches(spark, str(path), overlap=5, chunk=100)
+    assert parts.rdd.getNumPartitions() == 1
+    assert parts.selectExpr("sum(owned)", "count(distinct seq_id)").first() == (200_000, 2000)
