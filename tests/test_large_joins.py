@@ -41,3 +41,10 @@ def test_scores_and_cores_are_not_broadcast(placed):
     assert "Broadcast" not in _plan(PairSum(PAIRED).scored(placed))
     rows = placed.windows.select("seq_id", "win_start", (F.col("win_start") + F.col("win_len")).alias("win_end"), F.col("win_start").alias("start"), (F.col("win_start") + F.col("win_len")).alias("end"), F.lit(1.0).alias("score"))
     assert "Broadcast" not in _plan(intervals.best_of_overlapping(rows, "seq_id"))
+
+
+def test_neighbours_are_summed_up_where_they_meet(placed):
+    """The distances of an occurrence are not shuffled: only sums by window are."""
+    for kind in ("MDM", "MDP", "MDDA"):
+        plan = _plan(feature_values(placed, instantiate([Feature(kind)], PAIRED)))
+        assert not any("Exchange hashpartitioning" in line and "a_start" in line for line in plan.splitlines())
