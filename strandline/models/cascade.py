@@ -1,10 +1,10 @@
 """Support vector machines of more samples than one task should hold: a cascade (Graf et al., 2004).
 
 Samples are dealt to parts of bounded size. Each part is trained by a task, which passes on its support vectors alone; two
-parts' support vectors are trained together, and so on up to one machine. Its support vectors join every part in the next
-round, in which samples that the machine has wrong become support vectors and come up. The objective falls with each round,
-and once no sample violates the machine, it is that of all samples. What must fit a task is a part, and the support
-vectors of two."""
+parts' support vectors are trained together, and so on up to one machine. In the next rounds its support vectors are trained
+with the samples of all parts that the machine has wrong. The objective falls with each round, and once no sample violates
+the machine, it is that of all samples. What must fit a task is a part, the support vectors of two, and those of the
+machine with what it has wrong."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import Settings, SvmType
-from strandline.models.svm import Svm, kernel_matrix
+from strandline.models.svm import TOLERANCE, Svm, kernel_matrix
 from strandline.session import materialize, ship_package
 
 #: Rounds at most, and the share of the objective by which a round must better it.
@@ -43,8 +43,9 @@ def train_cascade(samples: DataFrame, settings: Settings, group: Sequence[str],
     """C-SVC machines by group of samples (group, id, features, y: 1 or -1; ids are distinct in a group). A group without
     both signs has a machine without support vectors that decides for its one sign.
 
-    A group of at most part_rows samples is one part, and its machine that of train_svm. Rows are written once and read
-    once a round, in tasks of a part each."""
+    A group of at most part_rows samples is one part, and its machine that of train_svm. Rows are written once, trained
+    once in tasks of a part each, and decided once a round; parts are not trained again with all of the support, which
+    would take as many copies of it as there are parts."""
     spark, s = samples.sparkSession, settings
     if s.svm_type is not SvmType.C_SVC:
         raise ValueError("a cascade trains C-SVC machines alone")
@@ -83,12 +84,15 @@ def train_cascade(samples: DataFrame, settings: Settings, group: Sequence[str],
     value: dict[tuple, float] = {}
     support: DataFrame | None = None
     for _ in range(rounds):
-        layer = rows.select(columns)
+        layer, width = rows.select(columns), most
         if support is not None:
-            everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-            layer = layer.unionByName(support.drop("part").withColumn("part", everywhere).select(columns))
+            held = support.where("parts > 1").select(columns)
+            wrong = rows.where("parts > 1").where(_short(machines, group)).withColumn("part", F.lit(0).cast("long")).select(columns)
+            wrong = materialize(wrong.join(held.select(*group, "id").hint("merge"), [*group, "id"], "left_anti").select(columns), "wrong-samples")
+            if wrong.isEmpty():
+                break
+            layer, width = held.unionByName(wrong), 1
         layer = materialize(layer.groupBy(*group, "part").applyInPandas(train, ddl), "support")
-        width = most
         while width > 1:
             width = -(-width // 2)
             layer = materialize(layer.withColumn("part", F.floor(F.col("part") / 2)).select(columns).groupBy(*group, "part").applyInPandas(train, ddl), "support")
@@ -105,6 +109,22 @@ def train_cascade(samples: DataFrame, settings: Settings, group: Sequence[str],
     return machines
 
 
+def _short(machines: dict[tuple, Svm], group: Sequence[str]) -> Column:
+    """Whether a sample (group, features, y) misses its margin."""
+    shared = SparkSession.active().sparkContext.broadcast(machines)
+
+    @F.pandas_udf("boolean")
+    def short(key: pd.DataFrame, features: pd.Series, y: pd.Series) -> pd.Series:
+        out, x = np.zeros(len(y), bool), np.array(features.tolist(), np.float64)
+        code, keys = pd.factorize(pd.Series(list(key.itertuples(index=False, name=None)), dtype=object))
+        for i, k in enumerate(keys):
+            at = code == i
+            out[at] = y.to_numpy()[at] * shared.value[k].decide(x[at]) < 1 - TOLERANCE
+        return pd.Series(out)
+
+    return short(F.struct(*group), F.col("features"), F.col("y"))
+
+
 def violations(samples: DataFrame, machines: dict[tuple, Svm], group: Sequence[str], cost: float) -> DataFrame:
     """group, n, wrong of samples as for train_cascade: those that miss the margin by more than SLACK and are no support
     vectors at their bound; of a machine of all samples, none."""
