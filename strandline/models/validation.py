@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -43,6 +43,13 @@ def cross_validated(samples: DataFrame, points: Sequence[Settings], key: str, la
     stored = materialize(folded(rows, folds, "key", "label", seed), "folds")
     jobs = F.array(*[F.struct(F.lit(p).alias("point"), F.lit(f).alias("left_out")) for p in range(len(points)) for f in range(folds)])
     each = stored.select("*", F.explode(jobs).alias("job")).select("features", "label", "key", "fold", "job.*")
+    own_task = F.col("point") * folds + F.col("left_out")  # hashes of so few keys would meet in a task
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            for job, df in pd.concat(held).groupby(["point", "left_out"]):
+                yield run(job, df)
 
     def run(job, df: pd.DataFrame) -> pd.DataFrame:
         from strandline.models.validation import decisions
@@ -53,7 +60,7 @@ def cross_validated(samples: DataFrame, points: Sequence[Settings], key: str, la
         return pd.DataFrame({"point": job[0], "fold": job[1], "key": df["key"][out], "label": y[out], "decision": found})
 
     key_type = samples.schema[key].dataType.simpleString()
-    out = each.groupBy("point", "left_out").applyInPandas(run, f"point int, fold int, key {key_type}, label double, decision double")
+    out = each.repartitionById(len(points) * folds, own_task).mapInPandas(work, f"point int, fold int, key {key_type}, label double, decision double")
     return out.withColumnRenamed("key", key)
 
 
