@@ -33,6 +33,8 @@ def merge(intervals: DataFrame, slack: int = 0, key: str = "chrom", spread: bool
     positions, and what earlier stretches reach to is carried on."""
     rows = intervals.select(key, "start", "end", "score").where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
     if spread:
+        # one row an interval, so that the order is total: equal rows could come in another order when they are read again
+        rows = rows.groupBy(key, "start", "end").agg(F.max("score").alias("score"))
         rows = materialize(rows.withColumn("_stretch", F.floor(F.col("start") / STRETCH)), "intervals")
         marked = _carried(rows, key, F.col("end"), "_reach")
         marked = materialize(marked.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + slack), F.col("start"))), "marked-intervals")
