@@ -48,3 +48,16 @@ def test_neighbours_are_summed_up_where_they_meet(placed):
     for kind in ("MDM", "MDP", "MDDA"):
         plan = _plan(feature_values(placed, instantiate([Feature(kind)], PAIRED)))
         assert not any("Exchange hashpartitioning" in line and "a_start" in line for line in plan.splitlines())
+
+
+def test_readers_and_scans_give_memory_back(spark, monkeypatch):
+    from strandline.functions import iupac
+    from strandline.session import map_arrow
+
+    names = []
+    for module in (iupac, scan):
+        monkeypatch.setattr(module, "map_arrow", lambda df, work, schema, m=module: names.append(m.__name__) or map_arrow(df, work, schema))
+    texts = spark.createDataFrame([(1, "G" * 9), (2, None)], "id long, text string")
+    seqs = iupac.sequences_of_texts(texts)
+    scan.scan(seqs, PAIRED).collect()
+    assert [r.len for r in seqs.collect()] == [9] and len(names) == 2
