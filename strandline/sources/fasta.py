@@ -29,7 +29,8 @@ def read_fasta(spark: SparkSession, path: str, on_empty: str = "drop") -> DataFr
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """One row: all records of the files joined into one sequence, headers left out."""
+    """One row: all records of the files joined into one sequence, headers left out. One task joins and holds it, so it is for
+    small files; byteranges.flat_stretches() is the same sequence in stretches."""
     records = read_fasta(spark, path)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq_id", "seq"))), lambda r: r["seq"]), "")
     return records.agg(joined.alias("seq")).select(F.lit(0).cast("long").alias("seq_id"), F.lit(path).alias("name"), "seq", F.length("seq").alias("len"))
