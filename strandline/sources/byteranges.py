@@ -21,15 +21,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.files import open_file, resolved
 from strandline.operators.ordered import running
-from strandline.session import join_large, materialize, scratch_folder, ship_package
+from strandline.session import join_large, map_arrow, materialize, release_memory, scratch_folder, ship_package
 
-CHUNK = 1 << 24
+#: Bytes of a range, which its task holds a few times over.
+CHUNK = 1 << 22
 #: A longer header is an error, not cut: ranges keep the headers that cross their borders.
 LONGEST_HEADER = 1 << 16
 #: Tasks of the first pass; each takes several ranges beyond that.
 MOST_TASKS = 20_000
-#: Bytes of neighbouring ranges that a task takes at least; of long inputs a share of about one in so many, up to CHUNK.
-TASK_BYTES, SHARES = 1 << 18, 256
+#: Bytes of neighbouring ranges that a task takes, one after another, at least and at most; in between about one part in
+#: so many of the input.
+TASK_BYTES, TASK_MOST, SHARES = 1 << 18, 1 << 24, 256
 _BLOCK = 1 << 16
 _COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy", ".deflate")
 _NOT_BASES = b"\r\n"
@@ -149,7 +151,7 @@ def build_index(spark: SparkSession, path: str, folder: str | None = None, chunk
 
         return compose(part)
 
-    index = ranges.mapInArrow(sums, SUMMARY).groupBy("path").applyInPandas(composed, INDEX)
+    index = map_arrow(ranges, sums, SUMMARY).groupBy("path").applyInPandas(composed, INDEX)
     numbers = spark.createDataFrame([(p, i) for i, p in enumerate(sorted(r["path"] for r in files.select("path").collect()))], "path string, n long")  # a row a file, as Spark's own listing
     index.join(F.broadcast(numbers), "path").withColumn("file_no", F.col("n")).select(*[f.split()[0] for f in INDEX.split(", ")]).write.mode("overwrite").parquet(folder)
     return folder
@@ -182,7 +184,7 @@ class ByteRanges(InputPartition):
 
 
 def _task_bytes(total: int) -> int:
-    return max(TASK_BYTES, min(CHUNK, total // SHARES))
+    return max(TASK_BYTES, min(TASK_MOST, total // SHARES))
 
 
 def _tasks(ranges: list[ByteRange]) -> list[list[ByteRange]]:
@@ -283,8 +285,10 @@ class FastaReader(DataSourceReader):
                 if size >= 1 << 22 or len(held[0]) >= 2000:
                     yield made()
                     held, size = [[] for _ in range(6)], 0
+                    release_memory()
         if held[0]:
             yield made()
+        release_memory(0)
 
 
 def read_stretches(spark: SparkSession, path: str | None = None, overlap: int = 0, index: str | None = None, chunk: int = CHUNK) -> DataFrame:
