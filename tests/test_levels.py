@@ -37,3 +37,15 @@ def test_levels_are_faster_than_nodes():
     by_level = time.process_time() - at - by_node
     print(by_node, by_level)
     assert by_level < by_node
+
+
+def test_driver_gets_little_of_a_tree(spark):
+    from strandline.models import forest
+
+    codes, values, y, _ = _rows(3000, 16, 256)
+    x = np.stack([v[codes[:, j]] for j, v in enumerate(values)], axis=1)
+    tree, unseen = forest.grow(x, y, np.random.default_rng([0, 0]))
+    assert 3 * len(forest.packed(tree)) < tree.feature.nbytes * 5 + unseen.nbytes
+    one, many = forest.train_forest(x, y, 8), forest.train_forest_distributed(spark, x, y, 8)
+    assert one.oob_error == many.oob_error
+    assert all(np.array_equal(a.split, b.split) for a, b in zip(one.trees, many.trees))
