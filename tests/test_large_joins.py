@@ -50,6 +50,14 @@ def test_neighbours_are_summed_up_where_they_meet(placed):
         assert not any("Exchange hashpartitioning" in line and "a_start" in line for line in plan.splitlines())
 
 
+def test_local_neighbours_are_counted_where_they_meet(placed):
+    """Pairs are not dealt again, and give the counts that pairs told in both orders give."""
+    show = lambda pairs: sorted((r.seq_id, r.win, r.motif_id, r.reverse, r.start, tuple(r.near)) for r in local.local_neighbours(placed.occurrences, pairs, PAIRED).collect())
+    assert show(placed.ordered(local.REACH)) == show(placed.pairs(local.REACH))
+    counted = _plan(local.local_neighbours(placed.occurrences, placed.ordered(local.REACH), PAIRED))
+    assert counted.count("Exchange") < _plan(local.local_neighbours(placed.occurrences, placed.pairs(local.REACH), PAIRED)).count("Exchange")
+
+
 def test_readers_and_scans_give_memory_back(spark, monkeypatch):
     from strandline.functions import iupac
     from strandline.session import map_arrow
