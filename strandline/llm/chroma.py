@@ -31,6 +31,9 @@ RUN = 2
 MAX_ERROR = 0.25
 #: Overlap, in integers, from which the bits alone decide; in the tests' melodies unrelated ends agree by chance up to 20.
 MIN_OVERLAP = 24
+#: Numbers of a chunk's spectra and of their products that are held at once; lengths that differ more than so many times are
+#: compared offset by offset.
+SPECTRA, PRODUCTS, UNEQUAL = 1 << 21, 1 << 19, 16
 
 #: Filters by rule: (kind, first pitch class, height, width); kinds are ways to split a rectangle in two.
 FILTERS = [(i % 6, (5 * i) % 12 % (13 - h), h, w) for i, (h, w) in enumerate((h, w) for h in (3, 4, 6, 12) for w in (4, 8, 12, 16))]
@@ -163,7 +166,7 @@ def _bits(a: Column, b: Column) -> Column:
 
 
 def _blocks(prints: list[np.ndarray], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places, lengths and bits (1 or -1, 0 beyond the end) of prints by length, at most so many integers at once or one row."""
+    """Places, lengths and integers (0 beyond the end) of prints by length, at most so many integers at once or one row."""
     order = np.argsort([len(p) for p in prints], kind="stable")
     at = 0
     while at < len(order):
@@ -172,30 +175,84 @@ def _blocks(prints: list[np.ndarray], most: int = 1 << 16) -> Iterator[tuple[np.
             end += 1
         rows = order[at:end]
         size = np.array([len(prints[i]) for i in rows])
-        bits = np.zeros((len(rows), int(size.max()), 32), np.float32)
+        held = np.zeros((len(rows), int(size.max())), "<u4")
         for k, i in enumerate(rows):
-            bits[k, : size[k]] = np.unpackbits(prints[i].astype("<u4").view(np.uint8)).reshape(-1, 32) * np.float32(2) - 1
-        yield rows, size, bits
+            held[k, : size[k]] = prints[i]
+        yield rows, size, held
         at = end
 
 
+def _signs(prints: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bits of rows of integers as 1 or -1, 0 beyond their ends."""
+    out = np.unpackbits(prints.view(np.uint8), axis=1).reshape(*prints.shape, 32).astype(np.float32) * np.float32(2) - 1
+    out[np.arange(prints.shape[1]) >= size[:, None]] = 0
+    return out
+
+
+def _circle(least: int) -> int:
+    """The next length from `least` on that has no prime factor over 5."""
+    while True:
+        rest = least
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return least
+        least += 1
+
+
+def agreements(q: np.ndarray, q_size: np.ndarray, c: np.ndarray, c_size: np.ndarray, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first query, first class, offsets, scores by offset, query and class): agreeing less differing bits, up to rounding, of
+    rows of integers at all offsets where `least` of them or more may overlap. All offsets of a pair are one correlation, so
+    spectra meet in a matrix product a frequency, and one transform back gives every offset. Rows of very unequal lengths
+    are one matrix product an offset. Chunks of pairs bound the memory."""
+    width, height = q.shape[1], c.shape[1]
+    if min(width, height) < least:
+        return
+    offsets = np.arange(least - width, height - least + 1)
+    if max(width, height) > UNEQUAL * min(width, height):
+        a, b = _signs(q, q_size), _signs(c, c_size)
+        for o in offsets.tolist():
+            i, j = max(0, -o), max(0, o)
+            n = min(width - i, height - j)
+            yield 0, 0, np.array([o]), (a[:, i : i + n].reshape(len(q), -1) @ b[:, j : j + n].reshape(len(c), -1).T)[None]
+        return
+    n = _circle(width + height - least)  # so that no two offsets meet at a place of the circle
+    most = max(1, SPECTRA // (32 * (n // 2 + 1)))
+    c_step = min(256, most)
+    q_step = max(1, min(64, PRODUCTS // ((n // 2 + 1) * c_step)))
+    before = width - least  # offsets below 0, at the end of the circle
+    for top in range(0, len(q), most):
+        a = np.ascontiguousarray(np.fft.rfft(_signs(q[top : top + most], q_size[top : top + most]), n, axis=1).conj().transpose(1, 0, 2))
+        for j in range(0, len(c), c_step):
+            b = np.ascontiguousarray(np.fft.rfft(_signs(c[j : j + c_step], c_size[j : j + c_step]), n, axis=1).transpose(1, 2, 0))
+            for i in range(0, a.shape[1], q_step):
+                scores = np.fft.irfft(a[:, i : i + q_step] @ b, n, axis=0)
+                yield top + i, j, offsets[:before], scores[n - before :]
+                yield top + i, j, offsets[before:], scores[: len(offsets) - before]
+
+
 def passing_offsets(queries: list[np.ndarray], classes: list[np.ndarray], max_error: float, least: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(query, class, offset, overlap, errors) of every offset of every pair whose overlap is at least `least` integers and
-    differs in at most max_error of its bits. Agreeing less differing bits are one matrix product an offset."""
-    held = list(_blocks(queries))
-    for c_rows, c_size, c_bits in _blocks(classes):
-        for q_rows, q_size, q_bits in held:
-            for offset in range(least - q_bits.shape[1], c_bits.shape[1] - least + 1):
-                q, c = max(0, -offset), max(0, offset)
-                n = min(q_bits.shape[1] - q, c_bits.shape[1] - c)
-                if n < least:
-                    continue
-                score = q_bits[:, q : q + n].reshape(len(q_rows), -1) @ c_bits[:, c : c + n].reshape(len(c_rows), -1).T
-                for i, j in np.argwhere(score >= 32 * least * (1 - 2 * max_error)).tolist():
-                    overlap = int(min(q_size[i] - q, c_size[j] - c))
-                    errors = (32 * overlap - int(score[i, j])) // 2
-                    if overlap >= least and errors <= max_error * 32 * overlap:
-                        yield int(q_rows[i]), int(c_rows[j]), offset, overlap, errors
+    differs in at most max_error of its bits. agreements() finds those that may pass, with more slack than rounding takes;
+    their differing bits are counted."""
+    held, share = list(_blocks(queries)), 32 * (1 - 2 * max_error)
+    for c_rows, c_size, c in _blocks(classes):
+        for q_rows, q_size, q in held:
+            slack = 1 + 32e-5 * math.sqrt(q.shape[1] * c.shape[1])
+            for i, j, offsets, scores in agreements(q, q_size, c, c_size, least):
+                q_from, c_from = np.maximum(0, -offsets), np.maximum(0, offsets)
+                shortest = np.maximum(least, np.minimum(q_size[0] - q_from, c_size[0] - c_from))  # blocks ascend by length
+                longest = np.minimum(q_size[-1] - q_from, c_size[-1] - c_from)
+                enough = (np.minimum(share * shortest, share * longest) - slack).astype(np.float32)
+                at, x, y = np.unravel_index(np.flatnonzero(scores >= enough[:, None, None]), scores.shape)
+                for k in np.unique(at):
+                    mine, other = i + x[at == k], j + y[at == k]
+                    overlap = np.minimum(q_size[mine] - q_from[k], c_size[other] - c_from[k])
+                    differ = np.bitwise_count(q[mine, q_from[k] : q_from[k] + longest[k]] ^ c[other, c_from[k] : c_from[k] + longest[k]])
+                    errors = np.where(np.arange(longest[k]) < overlap[:, None], differ, 0).sum(axis=1)
+                    ok = (overlap >= least) & (errors <= max_error * 32 * overlap)
+                    yield from zip(q_rows[mine[ok]].tolist(), c_rows[other[ok]].tolist(), [int(offsets[k])] * int(ok.sum()), overlap[ok].tolist(), errors[ok].tolist())
 
 
 def _long_overlaps(queries: DataFrame, classes: DataFrame, max_error: float, block: tuple[int, int] = (1024, 2048)) -> DataFrame:

@@ -114,3 +114,37 @@ def test_noisy_copies_without_shared_runs_are_aligned(spark):
     df = spark.createDataFrame(rows, "class_id long, prints array<int>")
     got = {(r.query, r.match, r.offset) for r in chroma.align(df.where("class_id < 100"), df).collect()}
     assert got == {(i, 100 + i, -i) for i in range(20)}
+
+
+@pytest.mark.parametrize("lengths", [(0, 1, 23, 24, 25, 30, 60, 90), (24,), (42,), (5, 500)])
+def test_all_offsets_of_all_pairs_against_brute_force(lengths):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**32, 600, dtype=np.uint64).astype(np.uint32)
+
+    def some(k):
+        for _ in range(k):
+            n, at = int(rng.choice(lengths)), int(rng.integers(0, 50))
+            noise = np.packbits(rng.random((n, 32)) < rng.choice([0, 0.1, 0.24, 0.25, 0.26]), axis=1).view("<u4").ravel()
+            yield base[at : at + n] ^ noise.astype(np.uint32)
+
+    queries, classes = list(some(12)), list(some(30))
+    for error in (0.25, 0.4, 0.6):
+        want = []
+        for i, q in enumerate(queries):
+            for j, c in enumerate(classes):
+                for o in range(1 - len(q), len(c)):
+                    x, y = q[max(0, -o) :], c[max(0, o) :]
+                    n = min(len(x), len(y))
+                    if n >= 24 and (d := int(np.bitwise_count(x[:n] ^ y[:n]).sum())) <= error * 32 * n:
+                        want.append((i, j, o, n, d))
+        assert sorted(chroma.passing_offsets(queries, classes, error, 24)) == want
+
+
+def test_offsets_of_a_pair_share_their_products():
+    """The work of a pair: a product of spectra, not a product for each of its offsets."""
+    rng = np.random.default_rng(5)
+    rows, size = rng.integers(0, 2**32, (8, 42), dtype=np.uint64).astype("<u4"), np.full(8, 42)
+    found = list(chroma.agreements(rows, size, rows, size, 24))
+    assert len(found) == 2 and sorted(o for x in found for o in x[2].tolist()) == list(range(-18, 19))
+    at = {o: s for _, _, offsets, scores in found for o, s in zip(offsets.tolist(), scores)}
+    assert np.allclose(np.diag(at[0]), 32 * 42, atol=0.1)
