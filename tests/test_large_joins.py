@@ -50,6 +50,18 @@ def test_neighbours_are_summed_up_where_they_meet(placed):
         assert not any("Exchange hashpartitioning" in line and "a_start" in line for line in plan.splitlines())
 
 
+def test_tasks_that_sum_up_neighbours_grow_with_the_occurrences(placed, monkeypatch):
+    """Spark would join tasks by the bytes that they read, and each would spill the sums of all its occurrences."""
+    from strandline.operators import features
+
+    monkeypatch.setattr(features, "SUMMED", 5)
+    w = Windows(placed.seqs, placed.occ, 100, 50, PAIRED.max_len)
+    n = -(-w.occ.count() // 5)
+    assert n > 12 and w.tasks() == n
+    plan = _plan(w.ordered(60))
+    assert plan.count("Exchange") == plan.count("hashpartitioning(seq_id") == plan.count("REPARTITION_BY_NUM") == 2 and f", {n})" in plan
+
+
 def test_local_neighbours_are_counted_where_they_meet(placed):
     """Pairs are not dealt again, and give the counts that pairs told in both orders give."""
     show = lambda pairs: sorted((r.seq_id, r.win, r.motif_id, r.reverse, r.start, tuple(r.near)) for r in local.local_neighbours(placed.occurrences, pairs, PAIRED).collect())
