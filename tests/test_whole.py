@@ -36,3 +36,16 @@ def _off(spark, kind, kernel, nu=0.3):
 def test_linear_machines_take_all_rows(spark, small):
     """They used to be trained on training_rows of the rows."""
     assert _off(spark, SvmType.C_SVC, Kernel.LINEAR) < 2e-3
+
+
+def test_votes_take_all_rows(spark, small):
+    x, flags = _rows()
+    labels = np.arange(len(x)) % 3
+    x = x + labels[:, None]
+    s = Settings(svm_type=SvmType.C_SVC, training_rows=100)
+    one = svm.Vote.train(x, labels.astype(float), svm_type=s.svm_type, kernel=s.kernel, cost=s.cost, nu=s.nu, c0=s.c0, gamma=s.gamma)
+    found = vector.fit(_table(spark, x, flags), "vote", s, "id", "label")
+    assert found.classes == one.classes and len(found.machines) == 3
+    for a, b in zip(found.machines, one.machines):
+        np.testing.assert_allclose(a.decide(x), b.decide(x), atol=2e-2)
+    assert np.mean(found.choose(x) == one.choose(x)) > 0.99
