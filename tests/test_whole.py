@@ -49,3 +49,16 @@ def test_votes_take_all_rows(spark, small):
     for a, b in zip(found.machines, one.machines):
         np.testing.assert_allclose(a.decide(x), b.decide(x), atol=2e-2)
     assert np.mean(found.choose(x) == one.choose(x)) > 0.99
+
+
+def test_quadratic_machines_take_all_rows(spark, small):
+    assert _off(spark, SvmType.C_SVC, Kernel.QUADRATIC) < 2e-3
+
+
+def test_quadratic_support_folds_into_few_vectors():
+    rng = np.random.default_rng(1)
+    support, weights, x = rng.normal(size=(300, 5)), rng.normal(size=300), rng.normal(size=(40, 5))
+    vectors, few, rest = whole.folded_quadratic((support * weights[:, None]).T @ support, support.T @ weights, weights.sum(), 0.2, 1.0)
+    assert vectors.shape == (10, 5)
+    want = svm.kernel_matrix(x, support, Kernel.QUADRATIC, 0.2, 1.0) @ weights
+    np.testing.assert_allclose(svm.kernel_matrix(x, vectors, Kernel.QUADRATIC, 0.2, 1.0) @ few + rest, want)
