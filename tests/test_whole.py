@@ -62,3 +62,17 @@ def test_quadratic_support_folds_into_few_vectors():
     assert vectors.shape == (10, 5)
     want = svm.kernel_matrix(x, support, Kernel.QUADRATIC, 0.2, 1.0) @ weights
     np.testing.assert_allclose(svm.kernel_matrix(x, vectors, Kernel.QUADRATIC, 0.2, 1.0) @ few + rest, want)
+
+
+@pytest.mark.parametrize("kind", [SvmType.C_SVC, SvmType.ONE_CLASS])
+def test_rbf_machines_take_all_rows(spark, small, kind):
+    assert _off(spark, kind, Kernel.RBF) < 2e-3
+
+
+@pytest.mark.parametrize("kernel", list(Kernel))
+def test_tiles_of_a_kernel_add_up(kernel, monkeypatch):
+    monkeypatch.setattr(svm, "TILE", 7)
+    rng = np.random.default_rng(2)
+    a, b, w = rng.normal(size=(20, 3)), rng.normal(size=(30, 3)), rng.normal(size=30)
+    np.testing.assert_allclose(svm.kernel_times(a, b, w, kernel, 0.4, 1.0), svm.kernel_matrix(a, b, kernel, 0.4, 1.0) @ w)
+    assert not len(svm.kernel_times(a[:0], b, w, kernel, 0.4, 1.0)) and not svm.kernel_times(a, b[:0], w[:0], kernel, 0.4, 1.0).any()
