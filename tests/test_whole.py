@@ -76,3 +76,7 @@ def test_tiles_of_a_kernel_add_up(kernel, monkeypatch):
     a, b, w = rng.normal(size=(20, 3)), rng.normal(size=(30, 3)), rng.normal(size=30)
     np.testing.assert_allclose(svm.kernel_times(a, b, w, kernel, 0.4, 1.0), svm.kernel_matrix(a, b, kernel, 0.4, 1.0) @ w)
     assert not len(svm.kernel_times(a[:0], b, w, kernel, 0.4, 1.0)) and not svm.kernel_times(a, b[:0], w[:0], kernel, 0.4, 1.0).any()
+
+
+def test_epsilon_regression_takes_all_rows(spark, small):
+    assert _off(spark, SvmType.EPSILON_SVR, Kernel.LINEAR) < 2e-3
