@@ -80,3 +80,8 @@ def test_tiles_of_a_kernel_add_up(kernel, monkeypatch):
 
 def test_epsilon_regression_takes_all_rows(spark, small):
     assert _off(spark, SvmType.EPSILON_SVR, Kernel.LINEAR) < 2e-3
+
+
+@pytest.mark.parametrize("kind, nu", [(SvmType.NU_SVR, 0.8), (SvmType.NU_SVC, 0.6)])
+def test_nu_machines_take_all_rows(spark, small, kind, nu):
+    assert _off(spark, kind, Kernel.LINEAR, nu) < 2e-3
