@@ -4,7 +4,8 @@ Samples are dealt to parts of bounded size. Each part is trained by a task, whic
 parts' support vectors are trained together, and so on up to one machine. In the next rounds its support vectors are trained
 with the samples of all parts that the machine has wrong. The objective falls with each round, and once no sample violates
 the machine, it is that of all samples. What must fit a task is a part, the support vectors of two, and those of the
-machine with what it has wrong."""
+machine with what it has wrong: up to HELD samples. Machines of more are solved over all their chunks by models.whole,
+as nearly all of their samples may be support."""
 
 from __future__ import annotations
 
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from strandline.config import Settings, SvmType
 from strandline.models.svm import TOLERANCE, Svm, kernel_matrix
+from strandline.models.whole import train_all_rows
 from strandline.session import materialize, ship_package
 
+#: Samples of a machine whose support a task may hold.
+HELD = 1 << 13
 #: Rounds at most, and the share of the objective by which a round must better it.
 ROUNDS, GAIN = 12, 1e-5
 #: By how much a sample may miss its margin.
@@ -36,14 +40,15 @@ def ranges(samples: DataFrame, group: Sequence[str]) -> DataFrame:
 def objective(m: Svm) -> float:
     """1/2 a'Qa - sum a of a C-SVC."""
     k = kernel_matrix(m.support, m.support, m.kernel, m.gamma, m.c0)
-    return float(0.5 * m.coefficients @ k @ m.coefficients - np.abs(m.coefficients).sum())
+    return float(0.5 * m.coefficients @ k @ m.coefficients - (np.abs(m.coefficients).sum() if m.mass is None else m.mass))
 
 
 def train_cascade(samples: DataFrame, settings: Settings, group: Sequence[str], part_rows: int, rounds: int = ROUNDS) -> dict[tuple, Svm]:
     """C-SVC machines by group of samples (group, id, features, y: 1 or -1; ids are distinct in a group). A group without
     both signs has a machine without support vectors that decides for its one sign.
 
-    A group of at most part_rows samples is one part, and its machine that of train_svm. Rows are written once, trained
+    A group of at most part_rows samples is one part, and its machine that of train_svm; one of more than HELD is no cascade.
+    Rows are written once, trained
     once in tasks of a part each, and decided once a round; parts are not trained again with all of the support, which
     would take as many copies of it as there are parts."""
     spark, s = samples.sparkSession, settings
@@ -51,6 +56,11 @@ def train_cascade(samples: DataFrame, settings: Settings, group: Sequence[str],
         raise ValueError("a cascade trains C-SVC machines alone")
     ship_package(spark)
     group = list(group)
+    large = samples.groupBy(*group).count().where(F.col("count") > HELD).drop("count").collect()  # a row a group
+    if large:
+        named = F.broadcast(spark.createDataFrame(large, samples.select(*group).schema))
+        machines = train_all_rows(samples.join(named, group, "left_semi"), s, group)
+        return machines | train_cascade(samples.join(named, group, "left_anti"), settings, group, part_rows, rounds)
     keys = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in group)
     sizes = samples.groupBy(*group).agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("long"))
     told = sizes.join(ranges(samples, group), group)

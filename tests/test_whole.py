@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.config import Kernel, Settings, SvmType
-from strandline.models import svm, vector, whole
+from strandline.models import cascade, svm, vector, whole
 
 
 def _rows(n=700, k=4, seed=0):
@@ -85,3 +85,28 @@ def test_epsilon_regression_takes_all_rows(spark, small):
 @pytest.mark.parametrize("kind, nu", [(SvmType.NU_SVR, 0.8), (SvmType.NU_SVC, 0.6)])
 def test_nu_machines_take_all_rows(spark, small, kind, nu):
     assert _off(spark, kind, Kernel.LINEAR, nu) < 2e-3
+
+
+def test_large_machines_are_no_cascades(spark, small, monkeypatch):
+    """A task used to hold the support of all rows."""
+    monkeypatch.setattr(cascade, "HELD", 300)
+    x, flags = _rows(700)
+    y = np.where(flags, 1.0, -1.0)
+    rows = [("large", i, a.tolist(), b) for i, (a, b) in enumerate(zip(x, y.tolist()))] + [("few", i, x[i].tolist(), float(y[i])) for i in range(120)]
+    samples = spark.createDataFrame(rows, "g string, id long, features array<double>, y double")
+    sizes, real = [], cascade.materialize
+
+    def kept(df, name):
+        out = real(df, name)
+        if name == "support":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cascade, "materialize", kept)
+    s = Settings(svm_type=SvmType.C_SVC, kernel=Kernel.RBF)
+    found = cascade.train_cascade(samples, s, ["g"], 100)
+    assert max(sizes) <= 120
+    for key, n in (("large", 700), ("few", 120)):
+        one = svm.train_svm(x[:n], y[:n], s.svm_type, s.kernel, s.cost)
+        assert cascade.objective(found[key,]) == pytest.approx(cascade.objective(one), rel=1e-3)
+        np.testing.assert_allclose(found[key,].decide(x), one.decide(x), atol=2e-2)
