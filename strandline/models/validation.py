@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from strandline.config import Settings, SvmType
 from strandline.models.svm import Vote, train_svm
-from strandline.models.vector import sampled
+from strandline.models.vector import decide, more_than
+from strandline.models.whole import train_all_rows, train_votes
+from strandline.operators.ordered import running
 from strandline.session import materialize, ship_package
 
 #: Of Newton's steps, and what ends them.
@@ -36,10 +38,12 @@ def cross_validated(samples: DataFrame, points: Sequence[Settings], key: str, la
     """point, fold, key, label, decision: of each row by the machine that was trained without its fold. kind: svm (a decision
     value, label true or false, or a number for regression) or vote (a class).
 
-    Rows are bounded by Settings.training_rows of the first point, sampled beyond. They are stored once; each pair of a point
-    and a fold is a task of its own, which reads them all, trains and decides."""
+    Rows are stored once. Up to Settings.training_rows of the first point, each pair of a point and a fold is a task of its
+    own, which reads them all, trains and decides; beyond, machines are trained one after another over all chunks."""
     ship_package(samples.sparkSession)
-    rows = sampled(samples.select("features", F.col(label).cast("double").alias("label"), F.col(key).alias("key")), points[0].training_rows, "key")
+    rows = samples.select("features", F.col(label).cast("double").alias("label"), F.col(key).alias("key"))
+    if more_than(rows, "key", points[0].training_rows):
+        return _validated_by_all_rows(rows, points, folds, kind, seed).withColumnRenamed("key", key)
     stored = materialize(folded(rows, folds, "key", "label", seed), "folds")
     jobs = F.array(*[F.struct(F.lit(p).alias("point"), F.lit(f).alias("left_out")) for p in range(len(points)) for f in range(folds)])
     each = stored.select("*", F.explode(jobs).alias("job")).select("features", "label", "key", "fold", "job.*")
@@ -64,6 +68,36 @@ def cross_validated(samples: DataFrame, points: Sequence[Settings], key: str, la
     return out.withColumnRenamed("key", key)
 
 
+def _validated_by_all_rows(rows: DataFrame, points: Sequence[Settings], folds: int, kind: str, seed: int) -> DataFrame:
+    """cross_validated() of rows (features, label, key) that no task holds. A machine's decisions are written before the next
+    one is trained, so that no two are held."""
+    place = running(rows, [F.col("label"), F.xxhash64(F.lit(f"fold {seed}"), "key"), F.col("key")], {})
+    firsts = materialize(place.groupBy("label").agg(F.min("place").alias("first")), "first-places")
+    fold = F.pmod(F.col("place") - F.col("first"), F.lit(folds)).cast("int")
+    stored = materialize(place.join(F.broadcast(firsts), "label").select("features", "label", "key", fold.alias("fold")), "folds")
+    out = None
+    for p, s in enumerate(points):
+        for f in range(folds):
+            given, others = stored.where(F.col("fold") != f), stored.where(F.col("fold") == f)
+            machine = _machine_of_all_rows(given, s, kind)
+            decided = others.withColumn("decision", F.lit(0.0)) if machine is None else decide(others, machine, out="decision")
+            one = materialize(decided.select(F.lit(p).alias("point"), "fold", "key", "label", "decision"), "decisions")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _machine_of_all_rows(rows: DataFrame, s: Settings, kind: str):
+    """decisions()' machine; None where its rows lack what training needs."""
+    if kind == "vote":
+        return train_votes(rows, s, [], "label", ["key"], "key").get(())
+    regression = s.svm_type in (SvmType.EPSILON_SVR, SvmType.NU_SVR)
+    positive, n = rows.agg(F.count_if(F.col("label") > 0), F.count("*")).first()
+    if not n or not regression and (not positive or positive == n and s.svm_type is not SvmType.ONE_CLASS):
+        return None
+    y = F.col("label") if regression else F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
+    return train_all_rows(rows.select(F.lit(0).alias("machine"), F.col("key").alias("id"), "features", y.alias("y")), s, ["machine"])[0,]
+
+
 def decisions(x: np.ndarray, y: np.ndarray, others: np.ndarray, s: Settings, kind: str) -> np.ndarray:
     """Decision values of other rows by a machine trained on x and y; 0 where a fold lacks what training needs."""
     if not len(others) or not len(x):

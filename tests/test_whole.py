@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.config import Kernel, Settings, SvmType
-from strandline.models import cascade, svm, vector, whole
+from strandline.models import cascade, svm, validation, vector, whole
 
 
 def _rows(n=700, k=4, seed=0):
@@ -110,3 +110,21 @@ def test_large_machines_are_no_cascades(spark, small, monkeypatch):
         one = svm.train_svm(x[:n], y[:n], s.svm_type, s.kernel, s.cost)
         assert cascade.objective(found[key,]) == pytest.approx(cascade.objective(one), rel=1e-3)
         np.testing.assert_allclose(found[key,].decide(x), one.decide(x), atol=2e-2)
+
+
+def test_cross_validation_takes_all_rows(spark, small):
+    """It used to drop all but training_rows of the rows."""
+    x, flags = _rows(300)
+    rows = _table(spark, x, flags)
+    plain = [Settings(svm_type=SvmType.C_SVC, kernel=Kernel.RBF, cost=c) for c in (0.5, 2.0)]
+    few = [Settings(svm_type=SvmType.C_SVC, kernel=Kernel.RBF, cost=c, training_rows=100) for c in (0.5, 2.0)]
+    a, b = ({(r.point, r.id): (r.fold, r.label, r.decision) for r in validation.cross_validated(rows, p, "id", folds=2).collect()} for p in (plain, few))
+    assert len(b) == 600 and a.keys() == b.keys()
+    assert all(a[k][:2] == b[k][:2] and abs(a[k][2] - b[k][2]) < 1e-2 for k in a)
+
+
+def test_cross_validation_without_a_sign_decides_nothing(spark, small):
+    x, _ = _rows(150)
+    rows = _table(spark, x, np.zeros(150, bool))
+    found = validation.cross_validated(rows, [Settings(svm_type=SvmType.C_SVC, training_rows=100)], "id", folds=2).collect()
+    assert len(found) == 150 and all(r.decision == 0.0 for r in found)
