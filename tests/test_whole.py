@@ -1,11 +1,17 @@
 """Support vector machines of all rows: the same as one machine's, from chunks of a table."""
 
+import random
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.config import Kernel, Settings, SvmType
 from strandline.models import cascade, svm, validation, vector, whole
+from strandline.models.sequence import FeatureModel, Hierarchical
+from strandline.operators.features import Feature
+from strandline.plans.motif_queries import PAIRED
 
 
 def _rows(n=700, k=4, seed=0):
@@ -128,3 +134,21 @@ def test_cross_validation_without_a_sign_decides_nothing(spark, small):
     rows = _table(spark, x, np.zeros(150, bool))
     found = validation.cross_validated(rows, [Settings(svm_type=SvmType.C_SVC, training_rows=100)], "id", folds=2).collect()
     assert len(found) == 150 and all(r.decision == 0.0 for r in found)
+
+
+def _sequences(spark, n):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ACGT") if i % 2 else rng.choice("AAGGCT") for _ in range(500)), float(i % 2), "full") for i in range(n)]
+    return spark.createDataFrame(rows, "seq_id long, seq string, class_value double, train_mode string")
+
+
+def test_motifs_of_many_samples_hold_no_support(spark, small):
+    """A task and each scoring worker used to hold nearly all of them."""
+    base = Settings(svm_type=SvmType.C_SVC, cost=0.5, local_features=("GC", "nOcc"))
+    seqs = _sequences(spark, 40)
+    one, many = (Hierarchical(PAIRED, s, kind="svm").fit(seqs) for s in (base, replace(base, training_rows=30)))
+    assert one.machines.keys() == many.machines.keys()
+    for m in one.machines:
+        a, b = one.machines[m].machines[0], many.machines[m].machines[0]
+        assert len(b.support) == 1 < len(a.support)
+        assert cascade.objective(b) == pytest.approx(cascade.objective(a), rel=2e-3)
