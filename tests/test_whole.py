@@ -152,3 +152,12 @@ def test_motifs_of_many_samples_hold_no_support(spark, small):
         a, b = one.machines[m].machines[0], many.machines[m].machines[0]
         assert len(b.support) == 1 < len(a.support)
         assert cascade.objective(b) == pytest.approx(cascade.objective(a), rel=2e-3)
+
+
+def test_feature_models_train_on_all_windows(spark, small):
+    """They used to be trained on training_rows of the windows."""
+    seqs = _sequences(spark, 60)
+    one, many = (FeatureModel(PAIRED, s, features=(Feature("nOcc"), Feature("GC")), kind="svm").fit(seqs).machine for s in (Settings(), Settings(training_rows=10)))
+    rng = np.random.default_rng(0)
+    x = one.scaler.low + rng.random((50, len(one.scaler.low))) * (one.scaler.high - one.scaler.low)
+    np.testing.assert_allclose(many.decide(x), one.decide(x), atol=5e-3)
