@@ -152,8 +152,11 @@ def build_index(spark: SparkSession, path: str, folder: str | None = None, chunk
         return compose(part)
 
     index = map_arrow(ranges, sums, SUMMARY).groupBy("path").applyInPandas(composed, INDEX)
+    each = [f.split()[0] for f in INDEX.split(", ")]
     numbers = spark.createDataFrame([(p, i) for i, p in enumerate(sorted(r["path"] for r in files.select("path").collect()))], "path string, n long")  # a row a file, as Spark's own listing
-    index.join(F.broadcast(numbers), "path").withColumn("file_no", F.col("n")).select(*[f.split()[0] for f in INDEX.split(", ")]).write.mode("overwrite").parquet(folder)
+    placed = index.join(F.broadcast(numbers), "path").withColumn("file_no", F.col("n")).select(*each)
+    # in order, so that a task finds its ranges by the statistics of few files
+    placed.repartitionByRange("file_no", "start").sortWithinPartitions("file_no", "start").write.mode("overwrite").parquet(folder)
     return folder
 
 
@@ -178,26 +181,29 @@ class ByteRange:
 
 @dataclass
 class ByteRanges(InputPartition):
-    """What a task reads: its rows of INDEX."""
+    """What a task reads: the rows of INDEX of files whose ranges start from low on and before high, by (file_no, low, high).
+    The task looks them up, so that what plans the tasks holds none."""
 
-    ranges: list[ByteRange]
+    spans: list[tuple[int, int, int]]
 
 
 def _task_bytes(total: int) -> int:
     return max(TASK_BYTES, min(TASK_MOST, total // SHARES))
 
 
-def _tasks(ranges: list[ByteRange]) -> list[list[ByteRange]]:
-    """Ranges in order, in runs of a task's bytes; one that is longer is a run of its own."""
-    most = _task_bytes(sum(r.stop - r.start for r in ranges))
-    out: list[list[ByteRange]] = []
+def _tasks(sizes: dict[int, int]) -> list[ByteRanges]:
+    """Files (their sizes by number) cut to a task's bytes, small ones several to a task."""
+    most = _task_bytes(sum(sizes.values()))
+    out: list[ByteRanges] = []
     held = 0
-    for r in ranges:
-        if not out or held + r.stop - r.start > most:
-            out.append([])
-            held = 0
-        out[-1].append(r)
-        held += r.stop - r.start
+    for n, size in sorted(sizes.items()):
+        for low in range(0, size, most):
+            part = min(most, size - low)
+            if not out or held + part > most:
+                out.append(ByteRanges([]))
+                held = 0
+            out[-1].spans.append((n, low, low + most))
+            held += part
     return out
 
 
@@ -260,12 +266,26 @@ class FastaReader(DataSourceReader):
         self.index, self.overlap = options["index"], int(options.get("overlap", 0))
 
     def partitions(self) -> list[ByteRanges]:
-        """Runs of ranges, as for Spark's own files."""
+        """Stretches of files, as for Spark's own files: of the index, batch by batch, only the files' ends are kept."""
+        import pyarrow.dataset as ds
+
+        system, path = resolved(self.index)
+        sizes: dict[int, int] = {}
+        for batch in ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=["file_no", "stop"], batch_size=1 << 16, batch_readahead=0, fragment_readahead=0):
+            for n, stop in batch.to_pandas().groupby("file_no")["stop"].max().items():
+                sizes[int(n)] = max(int(stop), sizes.get(int(n), 0))
+        return _tasks(sizes)
+
+    def _ranges(self, partition: ByteRanges) -> list[ByteRange]:
         import pyarrow.parquet as pq
 
         system, path = resolved(self.index)
-        rows = pq.read_table(path, filesystem=system).sort_by([("file_no", "ascending"), ("start", "ascending")]).to_pylist()
-        return [ByteRanges(run) for run in _tasks([ByteRange(**row) for row in rows])]
+        spans = {n: (low, high) for n, low, high in partition.spans}  # a file is once in a task
+        wanted = [("file_no", ">=", min(spans)), ("file_no", "<=", max(spans))]
+        if len(spans) == 1:
+            wanted += [("start", ">=", partition.spans[0][1]), ("start", "<", partition.spans[0][2])]
+        rows = pq.read_table(path, filesystem=system, filters=wanted).sort_by([("file_no", "ascending"), ("start", "ascending")]).to_pylist()
+        return [ByteRange(**row) for row in rows if spans[row["file_no"]][0] <= row["start"] < spans[row["file_no"]][1]]
 
     def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no ranges
@@ -277,7 +297,7 @@ class FastaReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds)], names=["seq_id", "name", "len", "begin", "owned", "seq"])
 
         size = 0
-        for part in partition.ranges:
+        for part in self._ranges(partition):
             for record, name, length, begin, owned, bases in stretches_of(part, self.overlap):
                 for column, value in zip(held, (part.file_no << 40 | record, name, length, begin, owned, bases.decode("utf-8", "replace"))):
                     column.append(value)

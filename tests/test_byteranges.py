@@ -9,6 +9,7 @@ from strandline.operators.features import Feature
 from strandline.operators.scan import scan, scan_stretches
 from strandline.operators.windows import window_gc
 from strandline.plans.motif_queries import motif_set
+from strandline.sources import byteranges
 from strandline.sources.byteranges import build_index, flat_stretches, read_stretches, records
 from strandline.sources.fasta import read_fasta, read_flat
 
@@ -127,3 +128,22 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     parts = read_stretches(spark, str(path), overlap=5, chunk=100)
     assert parts.rdd.getNumPartitions() == 1
     assert parts.selectExpr("sum(owned)", "count(distinct seq_id)").first() == (200_000, 2000)
+
+
+def test_planning_holds_no_ranges(tmp_path):
+    """The driver used to hold and send a row of the index a range."""
+    import pickle
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, chunk = 50_000, 10_000
+    columns = {"path": ["f"] * n, "file_no": [0] * n, "start": [i * chunk for i in range(n)], "stop": [(i + 1) * chunk for i in range(n)]}
+    rest = {"record": pa.array([0] * n), "offset": pa.array([0] * n), "in_header": pa.array([False] * n), "open_name": pa.array(["doc 1"] * n), "open_len": pa.array([1] * n), "last_name": pa.array(["doc 2"] * n), "last_len": pa.array([1] * n)}
+    pq.write_table(pa.table(columns | rest), tmp_path / "part-0.parquet")
+    reader = byteranges.FastaReader({"index": str(tmp_path)})
+    tasks = reader.partitions()
+    assert 10 < len(tasks) < 1000 and len(pickle.dumps(tasks)) < 100_000
+    starts = [r.start for p in (tasks[0], tasks[1], tasks[-1]) for r in reader._ranges(p)]
+    assert starts[0] == 0 and starts[-1] == (n - 1) * chunk and len(set(starts)) == len(starts)
+    assert sum(len(reader._ranges(p)) for p in tasks) == n
